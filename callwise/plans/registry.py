@@ -1,4 +1,4 @@
-"""Name -> query callable (spark, sf_dir) -> DataFrame."""
+"""Name -> query callable (spark, sf_dir) -> DataFrame, one per analysis."""
 
 from __future__ import annotations
 
@@ -6,34 +6,99 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwise.plans import kpi
+from callwise.plans import bi, doctors, kpi, quality, reps, sampling, segments
 from callwise.sources.roles import load_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# slicer values used by the *_sliced entries
+SLICE = {"region": "ASIA", "product": "NeuroCalm", "quarter": 4}
 
-def _roles_query(fn, **kw) -> Query:
+
+def _q(fn, **kw) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(load_roles(spark, sf_dir), **kw)
     q.__name__ = getattr(fn, "__name__", "query")
     return q
 
 
+def _seg(fn) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(segments.cached_selection(spark, sf_dir))
+    q.__name__ = getattr(fn, "__name__", "query")
+    return q
+
+
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callwise.sources.files import round_trip_csv
+    return round_trip_csv(reps.rep_performance(load_roles(spark, sf_dir)), "rep_performance")
+
+
 def queries() -> dict[str, Query]:
+    s = SLICE
     return {
-        "rep_scorecard": _roles_query(kpi.rep_scorecard),
-        "rep_scorecard_dedup": _roles_query(kpi.rep_scorecard, dedup=True),
-        "call_efficiency": _roles_query(kpi.call_efficiency),
-        "overcall_flag": _roles_query(kpi.overcall_flag),
-        "reach_frequency": _roles_query(kpi.reach_frequency),
-        "reach_frequency_dedup": _roles_query(kpi.reach_frequency, dedup=True),
-        "product_by_territory": _roles_query(kpi.product_by_territory),
-        "monthly_product_trend": _roles_query(kpi.monthly_product_trend),
-        "doctor_coverage": _roles_query(kpi.doctor_coverage),
-        "doctor_coverage_dedup": _roles_query(kpi.doctor_coverage, dedup=True),
-        "territory_roi": _roles_query(kpi.territory_roi),
-        "territory_roi_dedup": _roles_query(kpi.territory_roi, dedup=True),
-        "wasted_calls": _roles_query(kpi.wasted_calls),
-        "wasted_calls_dedup": _roles_query(kpi.wasted_calls, dedup=True),
-        "untapped_doctors": _roles_query(kpi.untapped_doctors),
+        # SQL KPIs and insights
+        "rep_scorecard": _q(kpi.rep_scorecard),
+        "rep_scorecard_dedup": _q(kpi.rep_scorecard, dedup=True),
+        "call_efficiency": _q(kpi.call_efficiency),
+        "overcall_flag": _q(kpi.overcall_flag),
+        "reach_frequency": _q(kpi.reach_frequency),
+        "reach_frequency_dedup": _q(kpi.reach_frequency, dedup=True),
+        "product_by_territory": _q(kpi.product_by_territory),
+        "monthly_product_trend": _q(kpi.monthly_product_trend),
+        "doctor_coverage": _q(kpi.doctor_coverage),
+        "doctor_coverage_dedup": _q(kpi.doctor_coverage, dedup=True),
+        "territory_roi": _q(kpi.territory_roi),
+        "territory_roi_dedup": _q(kpi.territory_roi, dedup=True),
+        "wasted_calls": _q(kpi.wasted_calls),
+        "wasted_calls_dedup": _q(kpi.wasted_calls, dedup=True),
+        "untapped_doctors": _q(kpi.untapped_doctors),
+        # analysis script
+        "kpi_summary": _q(reps.kpi_summary),
+        "rep_efficiency": _q(reps.rep_efficiency),
+        "rep_revenue": _q(reps.rep_revenue),
+        "rep_performance": _q(reps.rep_performance),
+        "top_reps_by_efficiency": _q(reps.top_reps_by_efficiency),
+        "bottom_reps_by_low_pct": _q(reps.bottom_reps_by_low_pct),
+        "rep_efficiency_chart": _q(reps.rep_efficiency_chart),
+        "call_mix_pct": _q(reps.call_mix_pct),
+        "monthly_revenue_pivot": _q(reps.monthly_revenue_pivot),
+        "quarterly_revenue": _q(reps.quarterly_revenue),
+        "territory_capture": _q(reps.territory_capture),
+        "product_mix_by_territory": _q(reps.product_mix_by_territory),
+        # doctor features and segmentation
+        "doctor_features": _q(doctors.doctor_features),
+        "doctor_features_scaled": _q(doctors.doctor_features_scaled),
+        "nearest_centroid": _q(doctors.nearest_level_centroid),
+        "cluster_profile": _q(doctors.cluster_profile_levels),
+        "kmeans_model_selection": _seg(segments.model_selection_table),
+        "doctor_segments": _seg(segments.doctor_segments),
+        "cluster_profile_kmeans": _seg(segments.cluster_profile_kmeans),
+        "segment_summary": _seg(segments.segment_summary),
+        "segment_scatter": _seg(segments.segment_scatter),
+        # BI measures and tables
+        "bi_measures": _q(bi.measures),
+        "bi_measures_sliced": _q(bi.measures, **s),
+        "bi_measures_by_region": _q(bi.measures, by_region=True),
+        "qoq_growth": _q(bi.qoq_growth),
+        "qoq_growth_sliced": _q(bi.qoq_growth, region=s["region"], product=s["product"]),
+        "revenue_by_product": _q(bi.revenue_by_product),
+        "quarterly_revenue_by_product": _q(bi.quarterly_revenue_by_product),
+        "rep_scorecard_banded": _q(bi.rep_scorecard_banded),
+        "call_distribution": _q(bi.call_distribution),
+        "efficiency_vs_revenue": _q(bi.efficiency_vs_revenue),
+        "territory_scorecard": _q(bi.territory_scorecard),
+        "visits_month_name": _q(bi.visits_month_name),
+        "rx_quarter_label": _q(bi.rx_quarter_label),
+        "calendar_fields": _q(bi.calendar_fields),
+        "formatted_ids": _q(bi.formatted_ids),
+        # data quality
+        "pk_violations": _q(quality.pk_violations),
+        "fk_orphans": _q(quality.fk_orphans),
+        # scoring and sampling steps
+        "weighted_category": _q(sampling.weighted_category),
+        "expected_rx_probability": _q(sampling.expected_rx_probability),
+        "rx_thinned": _q(sampling.rx_thinned),
+        # sources and sinks
+        "csv_round_trip": _csv_round_trip,
     }
