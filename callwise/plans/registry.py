@@ -34,71 +34,75 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_csv(reps.rep_performance(load_roles(spark, sf_dir)), "rep_performance")
 
 
-def queries() -> dict[str, Query]:
+def role_plans() -> dict[str, tuple]:
+    """name -> (plan function over Roles, keyword arguments)."""
     s = SLICE
     return {
-        # SQL KPIs and insights
-        "rep_scorecard": _q(kpi.rep_scorecard),
-        "rep_scorecard_dedup": _q(kpi.rep_scorecard, dedup=True),
-        "call_efficiency": _q(kpi.call_efficiency),
-        "overcall_flag": _q(kpi.overcall_flag),
-        "reach_frequency": _q(kpi.reach_frequency),
-        "reach_frequency_dedup": _q(kpi.reach_frequency, dedup=True),
-        "product_by_territory": _q(kpi.product_by_territory),
-        "monthly_product_trend": _q(kpi.monthly_product_trend),
-        "doctor_coverage": _q(kpi.doctor_coverage),
-        "doctor_coverage_dedup": _q(kpi.doctor_coverage, dedup=True),
-        "territory_roi": _q(kpi.territory_roi),
-        "territory_roi_dedup": _q(kpi.territory_roi, dedup=True),
-        "wasted_calls": _q(kpi.wasted_calls),
-        "wasted_calls_dedup": _q(kpi.wasted_calls, dedup=True),
-        "untapped_doctors": _q(kpi.untapped_doctors),
-        # analysis script
-        "kpi_summary": _q(reps.kpi_summary),
-        "rep_efficiency": _q(reps.rep_efficiency),
-        "rep_revenue": _q(reps.rep_revenue),
-        "rep_performance": _q(reps.rep_performance),
-        "top_reps_by_efficiency": _q(reps.top_reps_by_efficiency),
-        "bottom_reps_by_low_pct": _q(reps.bottom_reps_by_low_pct),
-        "rep_efficiency_chart": _q(reps.rep_efficiency_chart),
-        "call_mix_pct": _q(reps.call_mix_pct),
-        "monthly_revenue_pivot": _q(reps.monthly_revenue_pivot),
-        "quarterly_revenue": _q(reps.quarterly_revenue),
-        "territory_capture": _q(reps.territory_capture),
-        "product_mix_by_territory": _q(reps.product_mix_by_territory),
-        # doctor features and segmentation
-        "doctor_features": _q(doctors.doctor_features),
-        "doctor_features_scaled": _q(doctors.doctor_features_scaled),
-        "nearest_centroid": _q(doctors.nearest_level_centroid),
-        "cluster_profile": _q(doctors.cluster_profile_levels),
-        "kmeans_model_selection": _seg(segments.model_selection_table),
-        "doctor_segments": _seg(segments.doctor_segments),
-        "cluster_profile_kmeans": _seg(segments.cluster_profile_kmeans),
-        "segment_summary": _seg(segments.segment_summary),
-        "segment_scatter": _seg(segments.segment_scatter),
-        # BI measures and tables
-        "bi_measures": _q(bi.measures),
-        "bi_measures_sliced": _q(bi.measures, **s),
-        "bi_measures_by_region": _q(bi.measures, by_region=True),
-        "qoq_growth": _q(bi.qoq_growth),
-        "qoq_growth_sliced": _q(bi.qoq_growth, region=s["region"], product=s["product"]),
-        "revenue_by_product": _q(bi.revenue_by_product),
-        "quarterly_revenue_by_product": _q(bi.quarterly_revenue_by_product),
-        "rep_scorecard_banded": _q(bi.rep_scorecard_banded),
-        "call_distribution": _q(bi.call_distribution),
-        "efficiency_vs_revenue": _q(bi.efficiency_vs_revenue),
-        "territory_scorecard": _q(bi.territory_scorecard),
-        "visits_month_name": _q(bi.visits_month_name),
-        "rx_quarter_label": _q(bi.rx_quarter_label),
-        "calendar_fields": _q(bi.calendar_fields),
-        "formatted_ids": _q(bi.formatted_ids),
-        # data quality
-        "pk_violations": _q(quality.pk_violations),
-        "fk_orphans": _q(quality.fk_orphans),
-        # scoring and sampling steps
-        "weighted_category": _q(sampling.weighted_category),
-        "expected_rx_probability": _q(sampling.expected_rx_probability),
-        "rx_thinned": _q(sampling.rx_thinned),
-        # sources and sinks
-        "csv_round_trip": _csv_round_trip,
+        "rep_scorecard": (kpi.rep_scorecard, dict()),
+        "rep_scorecard_dedup": (kpi.rep_scorecard, dict(dedup=True)),
+        "call_efficiency": (kpi.call_efficiency, dict()),
+        "overcall_flag": (kpi.overcall_flag, dict()),
+        "reach_frequency": (kpi.reach_frequency, dict()),
+        "reach_frequency_dedup": (kpi.reach_frequency, dict(dedup=True)),
+        "product_by_territory": (kpi.product_by_territory, dict()),
+        "monthly_product_trend": (kpi.monthly_product_trend, dict()),
+        "doctor_coverage": (kpi.doctor_coverage, dict()),
+        "doctor_coverage_dedup": (kpi.doctor_coverage, dict(dedup=True)),
+        "territory_roi": (kpi.territory_roi, dict()),
+        "territory_roi_dedup": (kpi.territory_roi, dict(dedup=True)),
+        "wasted_calls": (kpi.wasted_calls, dict()),
+        "wasted_calls_dedup": (kpi.wasted_calls, dict(dedup=True)),
+        "untapped_doctors": (kpi.untapped_doctors, dict()),
+        "kpi_summary": (reps.kpi_summary, dict()),
+        "rep_efficiency": (reps.rep_efficiency, dict()),
+        "rep_revenue": (reps.rep_revenue, dict()),
+        "rep_performance": (reps.rep_performance, dict()),
+        "top_reps_by_efficiency": (reps.top_reps_by_efficiency, dict()),
+        "bottom_reps_by_low_pct": (reps.bottom_reps_by_low_pct, dict()),
+        "rep_efficiency_chart": (reps.rep_efficiency_chart, dict()),
+        "call_mix_pct": (reps.call_mix_pct, dict()),
+        "monthly_revenue_pivot": (reps.monthly_revenue_pivot, dict()),
+        "quarterly_revenue": (reps.quarterly_revenue, dict()),
+        "territory_capture": (reps.territory_capture, dict()),
+        "product_mix_by_territory": (reps.product_mix_by_territory, dict()),
+        "doctor_features": (doctors.doctor_features, dict()),
+        "doctor_features_scaled": (doctors.doctor_features_scaled, dict()),
+        "nearest_centroid": (doctors.nearest_level_centroid, dict()),
+        "cluster_profile": (doctors.cluster_profile_levels, dict()),
+        "bi_measures": (bi.measures, dict()),
+        "bi_measures_sliced": (bi.measures, dict(**s)),
+        "bi_measures_by_region": (bi.measures, dict(by_region=True)),
+        "qoq_growth": (bi.qoq_growth, dict()),
+        "qoq_growth_sliced": (bi.qoq_growth, dict(region=s["region"], product=s["product"])),
+        "revenue_by_product": (bi.revenue_by_product, dict()),
+        "quarterly_revenue_by_product": (bi.quarterly_revenue_by_product, dict()),
+        "rep_scorecard_banded": (bi.rep_scorecard_banded, dict()),
+        "call_distribution": (bi.call_distribution, dict()),
+        "efficiency_vs_revenue": (bi.efficiency_vs_revenue, dict()),
+        "territory_scorecard": (bi.territory_scorecard, dict()),
+        "visits_month_name": (bi.visits_month_name, dict()),
+        "rx_quarter_label": (bi.rx_quarter_label, dict()),
+        "calendar_fields": (bi.calendar_fields, dict()),
+        "formatted_ids": (bi.formatted_ids, dict()),
+        "pk_violations": (quality.pk_violations, dict()),
+        "fk_orphans": (quality.fk_orphans, dict()),
+        "weighted_category": (sampling.weighted_category, dict()),
+        "expected_rx_probability": (sampling.expected_rx_probability, dict()),
+        "rx_thinned": (sampling.rx_thinned, dict()),
     }
+
+
+SEGMENT_PLANS = {
+    "kmeans_model_selection": segments.model_selection_table,
+    "doctor_segments": segments.doctor_segments,
+    "cluster_profile_kmeans": segments.cluster_profile_kmeans,
+    "segment_summary": segments.segment_summary,
+    "segment_scatter": segments.segment_scatter,
+}
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {name: _q(fn, **kw) for name, (fn, kw) in role_plans().items()}
+    out.update({name: _seg(fn) for name, fn in SEGMENT_PLANS.items()})
+    out["csv_round_trip"] = _csv_round_trip
+    return out
