@@ -3,11 +3,10 @@ cluster profiles with their median-based labels."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwise.functions.labels import POTENTIAL_LEVELS, segment_label
-from callwise.operators.ranking import global_median
 from callwise.sources.roles import Roles
 
 FEATURES = ["potential_score", "total_visits", "total_revenue", "unique_products", "months_active"]
@@ -55,26 +54,47 @@ def _moments(feats: DataFrame) -> DataFrame:
     return feats.agg(*aggs)
 
 
-def z_column(c: str, n: Column, s: Column, ss: Column) -> Column:
+def fit_scaler(feats: DataFrame) -> dict[str, tuple[int, int, float]]:
+    """Fit step of the standard scaler: one distributed aggregate, one row back.
+
+    Returns, per feature, (n, S, sqrt(n SS - S^2)) with n and S exact integers; the
+    model is 3 numbers per feature whatever the number of doctors."""
+    import math
+    m = _moments(feats).first()
+    n = int(m["n"])
+    out = {}
+    for c in FEATURES:
+        s = int(m[f"s_{c}"] or 0)
+        ss = int(m[f"ss_{c}"] or 0)
+        out[c] = (n, s, math.sqrt(float(n * ss - s * s)))
+    return out
+
+
+def _exact(v: int) -> Column:
+    return F.lit(str(v)).cast("decimal(38,0)")
+
+
+def z_column(c: str, n: int, s: int, root: float) -> Column:
     """(x - mean) / pop_sd, computed as (n x - S) / sqrt(n SS - S^2).
 
-    Numerator and radicand are exact integers, so the double result is the same on any
-    engine with IEEE sqrt and division. Zero variance gives 0 (the scaler's convention)."""
-    num = (n.cast("decimal(38,0)") * F.col(c).cast("decimal(38,0)") - s).cast("double")
-    rad = (n.cast("decimal(38,0)") * ss - s * s).cast("double")
-    return F.when(rad == 0, F.lit(0.0)).otherwise(num / F.sqrt(rad))
+    The numerator is an exact integer and the root is the correctly rounded square
+    root of an exact integer, so the double is the same on any IEEE engine. Zero
+    variance gives 0 (the scaler's convention)."""
+    if root == 0.0:
+        return F.lit(0.0)
+    num = (_exact(n) * F.col(c).cast("decimal(38,0)") - _exact(s)).cast("double")
+    return num / F.lit(root)
 
 
-def doctor_features_scaled(r: Roles, feats: DataFrame | None = None) -> DataFrame:
-    """Standardised model features (population standard deviation), one row per doctor.
+def scale_features(feats: DataFrame, model: dict[str, tuple[int, int, float]]) -> DataFrame:
+    """Transform step: a projection with the fitted numbers as literals (no join)."""
+    return feats.select("doctor_id", *[z_column(c, *model[c]).alias(c) for c in FEATURES])
+
 
-    The moments are one global aggregate attached as scalar subqueries."""
+def doctor_features_scaled(r: Roles, feats: DataFrame | None = None) -> DataFrame:
+    """Standardised model features (population standard deviation), one row per doctor."""
     feats = feats if feats is not None else doctor_features(r)
-    m = _moments(feats)
-    n = m.select("n").scalar()
-    cols = [z_column(c, n, m.select(f"s_{c}").scalar(), m.select(f"ss_{c}").scalar()).alias(c)
-            for c in FEATURES]
-    return feats.select("doctor_id", *cols)
+    return scale_features(feats, fit_scaler(feats))
 
 
 # ---------------------------------------------------------------------------
@@ -84,30 +104,30 @@ def doctor_features_scaled(r: Roles, feats: DataFrame | None = None) -> DataFram
 # k-means: squared distance to every centroid, smallest wins, lower id on ties.
 # ---------------------------------------------------------------------------
 
-def level_centroids(r: Roles, feats: DataFrame | None = None) -> list[list[float]]:
+def level_centroids(r: Roles, feats: DataFrame | None = None,
+                    model: dict | None = None) -> list[list[float]]:
     """Per-level mean z-vectors, computed exactly as (n S_g - n_g S) / (n_g sqrt(D)).
 
-    Returns K x F floats (K = 3 levels), a bounded model, not data."""
+    One grouped aggregate returns 3 rows (one per level); the result is K x F floats,
+    a bounded model, not data."""
     feats = feats if feats is not None else doctor_features(r)
+    model = model if model is not None else fit_scaler(feats)
     pot = r.doctors.select("doctor_id", "prescribing_potential")
-    fl = feats.join(pot, "doctor_id")
-    m = _moments(feats).collect()[0]
-    per = {row["prescribing_potential"]: row for row in fl.groupBy("prescribing_potential").agg(
-        F.count(F.lit(1)).alias("ng"),
-        *[F.sum(F.col(c).cast("decimal(38,0)")).alias(f"sg_{c}") for c in FEATURES]).collect()}
-    import math
+    per = {row["prescribing_potential"]: row for row in feats.join(pot, "doctor_id")
+           .groupBy("prescribing_potential").agg(
+               F.count(F.lit(1)).alias("ng"),
+               *[F.sum(F.col(c).cast("decimal(38,0)")).alias(f"sg_{c}") for c in FEATURES]).collect()}
     out = []
     for level in POTENTIAL_LEVELS:
         row = per.get(level)
+        if row is None:
+            out.append([float("nan")] * len(FEATURES))
+            continue
         vec = []
         for c in FEATURES:
-            n, s, ss = int(m["n"]), int(m[f"s_{c}"]), int(m[f"ss_{c}"])
-            rad = float(n * ss - s * s)
-            if row is None or rad == 0:
-                vec.append(0.0 if row is not None else float("nan"))
-                continue
+            n, s, root = model[c]
             ng, sg = int(row["ng"]), int(row[f"sg_{c}"])
-            vec.append(float(n * sg - ng * s) / (float(ng) * math.sqrt(rad)))
+            vec.append(0.0 if root == 0.0 else float(n * sg - ng * s) / (float(ng) * root))
         out.append(vec)
     return out
 
@@ -136,25 +156,50 @@ def nearest_centroid(scaled: DataFrame, centroids: list[list[float]],
                          F.round(F.sqrt(best), 9).alias("distance"))
 
 
-def nearest_level_centroid(r: Roles) -> DataFrame:
-    feats = doctor_features(r)
-    return nearest_centroid(doctor_features_scaled(r, feats), level_centroids(r, feats))
+def nearest_level_centroid(r: Roles, feats: DataFrame | None = None) -> DataFrame:
+    feats = feats if feats is not None else doctor_features(r)
+    model = fit_scaler(feats)
+    return nearest_centroid(scale_features(feats, model), level_centroids(r, feats, model))
 
 
 def cluster_profile(assigned: DataFrame) -> DataFrame:
     """Mean of each raw feature per cluster and the 4-way label against the medians of
-    those means (strictly above = high). ``assigned`` holds the features and ``cluster``."""
+    those means (strictly above = high). ``assigned`` holds the features and ``cluster``.
+
+    The profile has one row per cluster (K <= 7), so the medians are window
+    aggregates over those K rows; nothing upstream is recomputed."""
     prof = assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_doctors"),
         *[(F.sum(c).cast("double") / F.count(c).cast("double")).alias(c) for c in FEATURES])
-    med_rev = global_median(prof, "total_revenue")
-    med_vis = global_median(prof, "total_visits")
+    every = Window.partitionBy()
+    med_rev = F.median("total_revenue").over(every)
+    med_vis = F.median("total_visits").over(every)
     return prof.withColumn("label", segment_label(F.col("total_revenue") > med_rev,
                                                   F.col("total_visits") > med_vis))
 
 
-def cluster_profile_levels(r: Roles) -> DataFrame:
+def cluster_profile_levels(r: Roles, feats: DataFrame | None = None) -> DataFrame:
     """cluster_profile over the fixed level-centroid assignment (deterministic)."""
-    feats = doctor_features(r)
-    a = nearest_centroid(doctor_features_scaled(r, feats), level_centroids(r, feats))
+    feats = feats if feats is not None else doctor_features(r)
+    a = nearest_level_centroid(r, feats)
     return cluster_profile(feats.join(a.select("doctor_id", "cluster"), "doctor_id"))
+
+
+# ---------------------------------------------------------------------------
+# The feature table is the hand-off point between the fact aggregates and the
+# model: written once per session and input to the shared folder, read back by
+# the scaler, the centroid steps and the k-means fits.
+# ---------------------------------------------------------------------------
+_FEATURES_CACHE: dict[tuple[str, str], DataFrame] = {}
+
+
+def load_features(spark, sf_dir: str) -> DataFrame:
+    from callwise.session import new_output_path
+    from callwise.sources.roles import load_roles
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FEATURES_CACHE:
+        path = new_output_path(spark, "doctor-features")
+        f = doctor_features(load_roles(spark, sf_dir))
+        f.write.mode("overwrite").parquet(path)
+        _FEATURES_CACHE[key] = spark.read.parquet(path).select(*f.columns)
+    return _FEATURES_CACHE[key]

@@ -29,6 +29,14 @@ def _seg(fn) -> Query:
     return q
 
 
+def _feat(fn) -> Query:
+    """Plans over the doctor feature table, read from its written copy."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(load_roles(spark, sf_dir), doctors.load_features(spark, sf_dir))
+    q.__name__ = getattr(fn, "__name__", "query")
+    return q
+
+
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callwise.sources.files import round_trip_csv
     return round_trip_csv(reps.rep_performance(load_roles(spark, sf_dir)), "rep_performance")
@@ -92,6 +100,12 @@ def role_plans() -> dict[str, tuple]:
     }
 
 
+FEATURE_PLANS = {
+    "doctor_features_scaled": doctors.doctor_features_scaled,
+    "nearest_centroid": doctors.nearest_level_centroid,
+    "cluster_profile": doctors.cluster_profile_levels,
+}
+
 SEGMENT_PLANS = {
     "kmeans_model_selection": segments.model_selection_table,
     "doctor_segments": segments.doctor_segments,
@@ -103,6 +117,8 @@ SEGMENT_PLANS = {
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _q(fn, **kw) for name, (fn, kw) in role_plans().items()}
+    for name, fn in FEATURE_PLANS.items():
+        out[name] = _feat(fn)
     out.update({name: _seg(fn) for name, fn in SEGMENT_PLANS.items()})
     out["csv_round_trip"] = _csv_round_trip
     return out

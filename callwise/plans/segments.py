@@ -23,6 +23,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -49,31 +50,35 @@ class Selection:
     model: KMeansModel
 
 
-def _fit_best(vectors: DataFrame, k: int, n_init: int, seed: int) -> tuple[float, KMeansModel]:
-    def fit(i: int):
-        m = KMeans(k=k, seed=seed + i, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
-                   predictionCol="cluster").fit(vectors)
-        return m.summary.trainingCost, i, m
-    with ThreadPoolExecutor(max_workers=min(n_init, 4)) as pool:
-        fits = list(pool.map(fit, range(n_init)))
-    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-    return cost, model
-
-
-def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SEED) -> Selection:
+def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SEED,
+                 feats: DataFrame | None = None, workers: int = 8) -> Selection:
     spark = r.doctors.sparkSession
-    feats = doctor_features(r)
+    feats = feats if feats is not None else doctor_features(r)
     scaled = doctor_features_scaled(r, feats)
     vectors = (VectorAssembler(inputCols=FEATURES, outputCol="features")
                .transform(scaled).select("doctor_id", "features"))
     from callwise.session import shared_dir
     shared_dir(spark)  # makes sure a checkpoint folder is set
-    vectors = vectors.checkpoint(eager=True)
+    # checkpoint cuts the lineage; persisting the checkpointed copy lets every fit share
+    # one cached input (KMeans caches its own copy when the input is not persisted)
+    vectors = vectors.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors.count()
+
+    def fit(job: tuple[int, int]):
+        k, i = job
+        m = KMeans(k=k, seed=seed + i, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
+                   predictionCol="cluster").fit(vectors)
+        return k, i, m.summary.trainingCost, m
+
+    jobs = [(k, i) for k in k_range for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        fits = list(pool.map(fit, jobs))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                                     distanceMeasure="squaredEuclidean")
     table, models = [], {}
     for k in k_range:
-        cost, model = _fit_best(vectors, k, n_init, seed)
+        # best of n_init seeds by inertia, first seed on ties
+        _, _, cost, model = min((f for f in fits if f[0] == k), key=lambda f: (f[2], f[1]))
         sil = evaluator.evaluate(model.transform(vectors))
         table.append((k, float(cost), float(sil)))
         models[k] = model
@@ -87,7 +92,8 @@ _CACHE: dict[tuple[str, str], Selection] = {}
 def cached_selection(spark: SparkSession, sf_dir: str) -> Selection:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
-        _CACHE[key] = select_model(load_roles(spark, sf_dir))
+        from callwise.plans.doctors import load_features
+        _CACHE[key] = select_model(load_roles(spark, sf_dir), feats=load_features(spark, sf_dir))
     return _CACHE[key]
 
 
@@ -109,10 +115,17 @@ def _assignments(sel: Selection) -> DataFrame:
 
 
 def doctor_segments(sel: Selection) -> DataFrame:
-    """Feature table + cluster + segment label (12 columns)."""
+    """Feature table + cluster + segment label (12 columns).
+
+    The profile has K rows, so its labels come back as a K-entry map and are applied
+    as a CASE expression: a join on ``cluster`` would send each whole cluster (a third
+    of all doctors or more) to one task."""
     a = sel.features.join(_assignments(sel), "doctor_id")
-    prof = cluster_profile(a).select("cluster", F.col("label").alias("segment"))
-    return a.join(prof, "cluster").select(*sel.features.columns, "cluster", "segment")
+    labels = {row["cluster"]: row["label"] for row in cluster_profile(a).collect()}
+    seg = F.lit(None).cast("string")
+    for c, label in sorted(labels.items()):
+        seg = F.when(F.col("cluster") == c, F.lit(label)).otherwise(seg)
+    return a.select(*sel.features.columns, "cluster", seg.alias("segment"))
 
 
 def cluster_profile_kmeans(sel: Selection) -> DataFrame:

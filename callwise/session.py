@@ -14,6 +14,12 @@ _BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # No broadcast from compile-time size *estimates* (file sizes can understate the
+    # in-memory size many times over). AQE still turns a join into a broadcast join
+    # at run time when the *measured* shuffle output of one side is below its own
+    # threshold, so every broadcast rests on a real size.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
