@@ -21,7 +21,7 @@ MULT_FINAL = 69621            # final avalanche multiplier
 
 def hash_sql(keys: list[str], stream: int) -> str:
     """SQL (Spark and DuckDB alike) for an integer uniform on [0, MODULUS)."""
-    h = f"{(stream * 7919 + 1) % MODULUS}"
+    h = f"CAST({(stream * 7919 + 1) % MODULUS} AS BIGINT)"
     for k in keys:
         h = (f"((({h}) * {MULT_STATE}) % {MODULUS} + (CAST(({k}) AS BIGINT) % {MODULUS}) * {MULT_KEY}"
              f" + 1) % {MODULUS}")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwise.plans import bi, doctors, kpi, quality, reps, sampling, segments
+from callwise.plans import bi, callplan, doctors, kpi, quality, reps, sampling, segments
 from callwise.sources.roles import load_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,7 @@ def role_plans() -> dict[str, tuple]:
         "weighted_category": (sampling.weighted_category, dict()),
         "expected_rx_probability": (sampling.expected_rx_probability, dict()),
         "rx_thinned": (sampling.rx_thinned, dict()),
+        "call_plan_sample": (callplan.call_plan_sample, dict()),
     }
 
 
