@@ -168,6 +168,19 @@ def _session_key(spark: SparkSession) -> str:
     return spark.sparkContext.applicationId
 
 
+# A dimension is broadcast to its joins only when its row count is checked below this.
+DIMENSION_BROADCAST_ROWS = 1_000_000
+
+
+def sized_dimension(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
+    """Attach a broadcast hint to a dimension whose measured row count is at most
+    ``max_rows`` (one small counting job, stopped after max_rows + 1 rows). Larger
+    dimensions stay unhinted and join by shuffle; AQE may still broadcast them from
+    measured shuffle sizes."""
+    from callwise.operators.joins import bounded_broadcast
+    return bounded_broadcast(df, max_rows)
+
+
 def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Roles:
     key = (_session_key(spark), sf_dir)
     if key in _CACHE:
@@ -186,7 +199,8 @@ def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Ro
     visits = write_read(lazy.visits, "visits")
     cells = prescription_cells_from_tpch(spark, sf_dir)
     rx = write_read(prescriptions_from_cells(cells, visits, lazy.doctors), "prescriptions")
-    roles = Roles(lazy.territories, lazy.reps, lazy.doctors, visits, rx)
+    roles = Roles(*[sized_dimension(d) for d in (lazy.territories, lazy.reps, lazy.doctors)],
+                  visits, rx)
     _CACHE[key] = roles
     return roles
 
