@@ -193,4 +193,5 @@ def more_sql() -> dict[str, str]:
         REP_PERF_CTES + "," + FEATURE_CTES
         + ", rep_performance AS (SELECT rep_id FROM rep_perf), doctor_segments AS (SELECT doctor_id FROM feats)")
     out["csv_round_trip"] = perf(f"SELECT {PERF_COLS} FROM rep_perf")
+    out["rep_efficiency_streamed"] = SCRIPT_SQL["rep_efficiency"]
     return out

@@ -116,10 +116,24 @@ SEGMENT_PLANS = {
 }
 
 
+def _streamed_rep_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rep_efficiency maintained by the streaming refresh over the visit files,
+    fed in several micro-batches (one written file per trigger)."""
+    from callwise.session import new_output_path
+    from callwise.streaming.refresh import refresh_rep_efficiency
+    r = load_roles(spark, sf_dir)
+    src = new_output_path(spark, "visits-stream")
+    r.visits.select("rep_id", "doctor_id").repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return refresh_rep_efficiency(spark, src, schema, r.doctors, new_output_path(spark, "rep-eff"),
+                                  new_output_path(spark, "rep-eff-ckpt"), max_files_per_trigger=1)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _q(fn, **kw) for name, (fn, kw) in role_plans().items()}
     for name, fn in FEATURE_PLANS.items():
         out[name] = _feat(fn)
     out.update({name: _seg(fn) for name, fn in SEGMENT_PLANS.items()})
     out["csv_round_trip"] = _csv_round_trip
+    out["rep_efficiency_streamed"] = _streamed_rep_efficiency
     return out
