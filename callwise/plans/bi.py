@@ -149,8 +149,9 @@ def call_distribution(r: Roles) -> DataFrame:
 
 
 def efficiency_vs_revenue(r: Roles) -> DataFrame:
-    return rep_performance_full(r).select("rep_id", "rep_name", "efficiency_score",
-                                          "total_revenue", "total_calls")
+    return (rep_performance_full(r).select("rep_id", "rep_name", "efficiency_score",
+                                           "total_revenue", "total_calls")
+            .orderBy(F.col("efficiency_score").desc_nulls_last(), "rep_id"))
 
 
 def territory_scorecard(r: Roles, product=None, quarter=None) -> DataFrame:
@@ -161,7 +162,8 @@ def territory_scorecard(r: Roles, product=None, quarter=None) -> DataFrame:
     return t.select("territory_id", "territory_name", "region", "market_potential",
                     F.coalesce("rev", F.lit(0)).cast("bigint").alias("total_revenue"),
                     (divide_or_zero(F.coalesce("rev", F.lit(0)), F.col("market_potential")) * 100)
-                    .alias("market_capture_pct"))
+                    .alias("market_capture_pct")
+                    ).orderBy(F.col("market_capture_pct").desc(), "territory_id")
 
 
 def visits_month_name(r: Roles) -> DataFrame:

@@ -1,5 +1,7 @@
 """The seven SQL KPIs and two optimisation insights.
 
+Results carry the original ORDER BY, completed with a key so the order is total.
+
 Each function returns the reference result. Where the original SQL multiplies
 rows through two one-to-many joins (rep scorecard, reach, coverage, territory
 ROI, wasted calls) the inflated numbers *are* the reference result; they are
@@ -49,7 +51,8 @@ def rep_scorecard(r: Roles, dedup: bool = False) -> DataFrame:
                     F.col("unique_doctors_visited").cast("bigint").alias("unique_doctors_visited"),
                     "total_revenue_generated",
                     ratio_round("total_revenue_generated", "actual_calls", 1, 0)
-                    .alias("revenue_per_call")))
+                    .alias("revenue_per_call"))
+            .orderBy(F.col("total_revenue_generated").desc(), "rep_id"))
 
 
 def call_efficiency(r: Roles) -> DataFrame:
@@ -62,7 +65,8 @@ def call_efficiency(r: Roles) -> DataFrame:
            .withColumn("rep_calls", share_of_group("call_count", ["rep_id"])))
     return out.select("rep_id", "rep_name", "prescribing_potential",
                       F.col("call_count").cast("bigint").alias("call_count"),
-                      ratio_round("call_count", "rep_calls", 100, 1).alias("pct_of_calls"))
+                      ratio_round("call_count", "rep_calls", 100, 1).alias("pct_of_calls")
+                      ).orderBy("rep_id", "prescribing_potential")
 
 
 def overcall_flag(r: Roles, threshold_pct: int = 40) -> DataFrame:
@@ -105,7 +109,8 @@ def reach_frequency(r: Roles, dedup: bool = False) -> DataFrame:
                        ratio_round("docs_visited", "total_docs_in_territory", 100, 1)
                        .alias("reach_pct"),
                        ratio_round("coalesce(visit_rows, 0)", "docs_visited", 1, 1)
-                       .alias("avg_visit_frequency"))
+                       .alias("avg_visit_frequency")
+                       ).orderBy(F.col("reach_pct").desc_nulls_last(), "rep_id")
 
 
 def product_by_territory(r: Roles) -> DataFrame:
@@ -120,7 +125,8 @@ def product_by_territory(r: Roles) -> DataFrame:
                       F.col("total_units").cast("bigint").alias("total_units"),
                       F.col("total_revenue").cast("bigint").alias("total_revenue"),
                       ratio_round("total_revenue", "territory_revenue", 100, 1)
-                      .alias("revenue_share_pct"))
+                      .alias("revenue_share_pct")
+                      ).orderBy("territory_name", F.col("total_revenue").desc(), "product")
 
 
 def monthly_product_trend(r: Roles) -> DataFrame:
@@ -133,7 +139,8 @@ def monthly_product_trend(r: Roles) -> DataFrame:
     return (per_doc.groupBy("month", "product")
             .agg(F.sum("rev").cast("bigint").alias("monthly_revenue"),
                  F.sum("units").cast("bigint").alias("monthly_units"),
-                 F.count("doctor_id").alias("prescribing_doctors")))
+                 F.count("doctor_id").alias("prescribing_doctors"))
+            .orderBy("month", "product"))
 
 
 def doctor_coverage(r: Roles, dedup: bool = False) -> DataFrame:
@@ -159,7 +166,8 @@ def doctor_coverage(r: Roles, dedup: bool = False) -> DataFrame:
     return base.select("doctor_id", "doctor_name", "specialty", "prescribing_potential",
                        "potential_score", "total_visits_received", "revenue_generated",
                        coverage_flag(F.col("prescribing_potential"),
-                                     F.col("total_visits_received")).alias("coverage_flag"))
+                                     F.col("total_visits_received")).alias("coverage_flag")
+                       ).orderBy(F.col("revenue_generated").desc(), "doctor_id")
 
 
 def territory_roi(r: Roles, dedup: bool = False) -> DataFrame:
@@ -178,7 +186,8 @@ def territory_roi(r: Roles, dedup: bool = False) -> DataFrame:
                        "realized_revenue",
                        ratio_round("realized_revenue", "market_potential", 100, 2)
                        .alias("market_capture_pct"),
-                       F.coalesce("rep_count", F.lit(0)).cast("bigint").alias("rep_count"))
+                       F.coalesce("rep_count", F.lit(0)).cast("bigint").alias("rep_count")
+                       ).orderBy(F.col("market_capture_pct").desc_nulls_last(), "territory_id")
 
 
 def wasted_calls(r: Roles, dedup: bool = False, min_visits: int = 5, top: int = 20) -> DataFrame:
@@ -218,4 +227,4 @@ def untapped_doctors(r: Roles) -> DataFrame:
     t = r.territories.select("territory_id", "territory_name")
     return unvisited.join(t, "territory_id").select(
         "doctor_id", "doctor_name", "specialty", "prescribing_potential", "potential_score",
-        "territory_name")
+        "territory_name").orderBy(F.col("potential_score").desc(), "doctor_id")

@@ -51,6 +51,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataF
 def territories_from_tpch(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     region = _read(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    from callwise.operators.joins import bounded_broadcast
+    region = bounded_broadcast(region, 100_000)
     return (nation.join(region, nation.n_regionkey == region.r_regionkey)
             .select(F.col("n_nationkey").alias("territory_id"),
                     F.concat(F.lit("Zone "), F.col("n_name")).alias("territory_name"),
