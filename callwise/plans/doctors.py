@@ -196,7 +196,8 @@ _FEATURES_CACHE: dict[tuple[str, str], DataFrame] = {}
 def load_features(spark, sf_dir: str) -> DataFrame:
     from callwise.session import new_output_path
     from callwise.sources.roles import load_roles
-    key = (spark.sparkContext.applicationId, sf_dir)
+    from callwise.session import session_key
+    key = (session_key(spark), sf_dir)
     if key not in _FEATURES_CACHE:
         path = new_output_path(spark, "doctor-features")
         f = doctor_features(load_roles(spark, sf_dir))

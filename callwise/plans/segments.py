@@ -51,7 +51,7 @@ class Selection:
 
 
 def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SEED,
-                 feats: DataFrame | None = None, workers: int = 8) -> Selection:
+                 feats: DataFrame | None = None, workers: int = 16) -> Selection:
     spark = r.doctors.sparkSession
     feats = feats if feats is not None else doctor_features(r)
     scaled = doctor_features_scaled(r, feats)
@@ -75,13 +75,16 @@ def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SE
         fits = list(pool.map(fit, jobs))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                                     distanceMeasure="squaredEuclidean")
-    table, models = [], {}
-    for k in k_range:
-        # best of n_init seeds by inertia, first seed on ties
-        _, _, cost, model = min((f for f in fits if f[0] == k), key=lambda f: (f[2], f[1]))
-        sil = evaluator.evaluate(model.transform(vectors))
-        table.append((k, float(cost), float(sil)))
-        models[k] = model
+    # best of n_init seeds by inertia, first seed on ties
+    best = {k: min((f for f in fits if f[0] == k), key=lambda f: (f[2], f[1])) for k in k_range}
+
+    def silhouette(k: int) -> float:
+        return float(evaluator.evaluate(best[k][3].transform(vectors)))
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        sils = dict(zip(k_range, pool.map(silhouette, k_range)))
+    table = [(k, float(best[k][2]), sils[k]) for k in k_range]
+    models = {k: best[k][3] for k in k_range}
     best_k = max(table, key=lambda t: (t[2], -t[0]))[0]
     return Selection(feats, vectors, table, best_k, models[best_k])
 
@@ -90,7 +93,8 @@ _CACHE: dict[tuple[str, str], Selection] = {}
 
 
 def cached_selection(spark: SparkSession, sf_dir: str) -> Selection:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    from callwise.session import session_key
+    key = (session_key(spark), sf_dir)
     if key not in _CACHE:
         from callwise.plans.doctors import load_features
         _CACHE[key] = select_model(load_roles(spark, sf_dir), feats=load_features(spark, sf_dir))

@@ -40,6 +40,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identity of the running application, for per-session caches."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect sessions expose no SparkContext
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, taken from ``spark.checkpoint.dir``.
 
@@ -47,14 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
     unset (local tests) do we create one, and register it as the session's
     checkpoint dir so that ``DataFrame.checkpoint`` uses the same place.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint dir
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
+        if d and sc is not None:
+            sc.setCheckpointDir(d)
     if not d:
         d = tempfile.mkdtemp(prefix="callwise-ckpt-")
-        sc.setCheckpointDir(d)
-        d = sc.getCheckpointDir() or d
+        if sc is not None:
+            sc.setCheckpointDir(d)
+            d = sc.getCheckpointDir() or d
     return d
 
 

@@ -167,7 +167,8 @@ _CACHE: dict[tuple[str, str], Roles] = {}
 
 
 def _session_key(spark: SparkSession) -> str:
-    return spark.sparkContext.applicationId
+    from callwise.session import session_key
+    return session_key(spark)
 
 
 # A dimension is broadcast to its joins only when its row count is checked below this.
