@@ -50,6 +50,7 @@ def role_plans() -> dict[str, tuple]:
         "rep_scorecard_dedup": (kpi.rep_scorecard, dict(dedup=True)),
         "call_efficiency": (kpi.call_efficiency, dict()),
         "overcall_flag": (kpi.overcall_flag, dict()),
+        "overcall_flag_35": (kpi.overcall_flag, dict(threshold_pct=35)),
         "reach_frequency": (kpi.reach_frequency, dict()),
         "reach_frequency_dedup": (kpi.reach_frequency, dict(dedup=True)),
         "product_by_territory": (kpi.product_by_territory, dict()),

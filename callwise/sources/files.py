@@ -38,14 +38,23 @@ SCHEMAS: dict[str, T.StructType] = {
                                ("low_pct", _D), ("rep_name", _S), ("target_calls", _I),
                                ("experience_yrs", _I), ("total_revenue", _L),
                                ("call_achievement_pct", _D), ("revenue_per_call", _D)),
+    "doctor_segments": _schema(("doctor_id", _S), ("potential_score", _I), ("years_in_practice", _I),
+                               ("total_visits", _L), ("unique_products", _L), ("avg_duration", _D),
+                               ("samples_received", _L), ("total_revenue", _L), ("total_units", _L),
+                               ("months_active", _L), ("cluster", _I), ("segment", _S)),
 }
 
 
+def read_csv_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the seven model files (five roles + rep_performance + doctor_segments)."""
+    return (spark.read.option("header", True).option("mode", "FAILFAST")
+            .schema(SCHEMAS[name]).csv(f"{folder.rstrip('/')}/{name}.csv"))
+
+
 def read_csv_roles(spark: SparkSession, folder: str) -> Roles:
     """Load ``territories.csv`` .. ``prescriptions.csv`` (header row, typed)."""
     def rd(name: str) -> DataFrame:
-        return (spark.read.option("header", True).option("mode", "FAILFAST")
-                .schema(SCHEMAS[name]).csv(f"{folder.rstrip('/')}/{name}.csv"))
+        return read_csv_table(spark, folder, name)
     return Roles(rd("territories"), rd("reps"), rd("doctors"), rd("visits"), rd("prescriptions"))
 
 
@@ -62,7 +71,7 @@ def write_roles(roles: Roles, folder: str, fmt: str = "parquet") -> None:
         if name in ("visits", "prescriptions") and "quarter" in df.columns and fmt == "parquet":
             w = w.partitionBy("quarter")
         if fmt == "csv":
-            w.option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+            w.option("header", True).csv(f"{folder.rstrip('/')}/{name}.csv")
         else:
             w.parquet(f"{folder.rstrip('/')}/{name}")
 
