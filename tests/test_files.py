@@ -27,3 +27,14 @@ def test_csv_round_trip_keeps_results(spark, smoke_dir):
     perf = reps.rep_performance(roles)
     perf.write.option("header", True).csv(f"{folder}/rep_performance.csv")
     assert _canon(read_csv_table(spark, folder, "rep_performance"), ids) == _canon(perf, ids)
+
+
+def test_shared_scan_roles_equal_spec(spark, smoke_dir):
+    """The materialised facts (one orders/lineitem shuffle) equal the plain definitions."""
+    from callwise.sources import roles as R
+    spec = R.roles_from_tpch(spark, smoke_dir)
+    built = R.load_roles(spark, smoke_dir)
+    for name in ("visits", "prescriptions"):
+        a = getattr(spec, name)
+        b = getattr(built, name).select(*a.columns)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
