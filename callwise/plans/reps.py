@@ -42,11 +42,10 @@ def rep_calls(r: Roles) -> DataFrame:
     one row per pair instead of one per visit."""
     pot = r.doctors.select("doctor_id", "prescribing_potential")
     j = rep_doctor_visits(r.visits).join(pot, "doctor_id")
-
-    def level(name: str):
-        return F.sum(F.when(F.col("prescribing_potential") == name, F.col("n_v")).otherwise(0))
-
-    g = j.groupBy("rep_id").agg(*[level(p).cast("bigint").alias(p) for p in ("High", "Low", "Medium")])
+    # pivot on the fixed level list: missing levels become 0-filled columns
+    g = (j.groupBy("rep_id").pivot("prescribing_potential", ["High", "Low", "Medium"])
+         .agg(F.sum("n_v")).na.fill(0))
+    g = g.select("rep_id", *[F.col(p).cast("bigint").alias(p) for p in ("High", "Low", "Medium")])
     return (g.withColumn("total_calls", F.col("High") + F.col("Medium") + F.col("Low"))
             .withColumn("score_x100", score_x100("High", "Medium", "Low"))
             .withColumn("efficiency_score", F.col("score_x100").cast("double") / 100.0)
@@ -123,10 +122,8 @@ def call_mix_pct(r: Roles) -> DataFrame:
 def monthly_revenue_pivot(r: Roles) -> DataFrame:
     """Revenue per month with one column per product (zero filled), the total, and the
     same in millions."""
-    rx = r.prescriptions
-    g = rx.groupBy("month").agg(*[
-        F.sum(F.when(F.col("product") == p, F.col("revenue")).otherwise(0)).cast("bigint").alias(p)
-        for p in PRODUCTS])
+    g = (r.prescriptions.groupBy("month").pivot("product", PRODUCTS).agg(F.sum("revenue"))
+         .na.fill(0).select("month", *[F.col(p).cast("bigint").alias(p) for p in PRODUCTS]))
     g = g.withColumn("total_revenue", sum((F.col(p) for p in PRODUCTS[1:]), F.col(PRODUCTS[0])))
     return g.select("month", *PRODUCTS, "total_revenue",
                     *[(F.col(c) / F.lit(1e6)).alias(f"{c}_m") for c in PRODUCTS + ["total_revenue"]])
@@ -166,8 +163,7 @@ def product_mix_by_territory(r: Roles) -> DataFrame:
     t = r.territories.select("territory_id", "territory_name")
     per_t = (r.prescriptions.groupBy("territory_id", "product").agg(F.sum("revenue").alias("rev"))
              .join(t, "territory_id"))
-    g = per_t.groupBy("territory_name").agg(*[
-        F.sum(F.when(F.col("product") == p, F.col("rev")).otherwise(0)).alias(p) for p in PRODUCTS])
+    g = per_t.groupBy("territory_name").pivot("product", PRODUCTS).agg(F.sum("rev")).na.fill(0)
     total = sum((F.col(p) for p in PRODUCTS[1:]), F.col(PRODUCTS[0]))
     return g.select("territory_name", *[
         (F.try_divide(F.col(p).cast("double"), total.cast("double")) * 100).alias(p) for p in PRODUCTS])
