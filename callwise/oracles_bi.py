@@ -184,8 +184,73 @@ FROM (SELECT *, CAST(floor((5 + {hash_sql(['doctor_id', 'pidx', 'month'], 3)} %
       FROM (SELECT *, {_PIDX} AS pidx, {_MULT} AS mult FROM expected) e
       WHERE {hash_sql(['doctor_id', 'pidx', 'month'], 2)} * 1000000 < p_ppm * {MODULUS})""", EXPECTED_CTE),
     }
+    out["call_plan_sample"] = call_plan_sql()
     return out
 
 
 def fk_sql(extra_ctes: str) -> str:
     return with_roles("\nUNION ALL\n".join(_fk(*e) for e in FK_EDGES), extra_ctes)
+
+
+def call_plan_sql() -> str:
+    """The call-plan sampler in plain SQL: a recursive CTE runs the successive class draws."""
+    from callwise.plans import callplan as cp
+    from callwise.functions.labels import REP_STYLE_WEIGHTS as W
+
+    def weight(cls: str) -> str:
+        return ("CASE rep_id % 3 " + " ".join(f"WHEN {i} THEN {w[cls]}" for i, w in enumerate(W))
+                + " END")
+    u = f"(CAST({hash_sql(['rep_id', 'month', 'j + 1'], cp.S_CLASS)} AS DOUBLE) / {MODULUS})"
+    tot = "(wh * h + wm * m + wl * l)"
+    pick = f"(CASE WHEN {u} * {tot} < wh * h THEN 0 WHEN {u} * {tot} < wh * h + wm * m THEN 1 ELSE 2 END)"
+    primes = ", ".join(str(p) for p in cp.STEP_PRIMES)
+    key = ["rep_id", "month", "ci"]
+    extra = f"""
+sizes AS (
+ SELECT territory_id, COUNT(*) FILTER (WHERE prescribing_potential = 'High') AS n_high,
+  COUNT(*) FILTER (WHERE prescribing_potential = 'Medium') AS n_medium,
+  COUNT(*) FILTER (WHERE prescribing_potential = 'Low') AS n_low
+ FROM doctors WHERE prescribing_potential IN ('High', 'Medium', 'Low') GROUP BY territory_id),
+rm AS (
+ SELECT r.rep_id, r.territory_id, CAST(mm.month AS INT) AS month, s.n_high, s.n_medium, s.n_low,
+  least({cp.CALLS_MIN} + {hash_sql(['r.rep_id', 'mm.month'], cp.S_CALLS)} % {cp.CALLS_SPAN},
+        s.n_high + s.n_medium + s.n_low) AS n,
+  {weight('High').replace('rep_id', 'r.rep_id')} AS wh, {weight('Medium').replace('rep_id', 'r.rep_id')} AS wm,
+  {weight('Low').replace('rep_id', 'r.rep_id')} AS wl
+ FROM reps r JOIN sizes s ON s.territory_id = r.territory_id
+ CROSS JOIN (SELECT range AS month FROM range(1, {cp.N_MONTHS + 1})) mm),
+steps AS (
+ SELECT rep_id, territory_id, month, n, wh, wm, wl, 0 AS j, n_high AS h, n_medium AS m, n_low AS l,
+  n_high, n_medium, n_low, 0 AS ch, 0 AS cm, 0 AS cl FROM rm
+ UNION ALL
+ SELECT rep_id, territory_id, month, n, wh, wm, wl, j + 1,
+  h - CASE WHEN {pick} = 0 THEN 1 ELSE 0 END, m - CASE WHEN {pick} = 1 THEN 1 ELSE 0 END,
+  l - CASE WHEN {pick} = 2 THEN 1 ELSE 0 END, n_high, n_medium, n_low,
+  ch + CASE WHEN {pick} = 0 THEN 1 ELSE 0 END, cm + CASE WHEN {pick} = 1 THEN 1 ELSE 0 END,
+  cl + CASE WHEN {pick} = 2 THEN 1 ELSE 0 END
+ FROM steps WHERE j < n),
+per_class AS (
+ SELECT rep_id, territory_id, month, 'High' AS cls, 0 AS ci, ch AS c, n_high AS nn FROM steps WHERE j = n
+ UNION ALL SELECT rep_id, territory_id, month, 'Medium', 1, cm, n_medium FROM steps WHERE j = n
+ UNION ALL SELECT rep_id, territory_id, month, 'Low', 2, cl, n_low FROM steps WHERE j = n),
+params AS (
+ SELECT *, CASE WHEN p % nn = 0 THEN 1 ELSE p % nn END AS a, {hash_sql(key, cp.S_OFFSET)} % nn AS b
+ FROM (SELECT *, list_extract([{primes}], CAST({hash_sql(key, cp.S_STEP)} % {len(cp.STEP_PRIMES)} + 1 AS INT)) AS p
+       FROM per_class WHERE c > 0)),
+picks AS (SELECT rep_id, territory_id, month, cls, (a * i + b) % nn AS rnk
+          FROM (SELECT *, unnest(range(0, c)) AS i FROM params)),
+ranked AS (
+ SELECT territory_id, prescribing_potential AS cls, doctor_id,
+  ROW_NUMBER() OVER (PARTITION BY territory_id, prescribing_potential
+                     ORDER BY {hash_sql(['doctor_id'], cp.S_SALT)} % {cp.SALT_BUCKETS}, doctor_id) - 1 AS rnk
+ FROM doctors WHERE prescribing_potential IN ('High', 'Medium', 'Low')),
+plan AS (
+ SELECT p.rep_id, p.month, r.doctor_id, p.cls AS prescribing_potential,
+  CAST('{cp.PLAN_START}' AS DATE) + CAST((p.month - 1) * 30
+    + {hash_sql(['p.rep_id', 'p.month', 'r.doctor_id'], cp.S_DAY)} % {cp.DAY_SPAN} AS INTEGER) AS planned_date
+ FROM picks p JOIN ranked r ON r.territory_id = p.territory_id AND r.cls = p.cls AND r.rnk = p.rnk)"""
+    body = """
+SELECT rep_id, month, doctor_id, prescribing_potential, planned_date,
+ CAST(month(planned_date) AS INT) AS planned_month, CAST(quarter(planned_date) AS INT) AS planned_quarter
+FROM plan"""
+    return with_roles(body, extra).replace("WITH ", "WITH RECURSIVE ", 1)
