@@ -26,13 +26,33 @@ _BASE_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizing for a cluster run over ``input_bytes`` of parquet.
+
+    The initial shuffle partition count gives about ``partition_bytes`` of input per
+    reducer. AQE then coalesces small partitions toward the advisory size and splits
+    skewed ones, so tasks fit executor memory without spilling at any input size."""
+    n = max(200, min(200_000, input_bytes // partition_bytes))
+    mb = f"{partition_bytes >> 20}m"
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": mb,
+        "spark.sql.files.maxPartitionBytes": mb,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * (partition_bytes >> 20)}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "callwise") -> SparkSession:
+              app_name: str = "callwise", input_bytes: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for k, v in _BASE_CONF.items():
         builder = builder.config(k, v)
+    if input_bytes:
+        for k, v in scale_conf(input_bytes).items():
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
