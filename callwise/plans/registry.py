@@ -118,16 +118,18 @@ SEGMENT_PLANS = {
 
 
 def _streamed_rep_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rep_efficiency maintained by the streaming refresh over the visit files,
-    fed in several micro-batches (one written file per trigger)."""
+    """rep_efficiency maintained by the streaming refresh, fed by the written visit
+    files themselves (a quarter-partitioned folder) in about four micro-batches."""
     from callwise.session import new_output_path
+    from callwise.sources.roles import fact_path
     from callwise.streaming.refresh import refresh_rep_efficiency
     r = load_roles(spark, sf_dir)
-    src = new_output_path(spark, "visits-stream")
-    r.visits.select("rep_id", "doctor_id").repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    return refresh_rep_efficiency(spark, src, schema, r.doctors, new_output_path(spark, "rep-eff"),
-                                  new_output_path(spark, "rep-eff-ckpt"), max_files_per_trigger=1)
+    src = fact_path(spark, sf_dir, "visits")
+    files = spark.read.parquet(src)
+    per_trigger = max(1, -(-len(files.inputFiles()) // 4))
+    return refresh_rep_efficiency(spark, src, files.schema, r.doctors, new_output_path(spark, "rep-eff"),
+                                  new_output_path(spark, "rep-eff-ckpt"),
+                                  max_files_per_trigger=per_trigger)
 
 
 def queries() -> dict[str, Query]:

@@ -164,6 +164,7 @@ def roles_from_tpch(spark: SparkSession, sf_dir: str) -> Roles:
 # Facts are partitioned by quarter so quarter slicers prune files.
 # ---------------------------------------------------------------------------
 _CACHE: dict[tuple[str, str], Roles] = {}
+_PATHS: dict[tuple[str, str], str] = {}
 
 
 def _session_key(spark: SparkSession) -> str:
@@ -205,8 +206,15 @@ def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Ro
     roles = Roles(*[sized_dimension(d) for d in (lazy.territories, lazy.reps, lazy.doctors)],
                   visits, rx)
     _CACHE[key] = roles
+    _PATHS[key] = base
     return roles
 
 
+def fact_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a written fact role (``visits`` or ``prescriptions``)."""
+    load_roles(spark, sf_dir)
+    return f"{_PATHS[(_session_key(spark), sf_dir)]}/{name}"
+
+
 def clear_role_cache() -> None:
     _CACHE.clear()
