@@ -173,7 +173,7 @@ def _session_key(spark: SparkSession) -> str:
 
 
 # A dimension is broadcast to its joins only when its row count is checked below this.
-DIMENSION_BROADCAST_ROWS = 1_000_000
+DIMENSION_BROADCAST_ROWS = 250_000  # about 25 MB for the widest dimension
 
 
 def sized_dimension(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
