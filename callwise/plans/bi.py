@@ -43,7 +43,8 @@ def _with_region(df: DataFrame, r: Roles, via: str) -> DataFrame:
 
 
 def measures(r: Roles, region: str | None = None, product: str | None = None,
-             quarter: int | None = None, by_region: bool = False) -> DataFrame:
+             quarter: int | None = None, by_region: bool = False,
+             perf: DataFrame | None = None) -> DataFrame:
     """Total Revenue, Total Units, Total Visits, Unique Doctors Visited, Avg Efficiency
     Score, Market Capture %, Revenue per Visit, High Potential Call %, Wasted Calls."""
     need_region = by_region or region is not None
@@ -60,7 +61,7 @@ def measures(r: Roles, region: str | None = None, product: str | None = None,
                        .otherwise(0))
            .withColumn("n_low", F.when(F.col("prescribing_potential") == "Low", F.col("n_v"))
                        .otherwise(0)))
-    perf = rep_performance_full(r).select("rep_id", "score_x100")
+    perf = (perf if perf is not None else rep_performance_full(r)).select("rep_id", "score_x100")
     terr = r.territories.select("territory_id", "market_potential")
     if need_region:
         rx = _with_region(rx, r, "territory_id")
@@ -131,8 +132,8 @@ def quarterly_revenue_by_product(r: Roles, region=None, product=None, quarter=No
             .agg(F.sum("revenue").cast("bigint").alias("total_revenue")))
 
 
-def rep_scorecard_banded(r: Roles) -> DataFrame:
-    p = rep_performance_full(r)
+def rep_scorecard_banded(r: Roles, perf: DataFrame | None = None) -> DataFrame:
+    p = perf if perf is not None else rep_performance_full(r)
     return p.select("rep_id", "rep_name", "efficiency_score", "high_pct", "low_pct", "total_calls",
                     "call_achievement_pct", "total_revenue",
                     score_band(F.col("score_x100")).alias("score_band"))
@@ -148,9 +149,9 @@ def call_distribution(r: Roles) -> DataFrame:
             .agg(F.sum("n").cast("bigint").alias("call_count")))
 
 
-def efficiency_vs_revenue(r: Roles) -> DataFrame:
-    return (rep_performance_full(r).select("rep_id", "rep_name", "efficiency_score",
-                                           "total_revenue", "total_calls")
+def efficiency_vs_revenue(r: Roles, perf: DataFrame | None = None) -> DataFrame:
+    p = perf if perf is not None else rep_performance_full(r)
+    return (p.select("rep_id", "rep_name", "efficiency_score", "total_revenue", "total_calls")
             .orderBy(F.col("efficiency_score").desc_nulls_last(), "rep_id"))
 
 

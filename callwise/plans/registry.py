@@ -29,6 +29,19 @@ def _seg(fn) -> Query:
     return q
 
 
+PERF_READERS = {"top_reps_by_efficiency", "bottom_reps_by_low_pct", "rep_efficiency_chart",
+                "bi_measures", "bi_measures_sliced", "bi_measures_by_region",
+                "rep_scorecard_banded", "efficiency_vs_revenue"}
+
+
+def _perf_q(fn, **kw) -> Query:
+    """Plans that read the written rep scorecard table."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(load_roles(spark, sf_dir), perf=reps.load_rep_performance(spark, sf_dir), **kw)
+    q.__name__ = getattr(fn, "__name__", "query")
+    return q
+
+
 def _feat(fn) -> Query:
     """Plans over the doctor feature table, read from its written copy."""
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +146,8 @@ def _streamed_rep_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {name: _q(fn, **kw) for name, (fn, kw) in role_plans().items()}
+    out: dict[str, Query] = {name: (_perf_q if name in PERF_READERS else _q)(fn, **kw)
+                             for name, (fn, kw) in role_plans().items()}
     for name, fn in FEATURE_PLANS.items():
         out[name] = _feat(fn)
     out.update({name: _seg(fn) for name, fn in SEGMENT_PLANS.items()})

@@ -87,23 +87,41 @@ def rep_performance(r: Roles) -> DataFrame:
     return rep_performance_full(r).select(*PERF_COLUMNS)
 
 
-def top_reps_by_efficiency(r: Roles, n: int = 5) -> DataFrame:
-    p = rep_performance_full(r)
+# The scorecard is a derived table in its own right (the dashboards import it):
+# written once per session and input to the shared folder, then read by the
+# top / bottom lists, the chart table and the BI measures.
+_PERF_CACHE: dict[tuple[str, str], DataFrame] = {}
+
+
+def load_rep_performance(spark, sf_dir: str) -> DataFrame:
+    from callwise.session import new_output_path, session_key
+    from callwise.sources.roles import load_roles
+    key = (session_key(spark), sf_dir)
+    if key not in _PERF_CACHE:
+        path = new_output_path(spark, "rep-performance")
+        df = rep_performance_full(load_roles(spark, sf_dir))
+        df.write.mode("overwrite").parquet(path)
+        _PERF_CACHE[key] = spark.read.parquet(path).select(*df.columns)
+    return _PERF_CACHE[key]
+
+
+def top_reps_by_efficiency(r: Roles, n: int = 5, perf: DataFrame | None = None) -> DataFrame:
+    p = perf if perf is not None else rep_performance_full(r)
     return top_k(p, n, [F.col("efficiency_score").desc_nulls_last(), F.col("rep_id")]).select(
         "rep_id", "rep_name", "efficiency_score", "high_pct", "low_pct", "total_revenue")
 
 
-def bottom_reps_by_low_pct(r: Roles, n: int = 5) -> DataFrame:
-    p = rep_performance_full(r)
+def bottom_reps_by_low_pct(r: Roles, n: int = 5, perf: DataFrame | None = None) -> DataFrame:
+    p = perf if perf is not None else rep_performance_full(r)
     return top_k(p, n, [F.col("low_pct").desc_nulls_last(), F.col("rep_id")]).select(
         "rep_id", "rep_name", "low_pct", "high_pct", "efficiency_score", "total_revenue")
 
 
-def rep_efficiency_chart(r: Roles, n: int = 12) -> DataFrame:
+def rep_efficiency_chart(r: Roles, n: int = 12, perf: DataFrame | None = None) -> DataFrame:
     """Top ``n`` reps by score with the median score of all reps and an above/below band.
 
     The median is taken over the integer score (bounded domain), so it is exact."""
-    p = rep_performance_full(r)
+    p = perf if perf is not None else rep_performance_full(r)
     med = global_median(p, "score_x100")
     top = top_k(p, n, [F.col("efficiency_score").desc_nulls_last(), F.col("rep_id")])
     return top.select(
