@@ -203,7 +203,6 @@ def call_plan_sql() -> str:
     u = f"(CAST({hash_sql(['rep_id', 'month', 'j + 1'], cp.S_CLASS)} AS DOUBLE) / {MODULUS})"
     tot = "(wh * h + wm * m + wl * l)"
     pick = f"(CASE WHEN {u} * {tot} < wh * h THEN 0 WHEN {u} * {tot} < wh * h + wm * m THEN 1 ELSE 2 END)"
-    primes = ", ".join(str(p) for p in cp.STEP_PRIMES)
     key = ["rep_id", "month", "ci"]
     extra = f"""
 sizes AS (
@@ -233,12 +232,15 @@ per_class AS (
  SELECT rep_id, territory_id, month, 'High' AS cls, 0 AS ci, ch AS c, n_high AS nn FROM steps WHERE j = n
  UNION ALL SELECT rep_id, territory_id, month, 'Medium', 1, cm, n_medium FROM steps WHERE j = n
  UNION ALL SELECT rep_id, territory_id, month, 'Low', 2, cl, n_low FROM steps WHERE j = n),
-params AS (
- SELECT *, CASE WHEN p % nn = 0 THEN 1 ELSE p % nn END AS a, {hash_sql(key, cp.S_OFFSET)} % nn AS b
- FROM (SELECT *, list_extract([{primes}], CAST({hash_sql(key, cp.S_STEP)} % {len(cp.STEP_PRIMES)} + 1 AS INT)) AS p
-       FROM per_class WHERE c > 0)),
-picks AS (SELECT rep_id, territory_id, month, cls, (a * i + b) % nn AS rnk
-          FROM (SELECT *, unnest(range(0, c)) AS i FROM params)),
+floyd AS (
+ SELECT rep_id, territory_id, month, cls, ci, nn, c, nn - c AS j, CAST([] AS BIGINT[]) AS acc
+ FROM per_class WHERE c > 0
+ UNION ALL
+ SELECT rep_id, territory_id, month, cls, ci, nn, c, j + 1,
+  CASE WHEN list_contains(acc, {hash_sql(key + ['j'], cp.S_PICK)} % (j + 1)) THEN list_append(acc, j)
+       ELSE list_append(acc, {hash_sql(key + ['j'], cp.S_PICK)} % (j + 1)) END
+ FROM floyd WHERE j < nn),
+picks AS (SELECT rep_id, territory_id, month, cls, unnest(acc) AS rnk FROM floyd WHERE j = nn),
 ranked AS (
  SELECT territory_id, prescribing_potential AS cls, doctor_id,
   ROW_NUMBER() OVER (PARTITION BY territory_id, prescribing_potential

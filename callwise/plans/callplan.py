@@ -9,9 +9,14 @@ neither of which looks at (rep, doctor) pairs:
    probability w_c r_c / sum(w r) over the classes' remaining counts r. This is a
    <= 27-step loop per (rep, month), run JVM-side with the ``aggregate`` higher-order
    function over ``sequence(1, n)``.
-2. Which doctors within a class: c distinct ranks out of the class's N doctors,
-   taken as an affine progression (a i + b) mod N with a coprime to N. The picks are
-   equi-joined to the doctors ranked within (territory, class).
+2. Which doctors within a class: a uniform random c-subset of the class's N ranks
+   by Floyd's algorithm (c keyed draws, again one ``aggregate`` over a <= 27-element
+   sequence). The picked ranks are equi-joined to the doctors ranked within
+   (territory, class).
+
+Given the class counts, every subset of a class is equally likely, which is
+exactly the law of successive weighted draws when weights are equal within a
+class; so the plan has the distribution of weighted sampling without replacement.
 
 Ranks inside (territory, class) are built without one task per group: a salt
 bucket (keyed hash of the doctor) splits each group, ``row_number`` runs per
@@ -39,10 +44,9 @@ PLAN_START = "2024-01-01"        # month m starts 30 * (m - 1) days later
 CALLS_MIN, CALLS_SPAN = 18, 10   # calls per rep-month: 18..27, capped at the doctors available
 DAY_SPAN = 28                    # planned day within the 30-day window: 0..27
 SALT_BUCKETS = 256
-STEP_PRIMES = [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121]
 CLASSES = ["High", "Medium", "Low"]
 
-S_CALLS, S_CLASS, S_OFFSET, S_STEP, S_DAY, S_SALT = 11, 12, 13, 14, 15, 16
+S_CALLS, S_CLASS, S_PICK, S_DAY, S_SALT = 11, 12, 13, 15, 16
 
 
 def ranked_doctors(doctors: DataFrame) -> DataFrame:
@@ -97,15 +101,13 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
                                      F.col(f"drawn.c{c[0].lower()}").alias("c"),
                                      F.col(f"n_{c}").alias("N")) for i, c in enumerate(CLASSES)]))
         .alias("x")).select("rep_id", "territory_id", "month", "x.*").filter(F.col("c") > 0)
-    primes = ", ".join(str(p) for p in STEP_PRIMES)
-    pick_key = ["rep_id", "month", "ci"]
-    picks = (per_class
-             .withColumn("p", F.expr(f"element_at(array({primes}), "
-                                     f"CAST({hash_sql(pick_key, S_STEP)} % {len(STEP_PRIMES)} + 1 AS INT))"))
-             .withColumn("a", F.expr("CASE WHEN p % N = 0 THEN 1 ELSE p % N END"))
-             .withColumn("b", F.expr(f"{hash_sql(pick_key, S_OFFSET)} % N"))
-             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-             .withColumn("rank", F.expr("(a * i + b) % N")))
+    # Floyd: for j = N-c .. N-1 draw t in [0, j]; keep t unless already taken, else keep j
+    t = f"({hash_sql(['rep_id', 'month', 'ci', 'j'], S_PICK)} % (j + 1))"
+    floyd = (f"aggregate(sequence(N - c, N - 1), CAST(array() AS ARRAY<BIGINT>), "
+             f"(acc, j) -> CASE WHEN array_contains(acc, {t}) THEN array_append(acc, j) "
+             f"ELSE array_append(acc, {t}) END)")
+    picks = (per_class.withColumn("N", F.col("N").cast("bigint")).withColumn("c", F.col("c").cast("bigint"))
+             .select("rep_id", "territory_id", "month", "cls", F.explode(F.expr(floyd)).alias("rank")))
     ranked = ranked_doctors(r.doctors)
     plan = picks.join(ranked, ["territory_id", "cls", "rank"])
     day = F.expr(f"{hash_sql(['rep_id', 'month', 'doctor_id'], S_DAY)} % {DAY_SPAN}")

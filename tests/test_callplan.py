@@ -25,10 +25,10 @@ def brute_force(reps, doctors):
               for g, ids in by_group.items()}
     out = set()
     for rep in reps:
-        t = rep["territory_id"]
-        sizes = [len(ranked.get((t, c), [])) for c in cp.CLASSES]
-        if sum(sizes) == 0 and not any((t, c) in ranked for c in cp.CLASSES):
+        terr = rep["territory_id"]
+        if not any((terr, c) in ranked for c in cp.CLASSES):
             continue  # territory without classified doctors: no row in the size table
+        sizes = [len(ranked.get((terr, c), [])) for c in cp.CLASSES]
         w = [REP_STYLE_WEIGHTS[rep["rep_id"] % 3][c] for c in cp.CLASSES]
         for month in range(1, cp.N_MONTHS + 1):
             n = min(cp.CALLS_MIN + h([rep["rep_id"], month], cp.S_CALLS) % cp.CALLS_SPAN, sum(sizes))
@@ -41,14 +41,12 @@ def brute_force(reps, doctors):
                 cnt[k] += 1
             for ci, c in enumerate(cp.CLASSES):
                 N = sizes[ci]
-                if cnt[ci] == 0:
-                    continue
-                key = [rep["rep_id"], month, ci]
-                p = cp.STEP_PRIMES[h(key, cp.S_STEP) % len(cp.STEP_PRIMES)]
-                a = 1 if p % N == 0 else p % N
-                b = h(key, cp.S_OFFSET) % N
-                for i in range(cnt[ci]):
-                    doc = ranked[(t, c)][(a * i + b) % N]
+                chosen = []
+                for j in range(N - cnt[ci], N):  # Floyd's uniform c-subset of range(N)
+                    t = h([rep["rep_id"], month, ci, j], cp.S_PICK) % (j + 1)
+                    chosen.append(j if t in chosen else t)
+                for rank in chosen:
+                    doc = ranked[(terr, c)][rank]
                     day = h([rep["rep_id"], month, doc], cp.S_DAY) % cp.DAY_SPAN
                     d = date(2024, 1, 1) + timedelta(days=(month - 1) * 30 + day)
                     out.add((rep["rep_id"], month, doc, c, d))
