@@ -31,14 +31,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwise.functions.labels import drop_first_token
-from callwise.plans.doctors import FEATURES, cluster_profile, doctor_features, doctor_features_scaled
+from callwise.plans.doctors import (FEATURES, cluster_profile, doctor_features,
+                                   doctor_features_scaled, fit_scaler)
 from callwise.sources.roles import Roles, load_roles
 
 K_RANGE = range(2, 8)
 N_INIT = 10
 SEED = 42
 MAX_ITER = 300
-TOL = 1e-4
+TOL = 1e-4   # the script's tolerance: on the sum over centers of squared center shifts,
+             # relative to the mean feature variance
+
+
+def spark_tol(k: int, mean_variance: float = 1.0, tol: float = TOL) -> float:
+    """Per-center shift bound for ``pyspark.ml`` (which stops when every center moves
+    less than ``tol``) implying the script's rule sum_k |shift_k|^2 <= tol * mean_var."""
+    import math
+    return math.sqrt(tol * mean_variance / k) if mean_variance > 0 else 1e-12
 
 
 @dataclass
@@ -54,7 +63,7 @@ def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SE
                  feats: DataFrame | None = None, workers: int = 16) -> Selection:
     spark = r.doctors.sparkSession
     feats = feats if feats is not None else doctor_features(r)
-    scaled = doctor_features_scaled(r, feats)
+    scaled = doctor_features_scaled(r, feats)  # fits the scaler (one aggregate)
     vectors = (VectorAssembler(inputCols=FEATURES, outputCol="features")
                .transform(scaled).select("doctor_id", "features"))
     from callwise.session import shared_dir
@@ -64,10 +73,14 @@ def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SE
     vectors = vectors.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     vectors.count()
 
+    # standardised features have variance 1, constant ones 0
+    model_stats = fit_scaler(feats)
+    mean_var = sum(1.0 for c in FEATURES if model_stats[c][2] > 0) / len(FEATURES)
+
     def fit(job: tuple[int, int]):
         k, i = job
-        m = KMeans(k=k, seed=seed + i, maxIter=MAX_ITER, tol=TOL, featuresCol="features",
-                   predictionCol="cluster").fit(vectors)
+        m = KMeans(k=k, seed=seed + i, maxIter=MAX_ITER, tol=spark_tol(k, mean_var),
+                   featuresCol="features", predictionCol="cluster").fit(vectors)
         return k, i, m.summary.trainingCost, m
 
     jobs = [(k, i) for k in k_range for i in range(n_init)]
