@@ -1,7 +1,7 @@
 """Run the whole analysis and write every table, like the original analysis script.
 
-    python -m callwise.report --tables /root/testdata/sf0.1 --out /shared/sfe-out
-    python -m callwise.report --csv /data/sfe-csv --out /shared/sfe-out --format csv
+    python -m callwise.report --tables /root/testdata/sf0.1 --out /shared/field-report
+    python -m callwise.report --csv /data/field-csv --out /shared/field-report --format csv
 
 ``--tables`` reads the TPC-H style driver tables through the role mapping;
 ``--csv`` reads reference-shaped ``territories.csv`` .. ``prescriptions.csv``. Each
