@@ -58,11 +58,13 @@ def divide_or_zero(num, den) -> Column:
 
 
 def score_x100_sql(high: str = "High", medium: str = "Medium", low: str = "Low") -> str:
-    """Weighted call score (3 H + 1.5 M + 0.5 L) / T, half-up to 2 dp, times 100.
+    """Weighted call score (wH H + wM M + wL L) / T, half-up to 2 dp, times 100.
 
-    Equal to ((100 * (6H + 3M + L) + T) div (2T)); NULL when T = 0.
+    With the weights doubled to integers (3, 1.5, 0.5 -> 6, 3, 1) this is
+    ((100 * (6H + 3M + L) + T) div (2T)); NULL when T = 0.
     """
-    return half_up_units_sql(f"6 * {high} + 3 * {medium} + {low}",
+    from callwise.functions.labels import SCORE_WEIGHTS_X2 as w
+    return half_up_units_sql(f"{w['High']} * {high} + {w['Medium']} * {medium} + {w['Low']} * {low}",
                              f"2 * ({high} + {medium} + {low})", 1, 2)
 
 

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 PRODUCTS = ["CardioMax", "DiabeCure", "NeuroCalm"]
 PRODUCT_PRICE = {"CardioMax": 850, "DiabeCure": 620, "NeuroCalm": 1100}
 POTENTIAL_LEVELS = ["High", "Medium", "Low"]
-# call score weights per potential level: High 3, Medium 1.5, Low 0.5
-# potential multiplier on prescribing: High 1.5, Medium 1.0, Low 0.4
-POTENTIAL_MULTIPLIER_X10 = {"High": 15, "Medium": 10, "Low": 4}
-# product x specialty affinity, default 0.15 when the pair is absent
-AFFINITY = {
+SCORE_WEIGHTS = {"High": 3, "Medium": 1.5, "Low": 0.5}          # efficiency score per call
+POTENTIAL_MULTIPLIER = {"High": 1.5, "Medium": 1.0, "Low": 0.4}  # prescribing multiplier
+POTENTIAL_PROBABILITIES = {"High": 0.2, "Medium": 0.5, "Low": 0.3}
+AFFINITY = {                                                     # product x specialty
     ("CardioMax", "Cardiologist"): 0.80,
     ("CardioMax", "Internist"): 0.40,
     ("CardioMax", "General Physician"): 0.25,
@@ -26,14 +25,12 @@ AFFINITY = {
     ("NeuroCalm", "General Physician"): 0.20,
 }
 AFFINITY_DEFAULT = 0.15
-# call-plan weights per rep style (rep index mod 3): efficient, average, inefficient
-REP_STYLE_WEIGHTS = [
-    {"High": 5, "Medium": 2, "Low": 1},
-    {"High": 3, "Medium": 2, "Low": 2},
-    {"High": 1, "Medium": 2, "Low": 4},
+FREQ_BOOST_PER_VISIT, FREQ_BOOST_CAP, PROBABILITY_CAP, PROBABILITY_SCALE = 0.10, 0.30, 0.95, 0.8
+REP_STYLE_WEIGHTS = [                                            # by rep index mod 3
+    {"High": 5, "Medium": 2, "Low": 1},                          # efficient
+    {"High": 3, "Medium": 2, "Low": 2},                          # average
+    {"High": 1, "Medium": 2, "Low": 4},                          # inefficient
 ]
-# potential draw probabilities: High .2, Medium .5, Low .3
-POTENTIAL_DRAW = [("High", 2), ("Medium", 5), ("Low", 3)]  # in tenths
 SEGMENT_LABELS = {
     ("high", "high"): "🟢 High Value - Well Covered",
     ("high", "low"): "🔵 High Value - Under-visited",
@@ -42,10 +39,23 @@ SEGMENT_LABELS = {
 }
 COVERAGE_FLAGS = ["Under-called High Value", "Over-called Low Value", "Well Covered",
                   "Standard Coverage"]
+COVERAGE_LIMITS = {"High": 8, "Low": 6, "Medium": 6}  # High < 8, Low > 6, Medium >= 6 visits
 ROI_FLAGS = ["ZERO RETURN", "Some Return"]
-SCORE_BANDS = ["Green", "Yellow", "Red"]  # >= 1.8, 1.4 to 1.8, < 1.4
+SCORE_BANDS = {"Green": 1.8, "Yellow": 1.4}           # Green >= 1.8, Yellow 1.4 to 1.8, else Red
 # ---------------------------------------------------------------------------
 
+# Integer forms of the fixed values, for exact arithmetic on any engine.
+SCORE_WEIGHTS_X2 = {k: int(round(2 * v)) for k, v in SCORE_WEIGHTS.items()}          # 6, 3, 1
+POTENTIAL_MULTIPLIER_X10 = {k: int(round(10 * v)) for k, v in POTENTIAL_MULTIPLIER.items()}
+POTENTIAL_CUMULATIVE_X10 = []  # (level, cumulative probability in tenths)
+_acc = 0.0
+for _level in POTENTIAL_LEVELS:
+    _acc += POTENTIAL_PROBABILITIES[_level]
+    POTENTIAL_CUMULATIVE_X10.append((_level, int(round(10 * _acc))))
+AFFINITY_BP = {k: int(round(10000 * v)) for k, v in AFFINITY.items()}
+AFFINITY_DEFAULT_BP = int(round(10000 * AFFINITY_DEFAULT))
+SCORE_BANDS_X100 = {k: int(round(100 * v)) for k, v in SCORE_BANDS.items()}
+
 
 def product_of_mod3(expr: str) -> Column:
     """Product named by ``expr % 3``: 0 CardioMax, 1 DiabeCure, 2 NeuroCalm."""
@@ -54,25 +64,28 @@ def product_of_mod3(expr: str) -> Column:
 
 
 def price_of(product: str = "product") -> Column:
-    return (F.when(F.col(product) == "CardioMax", F.lit(850))
-            .when(F.col(product) == "DiabeCure", F.lit(620))
-            .otherwise(F.lit(1100)))
+    e = F.lit(None).cast("int")
+    for name, price in reversed(list(PRODUCT_PRICE.items())):
+        e = F.when(F.col(product) == name, F.lit(price)).otherwise(e)
+    return e
 
 
 def coverage_flag(potential: Column, visits: Column) -> Column:
-    return (F.when((potential == "High") & (visits < 8), F.lit("Under-called High Value"))
-            .when((potential == "Low") & (visits > 6), F.lit("Over-called Low Value"))
-            .when((potential == "Medium") & (visits >= 6), F.lit("Well Covered"))
-            .otherwise(F.lit("Standard Coverage")))
+    lim = COVERAGE_LIMITS
+    return (F.when((potential == "High") & (visits < lim["High"]), F.lit(COVERAGE_FLAGS[0]))
+            .when((potential == "Low") & (visits > lim["Low"]), F.lit(COVERAGE_FLAGS[1]))
+            .when((potential == "Medium") & (visits >= lim["Medium"]), F.lit(COVERAGE_FLAGS[2]))
+            .otherwise(F.lit(COVERAGE_FLAGS[3])))
 
 
 def roi_flag(revenue: Column) -> Column:
-    return F.when(revenue == 0, F.lit("ZERO RETURN")).otherwise(F.lit("Some Return"))
+    return F.when(revenue == 0, F.lit(ROI_FLAGS[0])).otherwise(F.lit(ROI_FLAGS[1]))
 
 
 def score_band(score_x100: Column) -> Column:
-    return (F.when(score_x100 >= 180, F.lit("Green"))
-            .when(score_x100 >= 140, F.lit("Yellow"))
+    """Band of an efficiency score given as an exact integer x 100."""
+    return (F.when(score_x100 >= SCORE_BANDS_X100["Green"], F.lit("Green"))
+            .when(score_x100 >= SCORE_BANDS_X100["Yellow"], F.lit("Yellow"))
             .otherwise(F.lit("Red")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from callwise.functions import labels as L
 from callwise.functions.hashing import MODULUS, hash_sql
 from callwise.oracles import hu, with_roles
 from callwise.oracles_more import REP_PERF_CTES
@@ -108,23 +109,22 @@ FK_EDGES = [("reps", "territory_id", "territories", "territory_id"),
             ("rep_performance", "rep_id", "reps", "rep_id"),
             ("doctor_segments", "doctor_id", "doctors", "doctor_id")]
 
-_AFF = """CASE
-  WHEN product = 'CardioMax' AND specialty = 'Cardiologist' THEN 8000
-  WHEN product = 'CardioMax' AND specialty = 'Internist' THEN 4000
-  WHEN product = 'CardioMax' AND specialty = 'General Physician' THEN 2500
-  WHEN product = 'DiabeCure' AND specialty = 'Diabetologist' THEN 8500
-  WHEN product = 'DiabeCure' AND specialty = 'General Physician' THEN 3500
-  WHEN product = 'DiabeCure' AND specialty = 'Internist' THEN 3000
-  WHEN product = 'NeuroCalm' AND specialty = 'Neurologist' THEN 8000
-  WHEN product = 'NeuroCalm' AND specialty = 'General Physician' THEN 2000
-  ELSE 1500 END"""
-_MULT = "CASE prescribing_potential WHEN 'High' THEN 15 WHEN 'Medium' THEN 10 WHEN 'Low' THEN 4 END"
+_AFF = ("CASE " + " ".join(f"WHEN product = '{p}' AND specialty = '{sp}' THEN {bp}"
+                           for (p, sp), bp in L.AFFINITY_BP.items())
+        + f" ELSE {L.AFFINITY_DEFAULT_BP} END")
+_MULT = ("CASE prescribing_potential "
+         + " ".join(f"WHEN '{k}' THEN {m}" for k, m in L.POTENTIAL_MULTIPLIER_X10.items()) + " END")
+_PRICE = "CASE product " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.PRODUCT_PRICE.items()) + " END"
+_BOOST, _BOOST_CAP, _CAP = (int(round(10000 * v)) for v in
+                            (L.FREQ_BOOST_PER_VISIT, L.FREQ_BOOST_CAP, L.PROBABILITY_CAP))
+_SCALE10 = int(round(10 * L.PROBABILITY_SCALE))
 EXPECTED_CTE = f"""
 expected AS (
  SELECT c.doctor_id, c.product, c.month, c.n_visits, d.prescribing_potential,
   CAST({_AFF.replace('product', 'c.product').replace('specialty', 'd.specialty')} AS DOUBLE) / 10000.0 AS affinity,
-  CAST(least({_AFF.replace('product', 'c.product').replace('specialty', 'd.specialty')} + least(c.n_visits * 1000, 3000), 9500)
-       * {_MULT.replace('prescribing_potential', 'd.prescribing_potential')} * 8 AS BIGINT) AS p_ppm
+  CAST(least({_AFF.replace('product', 'c.product').replace('specialty', 'd.specialty')}
+             + least(c.n_visits * {_BOOST}, {_BOOST_CAP}), {_CAP})
+       * {_MULT.replace('prescribing_potential', 'd.prescribing_potential')} * {_SCALE10} AS BIGINT) AS p_ppm
  FROM (SELECT doctor_id, product, month, COUNT(visit_id) AS n_visits FROM visits GROUP BY doctor_id, product, month) c
  JOIN doctors d ON d.doctor_id = c.doctor_id)"""
 _PIDX = "CASE product WHEN 'CardioMax' THEN 0 WHEN 'DiabeCure' THEN 1 WHEN 'NeuroCalm' THEN 2 ELSE 3 END"
@@ -141,9 +141,10 @@ def bi_sql() -> dict[str, str]:
         "revenue_by_product": _rev_by_product(),
         "quarterly_revenue_by_product": with_roles("""
 SELECT quarter, product, CAST(SUM(revenue) AS BIGINT) AS total_revenue FROM prescriptions GROUP BY quarter, product"""),
-        "rep_scorecard_banded": _perf("""
+        "rep_scorecard_banded": _perf(f"""
 SELECT rep_id, rep_name, efficiency_score, high_pct, low_pct, total_calls, call_achievement_pct, total_revenue,
- CASE WHEN score_x100 >= 180 THEN 'Green' WHEN score_x100 >= 140 THEN 'Yellow' ELSE 'Red' END AS score_band
+ CASE WHEN score_x100 >= {L.SCORE_BANDS_X100['Green']} THEN 'Green'
+  WHEN score_x100 >= {L.SCORE_BANDS_X100['Yellow']} THEN 'Yellow' ELSE 'Red' END AS score_band
 FROM rep_perf"""),
         "call_distribution": with_roles("""
 SELECT r.rep_name, d.prescribing_potential, COUNT(*) AS call_count
@@ -169,17 +170,17 @@ SELECT 'territory' AS entity, CAST(territory_id AS BIGINT) AS id, printf('T%02d'
 UNION ALL SELECT 'rep', CAST(rep_id AS BIGINT), printf('R%03d', rep_id) FROM reps
 UNION ALL SELECT 'doctor', CAST(doctor_id AS BIGINT), printf('D%04d', doctor_id) FROM doctors"""),
         "pk_violations": with_roles("\nUNION ALL\n".join(_pk(t, k) for t, k in PK_TABLES)),
-        "weighted_category": with_roles(f"""
-SELECT doctor_id, CASE WHEN {hash_sql(['doctor_id'], 1)} * 10 < {2 * MODULUS} THEN 'High'
- WHEN {hash_sql(['doctor_id'], 1)} * 10 < {7 * MODULUS} THEN 'Medium' ELSE 'Low' END AS drawn_potential
-FROM doctors"""),
+        "weighted_category": with_roles(
+            "SELECT doctor_id, CASE "
+            + " ".join(f"WHEN {hash_sql(['doctor_id'], 1)} * 10 < {q * MODULUS} THEN '{name}'"
+                       for name, q in L.POTENTIAL_CUMULATIVE_X10)
+            + " END AS drawn_potential FROM doctors"),
         "expected_rx_probability": with_roles("""
 SELECT doctor_id, product, month, CAST(n_visits AS BIGINT) AS n_visits, affinity, p_ppm,
  CAST(p_ppm AS DOUBLE) / 1e6 AS probability FROM expected""", EXPECTED_CTE),
         "rx_thinned": with_roles(f"""
 SELECT doctor_id, product, month, units_prescribed,
- CAST(units_prescribed AS BIGINT) * CASE product WHEN 'CardioMax' THEN 850 WHEN 'DiabeCure' THEN 620 ELSE 1100 END
-  AS revenue, CAST(n_visits AS INT) AS visit_count
+ CAST(units_prescribed AS BIGINT) * {_PRICE} AS revenue, CAST(n_visits AS INT) AS visit_count
 FROM (SELECT *, CAST(floor((5 + {hash_sql(['doctor_id', 'pidx', 'month'], 3)} % 45) * mult / 10) AS INT) AS units_prescribed
       FROM (SELECT *, {_PIDX} AS pidx, {_MULT} AS mult FROM expected) e
       WHERE {hash_sql(['doctor_id', 'pidx', 'month'], 2)} * 1000000 < p_ppm * {MODULUS})""", EXPECTED_CTE),

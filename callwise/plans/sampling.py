@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwise.functions.hashing import MODULUS, hash_uniform_int
-from callwise.functions.labels import AFFINITY, AFFINITY_DEFAULT, POTENTIAL_MULTIPLIER_X10, price_of
+from callwise.functions.labels import (AFFINITY_BP, AFFINITY_DEFAULT_BP, FREQ_BOOST_CAP,
+                                      FREQ_BOOST_PER_VISIT, POTENTIAL_CUMULATIVE_X10,
+                                      POTENTIAL_MULTIPLIER_X10, PROBABILITY_CAP, PROBABILITY_SCALE,
+                                      price_of)
 from callwise.sources.roles import Roles
 
 STREAM_POTENTIAL = 1
@@ -28,18 +31,18 @@ def product_index(col: str = "product") -> Column:
 def weighted_category(r: Roles) -> DataFrame:
     """Draw a potential level per doctor with probabilities High .2, Medium .5, Low .3."""
     h = hash_uniform_int(["doctor_id"], STREAM_POTENTIAL)
-    # u = h / M; u < .2  <=>  10 h < 2 M ; u < .7  <=>  10 h < 7 M
-    level = (F.when(h * 10 < 2 * MODULUS, F.lit("High"))
-             .when(h * 10 < 7 * MODULUS, F.lit("Medium")).otherwise(F.lit("Low")))
+    # u = h / M falls below cumulative probability q (in tenths)  <=>  10 h < q M
+    level = F.lit(None).cast("string")
+    for name, q in reversed(POTENTIAL_CUMULATIVE_X10):
+        level = F.when(h * 10 < q * MODULUS, F.lit(name)).otherwise(level)
     return r.doctors.select("doctor_id", level.alias("drawn_potential"))
 
 
 def _affinity_bp() -> Column:
     """Product x specialty affinity in basis points (default when the pair is unknown)."""
-    e = F.lit(int(round(AFFINITY_DEFAULT * 10000)))
-    for (prod, spec), a in reversed(list(AFFINITY.items())):
-        e = F.when((F.col("product") == prod) & (F.col("specialty") == spec),
-                   F.lit(int(round(a * 10000)))).otherwise(e)
+    e = F.lit(AFFINITY_DEFAULT_BP)
+    for (prod, spec), a in reversed(list(AFFINITY_BP.items())):
+        e = F.when((F.col("product") == prod) & (F.col("specialty") == spec), F.lit(a)).otherwise(e)
     return e
 
 
@@ -60,8 +63,11 @@ def expected_rx_probability(r: Roles) -> DataFrame:
              .agg(F.count("visit_id").alias("n_visits")))
     d = r.doctors.select("doctor_id", "specialty", "prescribing_potential")
     c = cells.join(d, "doctor_id")
-    base_bp = F.least(_affinity_bp() + F.least(F.col("n_visits") * 1000, F.lit(3000)), F.lit(9500))
-    p_ppm = base_bp * _multiplier_x10() * 8            # bp * (m x10) * (0.8 x10) -> 1e-6 units
+    boost, boost_cap, cap = (int(round(10000 * v)) for v in
+                             (FREQ_BOOST_PER_VISIT, FREQ_BOOST_CAP, PROBABILITY_CAP))
+    base_bp = F.least(_affinity_bp() + F.least(F.col("n_visits") * boost, F.lit(boost_cap)), F.lit(cap))
+    # basis points x (multiplier x 10) x (scale x 10) = parts per million
+    p_ppm = base_bp * _multiplier_x10() * int(round(10 * PROBABILITY_SCALE))
     return c.select("doctor_id", "product", "month",
                     F.col("n_visits").cast("bigint").alias("n_visits"),
                     (_affinity_bp().cast("double") / 10000.0).alias("affinity"),

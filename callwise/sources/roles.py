@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.functions.labels import product_of_mod3
+from callwise.functions.labels import price_of, product_of_mod3
 
 # fixed parameters of the role mapping
 HIGH_ACCTBAL = 7800
@@ -135,8 +135,7 @@ def prescriptions_from_cells(cells: DataFrame, visits: DataFrame, doctors: DataF
           .agg(F.count(F.lit(1)).cast("int").alias("visit_count")))
     d = doctors.select("doctor_id", "territory_id")
     rx = cells.join(vc, ["doctor_id", "product", "month"]).join(d, "doctor_id")
-    price = (F.when(F.col("product") == "CardioMax", 850)
-             .when(F.col("product") == "DiabeCure", 620).otherwise(1100))
+    price = price_of("product")
     return rx.select(
         F.concat(F.lit("P"), F.col("doctor_id").cast("string"), F.lit("-"), F.col("product"),
                  F.lit("-"), F.col("month").cast("string")).alias("prescription_id"),
