@@ -17,16 +17,17 @@ def kpi_summary(r: Roles) -> DataFrame:
 
     Four independent global aggregates joined as scalar subqueries (each is a
     one-row result; Catalyst merges those over the same relation)."""
-    rx = r.prescriptions
-    by_product = rx.groupBy("product").agg(F.sum("revenue").alias("rev"))
-    # idxmax: highest revenue, first product name on ties
+    by_product = r.prescriptions.groupBy("product").agg(F.sum("revenue").alias("rev"))
+    # idxmax: highest revenue, first product name on ties; the total comes from the
+    # same per-product aggregate (Catalyst merges the two scalar subqueries)
     top_product = by_product.agg(
         F.min_by("product", F.struct(-F.col("rev"), F.col("product")))).scalar()
+    total_revenue = by_product.agg(F.sum("rev")).scalar()
     per_doc = r.visits.groupBy("doctor_id").agg(F.count(F.lit(1)).alias("n"))
     visits = per_doc.agg(F.sum("n").alias("total_visits"),
                          F.count("doctor_id").alias("doctors_reached"))
     return visits.select(
-        rx.agg(F.sum("revenue")).scalar().cast("bigint").alias("total_revenue"),
+        total_revenue.cast("bigint").alias("total_revenue"),
         F.col("total_visits").cast("bigint").alias("total_visits"),
         F.col("doctors_reached").cast("bigint").alias("doctors_reached"),
         r.doctors.agg(F.count(F.lit(1))).scalar().alias("total_doctors"),
