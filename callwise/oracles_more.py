@@ -68,6 +68,10 @@ ORDER BY low_pct DESC NULLS LAST, rep_id LIMIT 5"""),
 SELECT rep_id, rep_name, efficiency_score, {median_sql('score_x100', 'rep_perf')} / 100.0 AS median_score,
  CASE WHEN score_x100 < {median_sql('score_x100', 'rep_perf')} THEN 'below' ELSE 'above' END AS band
 FROM rep_perf ORDER BY efficiency_score DESC NULLS LAST, rep_id LIMIT 12"""),
+    "efficiency_by_rep": perf(f"""
+SELECT rep_id, rep_name, efficiency_score, {median_sql('score_x100', 'rep_perf')} / 100.0 AS median_score,
+ CASE WHEN score_x100 < {median_sql('score_x100', 'rep_perf')} THEN 'below' ELSE 'above' END AS band
+FROM rep_perf"""),
     "call_mix_pct": perf("""
 SELECT rep_id, "High" / total_calls * 100 AS "High", "Medium" / total_calls * 100 AS "Medium",
  "Low" / total_calls * 100 AS "Low" FROM rep_perf"""),

@@ -30,6 +30,7 @@ def _seg(fn) -> Query:
 
 
 PERF_READERS = {"top_reps_by_efficiency", "bottom_reps_by_low_pct", "rep_efficiency_chart",
+                "efficiency_by_rep",
                 "bi_measures", "bi_measures_sliced", "bi_measures_by_region",
                 "rep_scorecard_banded", "efficiency_vs_revenue"}
 
@@ -82,6 +83,7 @@ def role_plans() -> dict[str, tuple]:
         "top_reps_by_efficiency": (reps.top_reps_by_efficiency, dict()),
         "bottom_reps_by_low_pct": (reps.bottom_reps_by_low_pct, dict()),
         "rep_efficiency_chart": (reps.rep_efficiency_chart, dict()),
+        "efficiency_by_rep": (reps.rep_efficiency_chart, dict(n=None)),
         "call_mix_pct": (reps.call_mix_pct, dict()),
         "monthly_revenue_pivot": (reps.monthly_revenue_pivot, dict()),
         "quarterly_revenue": (reps.quarterly_revenue, dict()),

@@ -118,13 +118,15 @@ def bottom_reps_by_low_pct(r: Roles, n: int = 5, perf: DataFrame | None = None)
         "rep_id", "rep_name", "low_pct", "high_pct", "efficiency_score", "total_revenue")
 
 
-def rep_efficiency_chart(r: Roles, n: int = 12, perf: DataFrame | None = None) -> DataFrame:
-    """Top ``n`` reps by score with the median score of all reps and an above/below band.
+def rep_efficiency_chart(r: Roles, n: int | None = 12, perf: DataFrame | None = None) -> DataFrame:
+    """Top ``n`` reps by score (all reps, sorted, when ``n`` is None) with the median
+    score of all reps and an above/below band.
 
     The median is taken over the integer score (bounded domain), so it is exact."""
     p = perf if perf is not None else rep_performance_full(r)
     med = global_median(p, "score_x100")
-    top = top_k(p, n, [F.col("efficiency_score").desc_nulls_last(), F.col("rep_id")])
+    order = [F.col("efficiency_score").desc_nulls_last(), F.col("rep_id")]
+    top = top_k(p, n, order) if n is not None else p.orderBy(*order)
     return top.select(
         "rep_id", "rep_name", "efficiency_score",
         (med / 100.0).alias("median_score"),
