@@ -32,6 +32,20 @@ def visit_cells(visits: DataFrame) -> DataFrame:
             .agg(F.count("visit_id").alias("n_v")))
 
 
+def cells_of(r) -> DataFrame:
+    """Visit cells of a Roles: its written summary table when present, else aggregated."""
+    cells = getattr(r, "cells", None)
+    return cells if cells is not None else visit_cells(r.visits)
+
+
+def pairs_of(r) -> DataFrame:
+    """(rep_id, doctor_id, n_v) of a Roles, rolled up from the cell summary when present."""
+    cells = getattr(r, "cells", None)
+    if cells is None:
+        return rep_doctor_visits(r.visits)
+    return cells.groupBy("rep_id", "doctor_id").agg(F.sum("n_v").alias("n_v"))
+
+
 def doctor_rx(rx: DataFrame) -> DataFrame:
     """(doctor_id, n_p, rx_revenue): prescription rows and revenue per doctor."""
     return (rx.groupBy("doctor_id")
@@ -42,14 +56,15 @@ def doctor_visit_counts(visits: DataFrame) -> DataFrame:
     return visits.groupBy("doctor_id").agg(F.count("visit_id").alias("n_v"))
 
 
-def cell_revenue(visits: DataFrame, rx: DataFrame) -> DataFrame:
+def cell_revenue(visits: DataFrame, rx: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Visit cells with the revenue of the matching prescription (NULL when none).
 
     The three-key join matches at most one prescription per cell because
     (doctor_id, product, month) is the prescription grain.
     """
     p = rx.select("doctor_id", "product", "month", "revenue")
-    return visit_cells(visits).join(p, ["doctor_id", "product", "month"], "left")
+    cells = cells if cells is not None else visit_cells(visits)
+    return cells.join(p, ["doctor_id", "product", "month"], "left")
 
 
 def fan(n_a, n_b):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from callwise.functions.exact import divide_or_zero, ratio_round
 from callwise.functions.labels import score_band
-from callwise.operators.fanout import rep_doctor_visits
+from callwise.operators.fanout import pairs_of
 from callwise.plans.reps import rep_performance_full
 from callwise.sources.roles import Roles
 
@@ -56,7 +56,7 @@ def measures(r: Roles, region: str | None = None, product: str | None = None,
     rx = rx.groupBy("territory_id").agg(F.sum("revenue").alias("revenue"),
                                         F.sum("units_prescribed").alias("units"))
     pot = r.doctors.select("doctor_id", "prescribing_potential")
-    vis = (rep_doctor_visits(r.visits).join(pot, "doctor_id", "left")
+    vis = (pairs_of(r).join(pot, "doctor_id", "left")
            .withColumn("n_high", F.when(F.col("prescribing_potential") == "High", F.col("n_v"))
                        .otherwise(0))
            .withColumn("n_low", F.when(F.col("prescribing_potential") == "Low", F.col("n_v"))
@@ -142,7 +142,7 @@ def rep_scorecard_banded(r: Roles, perf: DataFrame | None = None) -> DataFrame:
 def call_distribution(r: Roles) -> DataFrame:
     """Visits by rep name and doctor potential (the stacked-bar table)."""
     pot = r.doctors.select("doctor_id", "prescribing_potential")
-    per = (rep_doctor_visits(r.visits).join(pot, "doctor_id")
+    per = (pairs_of(r).join(pot, "doctor_id")
            .groupBy("rep_id", "prescribing_potential").agg(F.sum("n_v").alias("n")))
     return (per.join(r.reps.select("rep_id", "rep_name"), "rep_id")
             .groupBy("rep_name", "prescribing_potential")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from callwise.functions.exact import ratio_round
 from callwise.functions.labels import coverage_flag, roi_flag
 from callwise.operators.fanout import (cell_revenue, doctor_rx, doctor_visit_counts, fan,
-                                       rep_doctor_visits)
+                                       cells_of, pairs_of)
 from callwise.operators.joins import anti_join
 from callwise.operators.ranking import share_of_group, top_k
 from callwise.sources.roles import Roles
@@ -28,7 +28,7 @@ def rep_scorecard(r: Roles, dedup: bool = False) -> DataFrame:
 
     Every visit matches at most one prescription (the (doctor, product, month) grain),
     so SUM(revenue) over the join is the cell revenue counted once per visit."""
-    cells = cell_revenue(r.visits, r.prescriptions)
+    cells = cell_revenue(r.visits, r.prescriptions, cells_of(r))
     per_pair = (cells.groupBy("rep_id", "doctor_id")
                 .agg(F.sum("n_v").alias("calls"),
                      F.sum(F.col("n_v") * F.col("revenue")).alias("rev_per_visit"),
@@ -58,7 +58,7 @@ def rep_scorecard(r: Roles, dedup: bool = False) -> DataFrame:
 def call_efficiency(r: Roles) -> DataFrame:
     """KPI 2: calls per rep and doctor potential, with the share of the rep's calls."""
     pot = r.doctors.select("doctor_id", "prescribing_potential")
-    per_level = (rep_doctor_visits(r.visits).join(pot, "doctor_id")
+    per_level = (pairs_of(r).join(pot, "doctor_id")
                  .groupBy("rep_id", "prescribing_potential")
                  .agg(F.sum("n_v").alias("call_count")))
     out = (per_level.join(r.reps.select("rep_id", "rep_name"), "rep_id")
@@ -73,7 +73,7 @@ def overcall_flag(r: Roles, threshold_pct: int = 40) -> DataFrame:
     """Reps whose Low-potential calls exceed ``threshold_pct`` % of their calls
     (the '>40 %' rule stated with KPI 2; the published report uses 35 %)."""
     pot = r.doctors.select("doctor_id", "prescribing_potential")
-    per_rep = (rep_doctor_visits(r.visits).join(pot, "doctor_id")
+    per_rep = (pairs_of(r).join(pot, "doctor_id")
                .groupBy("rep_id")
                .agg(F.sum(F.when(F.col("prescribing_potential") == "Low", F.col("n_v"))
                           .otherwise(0)).alias("low_calls"),
@@ -94,7 +94,7 @@ def reach_frequency(r: Roles, dedup: bool = False) -> DataFrame:
     reference frequency is n_visits * greatest(n_docs, 1) / docs_visited."""
     docs = (r.doctors.groupBy("territory_id")
             .agg(F.countDistinct("doctor_id").alias("total_docs_in_territory")))
-    per_rep = (rep_doctor_visits(r.visits).groupBy("rep_id")
+    per_rep = (pairs_of(r).groupBy("rep_id")
                .agg(F.sum("n_v").alias("n_v"), F.count("doctor_id").alias("docs_visited")))
     t = r.territories.select("territory_id", "territory_name")
     base = (r.reps.select("rep_id", "rep_name", "territory_id").join(t, "territory_id")
@@ -198,7 +198,7 @@ def wasted_calls(r: Roles, dedup: bool = False, min_visits: int = 5, top: int =
     visit once and each doctor's revenue once."""
     low = (r.doctors.filter(F.col("prescribing_potential") == "Low")
            .select("doctor_id", "doctor_name", "prescribing_potential"))
-    pairs = (rep_doctor_visits(r.visits).join(low, "doctor_id")
+    pairs = (pairs_of(r).join(low, "doctor_id")
              .join(r.reps.select("rep_id", "rep_name"), "rep_id")
              .join(doctor_rx(r.prescriptions), "doctor_id", "left"))
     if dedup:

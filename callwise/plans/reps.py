@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callwise.functions.exact import ratio_round, score_x100
 from callwise.functions.labels import PRODUCTS, short_territory_name
-from callwise.operators.fanout import cell_revenue, rep_doctor_visits
+from callwise.operators.fanout import cell_revenue, pairs_of
 from callwise.operators.ranking import global_median, top_k
 from callwise.sources.roles import Roles
 
@@ -42,7 +42,7 @@ def rep_calls(r: Roles) -> DataFrame:
     Visits are first reduced to (rep, doctor) counts, so the join with doctors moves
     one row per pair instead of one per visit."""
     pot = r.doctors.select("doctor_id", "prescribing_potential")
-    j = rep_doctor_visits(r.visits).join(pot, "doctor_id")
+    j = pairs_of(r).join(pot, "doctor_id")
     # pivot on the fixed level list: missing levels become 0-filled columns
     g = (j.groupBy("rep_id").pivot("prescribing_potential", ["High", "Low", "Medium"])
          .agg(F.sum("n_v")).na.fill(0))

@@ -38,6 +38,9 @@ class Roles:
     doctors: DataFrame
     visits: DataFrame
     prescriptions: DataFrame
+    # optional summary table: visits per (rep, doctor, product, month), written once
+    # with the facts; plans fall back to aggregating ``visits`` when it is absent
+    cells: DataFrame | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {"territories": self.territories, "reps": self.reps, "doctors": self.doctors,
@@ -194,16 +197,19 @@ def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Ro
     from callwise.session import new_output_path
     base = new_output_path(spark, "roles")
 
-    def write_read(df: DataFrame, name: str) -> DataFrame:
+    def write_read(df: DataFrame, name: str, by_quarter: bool = True) -> DataFrame:
         path = f"{base}/{name}"
-        df.write.mode("overwrite").partitionBy("quarter").parquet(path)
+        w = df.write.mode("overwrite")
+        (w.partitionBy("quarter") if by_quarter else w).parquet(path)
         return spark.read.parquet(path).select(*df.columns)
 
     visits = write_read(lazy.visits, "visits")
     cells = prescription_cells_from_tpch(spark, sf_dir)
     rx = write_read(prescriptions_from_cells(cells, visits, lazy.doctors), "prescriptions")
+    from callwise.operators.fanout import visit_cells
+    cells = write_read(visit_cells(visits), "visit_cells", by_quarter=False)
     roles = Roles(*[sized_dimension(d) for d in (lazy.territories, lazy.reps, lazy.doctors)],
-                  visits, rx)
+                  visits, rx, cells)
     _CACHE[key] = roles
     _PATHS[key] = base
     return roles
