@@ -41,3 +41,8 @@ def test_segment_labels_do_not_join_on_cluster(spark, smoke_dir):
     sel = segments.select_model(R.load_roles(spark, smoke_dir), k_range=range(2, 4), n_init=2)
     plan = segments.doctor_segments(sel)._jdf.queryExecution().optimizedPlan().toString()
     assert all("cluster" not in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_quarter_slicer_prunes_fact_partitions(spark, smoke_dir):
+    plan = executed_plan(QUERIES["bi_measures_sliced"](spark, smoke_dir))
+    assert "PartitionFilters: [isnotnull(quarter" in plan and "= 4)]" in plan
