@@ -87,7 +87,7 @@ def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SE
     # pool threads inherit the caller's job group and local properties, so the fits
     # are attributed to (and cancellable with) the calling query
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        fits = list(pool.map(inheritable_thread_target(fit), jobs))
+        fits = list(pool.map(inheritable_thread_target(spark)(fit), jobs))
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
                                     distanceMeasure="squaredEuclidean")
     # best of n_init seeds by inertia, first seed on ties
@@ -97,7 +97,7 @@ def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SE
         return float(evaluator.evaluate(best[k][3].transform(vectors)))
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        sils = dict(zip(k_range, pool.map(inheritable_thread_target(silhouette), k_range)))
+        sils = dict(zip(k_range, pool.map(inheritable_thread_target(spark)(silhouette), k_range)))
     table = [(k, float(best[k][2]), sils[k]) for k in k_range]
     models = {k: best[k][3] for k in k_range}
     best_k = max(table, key=lambda t: (t[2], -t[0]))[0]
