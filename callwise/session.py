@@ -71,9 +71,9 @@ def session_key(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, taken from ``spark.checkpoint.dir``.
 
-    On a cluster that setting names durable shared storage. Only when it is
-    unset (local tests) do we create one, and register it as the session's
-    checkpoint dir so that ``DataFrame.checkpoint`` uses the same place.
+    On a cluster that setting names durable shared storage, and it must be set.
+    Only in local mode, when it is unset (tests), do we create one and register it
+    as the session's checkpoint dir so that ``DataFrame.checkpoint`` uses it.
     """
     try:
         sc = spark.sparkContext
@@ -85,6 +85,10 @@ def shared_dir(spark: SparkSession) -> str:
         if d and sc is not None:
             sc.setCheckpointDir(d)
     if not d:
+        master = sc.master if sc is not None else (spark.conf.get("spark.master", "") or "")
+        if not master.startswith("local"):
+            # a machine-local folder would not be visible to other executors
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="callwise-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(d)
