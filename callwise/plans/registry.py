@@ -53,7 +53,8 @@ def _feat(fn) -> Query:
 
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callwise.sources.files import round_trip_csv
-    return round_trip_csv(reps.rep_performance(load_roles(spark, sf_dir)), "rep_performance")
+    perf = reps.load_rep_performance(spark, sf_dir).select(*reps.PERF_COLUMNS)
+    return round_trip_csv(perf, "rep_performance")
 
 
 def role_plans() -> dict[str, tuple]:
