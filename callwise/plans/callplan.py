@@ -78,6 +78,7 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
     # one row per (rep, month): the months are generated per rep, no join
     rm = (r.reps.select("rep_id", "territory_id").join(sizes, "territory_id")
           .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(n_months)))))
+    # rep style by position in the 0-based dense id list: efficient, average, inefficient
     style = "(rep_id % 3)"
     n_total = "(n_High + n_Medium + n_Low)"
     rm = rm.withColumn("n", F.expr(
