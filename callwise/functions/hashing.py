@@ -30,3 +30,13 @@ def hash_sql(keys: list[str], stream: int) -> str:
 
 def hash_uniform_int(keys: list[str], stream: int) -> Column:
     return F.expr(hash_sql(keys, stream))
+
+
+def int_key(df, col: str) -> str:
+    """SQL for a non-negative integer key of ``col``: the column itself when it is
+    integral (as in the driver tables), else a 64-bit hash of it reduced modulo
+    MODULUS (reference-shaped string ids such as 'R001')."""
+    dtype = dict(df.dtypes).get(col, "bigint")
+    if dtype in ("int", "bigint", "smallint", "tinyint"):
+        return col
+    return f"pmod(xxhash64({col}), {MODULUS})"

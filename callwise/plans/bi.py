@@ -184,12 +184,14 @@ def calendar_fields(r: Roles) -> DataFrame:
 
 
 def formatted_ids(r: Roles) -> DataFrame:
-    """Zero-padded display codes: T01, R001, D0001 (wider ids keep all their digits)."""
-    t = r.territories.select(F.lit("territory").alias("entity"),
-                             F.col("territory_id").cast("bigint").alias("id"),
-                             F.format_string("T%02d", F.col("territory_id")).alias("code"))
-    p = r.reps.select(F.lit("rep").alias("entity"), F.col("rep_id").cast("bigint").alias("id"),
-                      F.format_string("R%03d", F.col("rep_id")).alias("code"))
-    d = r.doctors.select(F.lit("doctor").alias("entity"), F.col("doctor_id").cast("bigint").alias("id"),
-                         F.format_string("D%04d", F.col("doctor_id")).alias("code"))
-    return t.unionByName(p).unionByName(d)
+    """Zero-padded display codes: T01, R001, D0001 (wider ids keep all their digits).
+    Ids that are already text (reference-shaped input) are their own codes."""
+    def codes(df: DataFrame, entity: str, col: str, fmt: str) -> DataFrame:
+        numeric = dict(df.dtypes)[col] in ("int", "bigint", "smallint", "tinyint")
+        code = F.format_string(fmt, F.col(col)) if numeric else F.col(col).cast("string")
+        return df.select(F.lit(entity).alias("entity"),
+                         (F.col(col).cast("bigint") if numeric else F.col(col)).alias("id"),
+                         code.alias("code"))
+    return (codes(r.territories, "territory", "territory_id", "T%02d")
+            .unionByName(codes(r.reps, "rep", "rep_id", "R%03d"))
+            .unionByName(codes(r.doctors, "doctor", "doctor_id", "D%04d")))

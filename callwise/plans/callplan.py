@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callwise.functions.hashing import MODULUS, hash_sql
+from callwise.functions.hashing import MODULUS, hash_sql, int_key
 from callwise.functions.labels import REP_STYLE_WEIGHTS
 from callwise.sources.roles import Roles
 
@@ -52,9 +52,10 @@ S_CALLS, S_CLASS, S_PICK, S_DAY, S_SALT = 11, 12, 13, 15, 16
 def ranked_doctors(doctors: DataFrame) -> DataFrame:
     """(territory_id, cls, rank, doctor_id): dense 0-based rank by doctor_id within
     (territory, class), skew-safe through salt buckets."""
+    dk = int_key(doctors, "doctor_id")
     d = (doctors.select("doctor_id", "territory_id", F.col("prescribing_potential").alias("cls"))
          .filter(F.col("cls").isin(CLASSES))
-         .withColumn("b", F.expr(f"{hash_sql(['doctor_id'], S_SALT)} % {SALT_BUCKETS}")))
+         .withColumn("b", F.expr(f"{hash_sql([dk], S_SALT)} % {SALT_BUCKETS}")))
     local = d.withColumn("r", F.row_number().over(
         Window.partitionBy("territory_id", "cls", "b").orderBy("doctor_id")) - 1)
     sizes = d.groupBy("territory_id", "cls", "b").agg(F.count(F.lit(1)).alias("nb"))
@@ -79,12 +80,13 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
     rm = (r.reps.select("rep_id", "territory_id").join(sizes, "territory_id")
           .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(n_months)))))
     # rep style by position in the 0-based dense id list: efficient, average, inefficient
-    style = "(rep_id % 3)"
+    rk = int_key(r.reps, "rep_id")
+    style = f"({rk} % 3)"
     n_total = "(n_High + n_Medium + n_Low)"
     rm = rm.withColumn("n", F.expr(
-        f"least({CALLS_MIN} + {hash_sql(['rep_id', 'month'], S_CALLS)} % {CALLS_SPAN}, {n_total})"))
+        f"least({CALLS_MIN} + {hash_sql([rk, 'month'], S_CALLS)} % {CALLS_SPAN}, {n_total})"))
     wH, wM, wL = (_weight(style, c) for c in CLASSES)
-    u = f"(CAST({hash_sql(['rep_id', 'month', 'j'], S_CLASS)} AS DOUBLE) / {MODULUS})"
+    u = f"(CAST({hash_sql([rk, 'month', 'j'], S_CLASS)} AS DOUBLE) / {MODULUS})"
     step = f"""aggregate(sequence(1, n),
         named_struct('h', n_High, 'm', n_Medium, 'l', n_Low, 'ch', 0, 'cm', 0, 'cl', 0),
         (acc, j) -> CASE
@@ -103,7 +105,7 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
                                      F.col(f"n_{c}").alias("N")) for i, c in enumerate(CLASSES)]))
         .alias("x")).select("rep_id", "territory_id", "month", "x.*").filter(F.col("c") > 0)
     # Floyd: for j = N-c .. N-1 draw t in [0, j]; keep t unless already taken, else keep j
-    t = f"({hash_sql(['rep_id', 'month', 'ci', 'j'], S_PICK)} % (j + 1))"
+    t = f"({hash_sql([rk, 'month', 'ci', 'j'], S_PICK)} % (j + 1))"
     floyd = (f"aggregate(sequence(N - c, N - 1), CAST(array() AS ARRAY<BIGINT>), "
              f"(acc, j) -> CASE WHEN array_contains(acc, {t}) THEN array_append(acc, j) "
              f"ELSE array_append(acc, {t}) END)")
@@ -111,7 +113,8 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
              .select("rep_id", "territory_id", "month", "cls", F.explode(F.expr(floyd)).alias("rank")))
     ranked = ranked_doctors(r.doctors)
     plan = picks.join(ranked, ["territory_id", "cls", "rank"])
-    day = F.expr(f"{hash_sql(['rep_id', 'month', 'doctor_id'], S_DAY)} % {DAY_SPAN}")
+    dk = int_key(plan, "doctor_id")
+    day = F.expr(f"{hash_sql([rk, 'month', dk], S_DAY)} % {DAY_SPAN}")
     planned = F.date_add(F.to_date(F.lit(PLAN_START)), ((F.col("month") - 1) * 30 + day).cast("int"))
     return plan.select("rep_id", "month", "doctor_id", F.col("cls").alias("prescribing_potential"),
                        planned.alias("planned_date")) \

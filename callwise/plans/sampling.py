@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwise.functions.hashing import MODULUS, hash_uniform_int
+from callwise.functions.hashing import MODULUS, hash_uniform_int, int_key
 from callwise.functions.labels import (AFFINITY_BP, AFFINITY_DEFAULT_BP, FREQ_BOOST_CAP,
                                       FREQ_BOOST_PER_VISIT, POTENTIAL_CUMULATIVE_X10,
                                       POTENTIAL_MULTIPLIER_X10, PROBABILITY_CAP, PROBABILITY_SCALE,
@@ -30,7 +30,7 @@ def product_index(col: str = "product") -> Column:
 
 def weighted_category(r: Roles) -> DataFrame:
     """Draw a potential level per doctor with probabilities High .2, Medium .5, Low .3."""
-    h = hash_uniform_int(["doctor_id"], STREAM_POTENTIAL)
+    h = hash_uniform_int([int_key(r.doctors, "doctor_id")], STREAM_POTENTIAL)
     # u = h / M falls below cumulative probability q (in tenths)  <=>  10 h < q M
     level = F.lit(None).cast("string")
     for name, q in reversed(POTENTIAL_CUMULATIVE_X10):
@@ -80,7 +80,7 @@ def rx_thinned(r: Roles) -> DataFrame:
     revenue = units x list price."""
     e = expected_rx_probability(r).join(
         r.doctors.select("doctor_id", "prescribing_potential"), "doctor_id")
-    keys = ["doctor_id", "pidx", "month"]
+    keys = [int_key(e, "doctor_id"), "pidx", "month"]
     e = e.withColumn("pidx", product_index())
     keep = hash_uniform_int(keys, STREAM_KEEP) * 1000000 < F.col("p_ppm") * MODULUS
     draw = F.lit(5) + hash_uniform_int(keys, STREAM_UNITS) % 45

@@ -120,3 +120,13 @@ def test_top_k_ties_break_on_rep_id(hand):
     perf = {r.rep_id: r.efficiency_score for r in reps.rep_performance(hand).collect()}
     best = max(perf.values())
     assert top == [min(k for k, v in perf.items() if v == best)]
+
+
+@pytest.mark.parametrize("name", sorted(role_plans()))
+def test_every_plan_runs_on_text_ids(hand, name):
+    """Reference-shaped ids ('R001', 'D1', 'T01') work in every plan, including the
+    keyed draws (hashed ids) and the display codes (text ids are their own codes)."""
+    fn, kw = role_plans()[name]
+    df = fn(hand, **kw)
+    df.collect()
+    assert df.columns
