@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from callwise.plans import reps, segments
 from callwise.plans.registry import SEGMENT_PLANS, role_plans
 from callwise.sources.files import read_csv_roles
-from callwise.sources.roles import Roles, load_roles
+from callwise.sources.roles import Roles, load_roles, materialize
 
 
 def _write(df: DataFrame, path: str, fmt: str) -> None:
@@ -80,7 +80,8 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     from callwise.session import get_spark
     spark = get_spark(app_name="callwise-report")
-    roles = load_roles(spark, a.tables) if a.tables else read_csv_roles(spark, a.csv)
+    # CSV input is parsed once and kept as columnar parquet for all the queries
+    roles = load_roles(spark, a.tables) if a.tables else materialize(spark, read_csv_roles(spark, a.csv))
     _print(run(spark, roles, a.out, a.format, with_segments=not a.no_segments))
 
 

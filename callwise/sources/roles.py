@@ -223,3 +223,24 @@ def fact_path(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 def clear_role_cache() -> None:
     _CACHE.clear()
+
+
+def materialize(spark: SparkSession, roles: Roles) -> Roles:
+    """Write any role tables (e.g. parsed from CSV) once as parquet to the shared
+    folder, facts partitioned by quarter, plus the visit-cell summary, and read them
+    back: every later query then scans columnar files with pruning and pushdown."""
+    from callwise.operators.fanout import visit_cells
+    from callwise.session import new_output_path
+    base = new_output_path(spark, "roles-in")
+    out = {}
+    for name, df in roles.as_dict().items():
+        w = df.write.mode("overwrite")
+        if name in ("visits", "prescriptions") and "quarter" in df.columns:
+            w = w.partitionBy("quarter")
+        w.parquet(f"{base}/{name}")
+        out[name] = spark.read.parquet(f"{base}/{name}").select(*df.columns)
+    cells = visit_cells(out["visits"])
+    cells.write.mode("overwrite").parquet(f"{base}/visit_cells")
+    dims = [sized_dimension(out[n]) for n in ("territories", "reps", "doctors")]
+    return Roles(*dims, out["visits"], out["prescriptions"],
+                 spark.read.parquet(f"{base}/visit_cells").select(*cells.columns))
