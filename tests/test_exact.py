@@ -42,3 +42,39 @@ def test_zero_total_is_null(spark):
     df = spark.createDataFrame([(0, 0, 0)], "High long, Medium long, Low long")
     assert df.select(score_x100()).first()[0] is None
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_random_ratios_match_decimal_on_both_engines(spark):
+    """Random numerators / denominators (including huge revenue-sized ones) round the
+    same in Spark, in DuckDB and in exact decimal arithmetic."""
+    import random
+
+    import duckdb
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=300, derandomize=True)
+    @given(st.integers(-10**14, 10**14), st.integers(-10**9, 10**9),
+           st.sampled_from([1, 100]), st.integers(0, 3))
+    def collect(n, d, scale, digits):
+        cases.append((n, d, scale, digits))
+    collect()
+    rnd = random.Random(5)
+    cases += [(rnd.randrange(10**6), rnd.randrange(1, 10**4), 100, 1) for _ in range(200)]
+    df = spark.createDataFrame([(i, n, d) for i, (n, d, _, _) in enumerate(cases)],
+                               "i long, n long, d long")
+    exprs = {}
+    for i, (n, d, scale, digits) in enumerate(cases):
+        exprs[i] = (scale, digits)
+    got = {}
+    for (scale, digits) in sorted(set(exprs.values())):
+        ids = [i for i, v in exprs.items() if v == (scale, digits)]
+        sub = df.filter(F.col("i").isin(ids)).select("i", ratio_round("n", "d", scale, digits).alias("r"))
+        got.update({r.i: r.r for r in sub.collect()})
+    con = duckdb.connect()
+    for i, (n, d, scale, digits) in enumerate(cases):
+        expected = ref_round(n, d, scale, digits)
+        assert got[i] == expected, (n, d, scale, digits)
+        assert con.execute(f"SELECT {hu(str(n), str(d), scale, digits)}").fetchone()[0] == expected
