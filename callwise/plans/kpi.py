@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from callwise.functions.exact import ratio_round
 from callwise.functions.labels import coverage_flag, roi_flag
-from callwise.operators.fanout import (cell_revenue, doctor_rx, doctor_visit_counts, fan,
-                                       cells_of, pairs_of)
+from callwise.operators.fanout import cell_revenue, cells_of, doctor_rx, fan, pairs_of
 from callwise.operators.joins import anti_join
 from callwise.operators.ranking import share_of_group, top_k
 from callwise.sources.roles import Roles
@@ -149,7 +148,7 @@ def doctor_coverage(r: Roles, dedup: bool = False) -> DataFrame:
     As written (visits and prescriptions both joined on doctor only) the visit count
     repeats per prescription row and the revenue per visit row; the flag thresholds
     apply to those repeated counts."""
-    dv = doctor_visit_counts(r.visits)
+    dv = cells_of(r).groupBy("doctor_id").agg(F.sum("n_v").alias("n_v"))
     dp = doctor_rx(r.prescriptions)
     d = r.doctors.select("doctor_id", "doctor_name", "specialty", "prescribing_potential",
                          "potential_score")
@@ -223,7 +222,7 @@ def wasted_calls(r: Roles, dedup: bool = False, min_visits: int = 5, top: int =
 def untapped_doctors(r: Roles) -> DataFrame:
     """Insight 2: High-potential doctors with no visit at all."""
     high = r.doctors.filter(F.col("prescribing_potential") == "High")
-    unvisited = anti_join(high, r.visits, "doctor_id")
+    unvisited = anti_join(high, cells_of(r), "doctor_id")
     t = r.territories.select("territory_id", "territory_name")
     return unvisited.join(t, "territory_id").select(
         "doctor_id", "doctor_name", "specialty", "prescribing_potential", "potential_score",
