@@ -37,6 +37,12 @@ SEGMENT_LABELS = {
     ("low", "high"): "🔴 Low Value - Over-visited",
     ("low", "low"): "🟡 Low Value - Low Coverage",
 }
+SEGMENT_ACTIONS = {
+    "High Value - Well Covered": "Maintain coverage",
+    "High Value - Under-visited": "Increase visit priority",
+    "Low Value - Over-visited": "Reduce, redirect calls",
+    "Low Value - Low Coverage": "Monitor only",
+}
 COVERAGE_FLAGS = ["Under-called High Value", "Over-called Low Value", "Well Covered",
                   "Standard Coverage"]
 COVERAGE_LIMITS = {"High": 8, "Low": 6, "Medium": 6}  # High < 8, Low > 6, Medium >= 6 visits
@@ -104,3 +110,12 @@ def drop_first_token(col: Column) -> Column:
 
 def short_territory_name(col: Column) -> Column:
     return F.replace(col, F.lit(" Zone"), F.lit(""))
+
+
+def segment_action(segment: Column) -> Column:
+    """Recommended action for a segment label (emoji prefix ignored)."""
+    name = drop_first_token(segment)
+    e = F.lit(None).cast("string")
+    for label, action in reversed(list(SEGMENT_ACTIONS.items())):
+        e = F.when(name == label, F.lit(action)).otherwise(e)
+    return e

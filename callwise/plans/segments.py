@@ -30,7 +30,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.functions.labels import drop_first_token
+from callwise.functions.labels import drop_first_token, segment_action
 from callwise.plans.doctors import (FEATURES, cluster_profile, doctor_features,
                                    doctor_features_scaled, fit_scaler)
 from callwise.sources.roles import Roles, load_roles
@@ -153,11 +153,12 @@ def cluster_profile_kmeans(sel: Selection) -> DataFrame:
 
 def segment_summary(sel: Selection) -> DataFrame:
     seg = doctor_segments(sel)
-    return seg.groupBy("segment").agg(
+    return (seg.groupBy("segment").agg(
         F.count(F.lit(1)).alias("n_doctors"),
         F.avg("total_revenue").alias("avg_revenue"),
         F.avg("total_visits").alias("avg_visits"),
         F.avg("potential_score").alias("avg_potential_score"))
+        .withColumn("action", segment_action(F.col("segment"))))
 
 
 def segment_scatter(sel: Selection) -> DataFrame:
