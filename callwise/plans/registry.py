@@ -32,7 +32,7 @@ def _seg(fn) -> Query:
 PERF_READERS = {"top_reps_by_efficiency", "bottom_reps_by_low_pct", "rep_efficiency_chart",
                 "efficiency_by_rep",
                 "bi_measures", "bi_measures_sliced", "bi_measures_by_region",
-                "rep_scorecard_banded", "efficiency_vs_revenue"}
+                "rep_scorecard_banded", "efficiency_vs_revenue", "fk_orphans"}
 
 
 def _perf_q(fn, **kw) -> Query:
