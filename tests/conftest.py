@@ -11,7 +11,7 @@ SMOKE = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from callwise.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=8, app_name="callwise-tests")
+    s = get_spark("local[8]", shuffle_partitions=8, app_name="callwise-tests")
     yield s
     s.stop()
 
