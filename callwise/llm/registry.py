@@ -6,10 +6,11 @@ from callwise.llm.jaccard_join import op3_partenum_jaccard
 from callwise.llm.packing import op5_karmarkar_karp
 from callwise.llm.quality_rules import ORACLE as LINE_FIRST
 from callwise.llm.quality_rules import op9_line_first
+from callwise.llm.sharding import op6_histogram_sort
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_partenum_jaccard, op5_karmarkar_karp, op9_line_first)}
+    return {f.__name__: f for f in (op3_partenum_jaccard, op5_karmarkar_karp, op6_histogram_sort, op9_line_first)}
 
 
 def oracle_sql() -> dict[str, str]:
