@@ -8,11 +8,13 @@ from callwise.llm.packing import op5_karmarkar_karp
 from callwise.llm.quality_rules import ORACLE as LINE_FIRST
 from callwise.llm.quality_rules import op9_line_first
 from callwise.llm.sharding import op6_histogram_sort
+from callwise.llm.suffix_dedup import op10_suffix_lpf
 from callwise.llm.warc import op4_warc_derivatives
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op8_relative_lempel_ziv, op9_line_first)}
+    return {f.__name__: f for f in (op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op8_relative_lempel_ziv, op9_line_first,
+                                  op10_suffix_lpf)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -202,3 +202,18 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     return np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
+
+
+def planes(v: np.ndarray) -> bytes:
+    """Numbers with their bytes sorted by place: equal upper bytes then lie together and
+    vanish in the shuffle's compression."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T).tobytes()
+
+
+def from_planes(col: pa.Array, dtype) -> np.ndarray:
+    """All values of a column written by ``planes``, rows in order."""
+    width, parts = np.dtype(dtype).itemsize, []
+    raw, off = strings(col)
+    for a, b in zip(off[:-1], off[1:]):
+        parts.append(np.ascontiguousarray(raw[a:b].reshape(width, -1).T).view(dtype).ravel())
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
