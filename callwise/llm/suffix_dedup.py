@@ -46,11 +46,15 @@ FLUSH = 400_000          # anchors, or pieces, that a task holds before it sends
 
 def anchored(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """(text number, first start, number of starts, anchor) of the runs of neighbouring
-    strings of ``span`` bytes that have one anchor."""
+    strings of ``span`` bytes that have one anchor at one place. (A text that repeats
+    itself has the same anchor at several places, which must count as several.)"""
     starts = len(raw) - span + 1
     if starts <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    least = sliding_min(tb.byte_windows(raw, GRAM), span - GRAM + 1)
+    grams = tb.byte_windows(raw, GRAM)
+    least = sliding_min(grams, span - GRAM + 1)
+    # the leftmost smallest gram of a string is left behind when it is the string's first
+    left = np.append(0, np.cumsum(grams[:starts] == least))
     size = np.diff(off)
     # strings must not cross texts
     inside = np.zeros(starts + 1, np.int32)
@@ -59,7 +63,7 @@ def anchored(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, .
     np.add.at(inside, off[long_ + 1] - span + 1, -1)
     at = np.flatnonzero(np.cumsum(inside[:starts]) > 0)
     doc = np.searchsorted(off, at, "right") - 1
-    first = runs(doc, least[at])
+    first = runs(doc, least[at], left[at])
     return doc[first], at[first] - off[doc[first]], np.diff(np.append(first, len(at))), least[at[first]]
 
 
