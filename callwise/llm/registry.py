@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from callwise.llm.jaccard_join import op3_partenum_jaccard
 from callwise.llm.lempel_ziv import op8_relative_lempel_ziv
+from callwise.llm.ngram_trie import op7_elias_fano_trie
 from callwise.llm.packing import op5_karmarkar_karp
 from callwise.llm.quality_rules import ORACLE as LINE_FIRST
 from callwise.llm.quality_rules import op9_line_first
@@ -13,7 +14,7 @@ from callwise.llm.warc import op4_warc_derivatives
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op8_relative_lempel_ziv, op9_line_first,
+    return {f.__name__: f for f in (op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
                                   op10_suffix_lpf)}
 
 
