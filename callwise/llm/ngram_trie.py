@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from callwise.llm import textbytes as tb
 
-PRIOR = 2000.0           # K, in tokens
+PRIOR = 1000.0           # K, in tokens
 FOLDS, HELD_OUT = 5, 1
 HOT = 4                  # a word over 1 / (HOT * shards) of all tokens is dealt by context too
 FLUSH = 4_000_000        # tokens a task holds before it deals them

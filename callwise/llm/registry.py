@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from callwise.llm.decontaminate import op1_latent_retrieval
 from callwise.llm.jaccard_join import op3_partenum_jaccard
 from callwise.llm.lempel_ziv import op8_relative_lempel_ziv
 from callwise.llm.ngram_trie import op7_elias_fano_trie
@@ -14,7 +15,7 @@ from callwise.llm.warc import op4_warc_derivatives
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
+    return {f.__name__: f for f in (op1_latent_retrieval, op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
                                   op10_suffix_lpf)}
 
 

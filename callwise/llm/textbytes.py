@@ -26,6 +26,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[128:] = _PLAIN[ord("0"):ord("9") + 1] = _PLAIN[ord("a"):ord("z") + 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -62,17 +64,30 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64), 77)
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POW[0]) < n:
-        n = max(n, SLICE_BYTES + 4096)
-        for k, base in enumerate((_BASE, _INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POW[k] = np.cumprod(p)
-    return _POW
+class _Powers:
+    """Powers of the base and of its inverse, made where they are used: they do not
+    travel with the functions that are sent to executors."""
+
+    def __init__(self):
+        self.made = [np.ones(1, np.uint64)] * 2
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if len(self.made[0]) < n:
+            n = max(n, SLICE_BYTES + 4096)
+            self.made = []
+            for base in (_BASE, _INV):
+                p = np.full(n, base, np.uint64)
+                p[0] = 1
+                self.made.append(np.cumprod(p))
+        return self.made
+
+
+_powers = _Powers()
 
 
 def prefix_sums(v: np.ndarray) -> np.ndarray:
@@ -134,13 +149,20 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+def plain_words(raw: np.ndarray, off: np.ndarray) -> "Words":
+    """Lower-cased words without ASCII punctuation."""
+    raw = _LOWER[raw]
+    return Words(raw, off, _PLAIN[raw])
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice: byte spans, document of each word, hashes."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None):
+        """``solid``: which bytes belong to words; all but white space by default."""
         self.raw, self.off, n = raw, off, len(raw)
         self.docs = len(off) - 1
-        solid = ~_SPACE[raw]
+        solid = ~_SPACE[raw] if solid is None else solid
         before, after = np.ones(n, bool), np.ones(n, bool)
         np.logical_not(solid[:-1], out=before[1:])
         np.logical_not(solid[1:], out=after[:-1])
