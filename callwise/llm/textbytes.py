@@ -149,9 +149,9 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def plain_words(raw: np.ndarray, off: np.ndarray) -> "Words":
-    """Lower-cased words without ASCII punctuation."""
-    raw = _LOWER[raw]
+def plain_words(col: pa.Array) -> "Words":
+    """Lower-cased words of a string column, without ASCII punctuation."""
+    raw, off = strings(pc.utf8_lower(col))
     return Words(raw, off, _PLAIN[raw])
 
 
