@@ -9,13 +9,15 @@ from callwise.llm.ngram_trie import op7_elias_fano_trie
 from callwise.llm.packing import op5_karmarkar_karp
 from callwise.llm.quality_rules import ORACLE as LINE_FIRST
 from callwise.llm.quality_rules import op9_line_first
+from callwise.llm.secret_scan import op2_forest_secrets
 from callwise.llm.sharding import op6_histogram_sort
 from callwise.llm.suffix_dedup import op10_suffix_lpf
 from callwise.llm.warc import op4_warc_derivatives
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_latent_retrieval, op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
+    import corpus_pipeline
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_latent_retrieval, op2_forest_secrets, op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
                                   op10_suffix_lpf)}
 
 
