@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from callwise.llm import textbytes as tb
 
 GRAM = 8
-FLUSH = 3_000_000        # windows a task holds before it settles and sends them
+FLUSH = 1_500_000        # windows a task holds before it settles and sends them
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:

@@ -43,7 +43,7 @@ from callwise.llm import textbytes as tb
 PRIOR = 1000.0           # K, in tokens
 FOLDS, HELD_OUT = 5, 1
 HOT = 4                  # a word over 1 / (HOT * shards) of all tokens is dealt by context too
-FLUSH = 4_000_000        # tokens a task holds before it deals them
+FLUSH = 2_000_000        # tokens a task holds before it deals them
 CONTEXT_BITS = 40
 BLOCK = 1 << 15          # values unpacked at a time
 END, START = np.uint64(0x1), np.uint64(0x2)
@@ -139,15 +139,18 @@ class Trie:
 
     @staticmethod
     def build(word: np.ndarray, context: np.ndarray, totals: dict[int, int], n: int, v: int, k: float) -> bytes:
-        """From training tokens (word and context hashes) in any order. ``totals`` has the
-        counts of the words whose tokens are in several shards; n and v are N and V."""
-        words, number, count = np.unique(word, return_inverse=True, return_counts=True)
+        """From training tokens (word and context hashes) in rising order. ``totals`` has
+        the counts of the words whose tokens are in several shards; n and v are N and V."""
+        new = np.append(True, word[1:] != word[:-1])[:len(word)]
+        start = np.flatnonzero(new)
+        words, count = word[start], np.diff(np.append(start, len(word)))
         for w, c in totals.items():
             i = np.searchsorted(words, np.uint64(w))
             if i < len(words) and words[i] == np.uint64(w):
                 count[i] = c
-        keys, pair = np.unique(relative(number, context), return_counts=True)
-        owner = (keys >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+        pair = np.flatnonzero(new | np.append(True, context[1:] != context[:-1])[:len(word)])
+        owner = (np.cumsum(new) - 1)[pair]
+        keys, pair = relative(owner, context[pair]), np.diff(np.append(pair, len(word)))
         prior = k * (count + 0.5) / (n + 0.5 * (v + 1))
         pointers = np.searchsorted(owner, np.arange(len(words) + 1))
         return b"".join((EliasFano.pack(words), EliasFano.pack(count.cumsum()), EliasFano.pack(pointers), EliasFano.pack(keys),

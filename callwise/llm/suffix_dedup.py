@@ -41,7 +41,10 @@ from callwise.llm import textbytes as tb
 from callwise.llm.lempel_ziv import covered, runs, sliding_min, span_lists, with_spans
 
 GRAM = 32
-FLUSH = 400_000          # anchors, or pieces, that a task holds before it sends them
+FLUSH = 400_000          # anchors that a task holds before it sends them
+HELD = 6 << 20           # bytes of pieces that a task holds before it sends them
+SLICE = 1 << 20          # bytes of text looked at at a time
+PARTS = 8                # parts for each shuffle partition: a part is sorted in memory
 
 
 def anchored(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -82,7 +85,7 @@ def _anchors(span: int, count: int):
                 rows.append((s, short, tb.planes(doc[i]), tb.planes(start[i].astype(np.int32))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
-        for batch in tb.slices(batches):
+        for batch in tb.slices(batches, limit=SLICE):
             doc, start, _, anchor = anchored(*tb.strings(batch.column("text")), span)
             if len(doc):
                 held.append((tb.longs(batch.column("doc_id"))[doc], start, anchor))
@@ -147,7 +150,7 @@ def _pieces(span: int, count: int):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([rows[s][c] for s in keys], pa.binary()) for c in range(5))],
                                               names=[x.split()[0] for x in PIECES.split(", ")])
 
-        for batch in tb.slices(batches):
+        for batch in tb.slices(batches, limit=SLICE):
             raw, off = tb.strings(batch.column("text"))
             row, wanted, _ = span_lists(batch)
             doc, start, strings, anchor = anchored(raw, off, span)
@@ -157,8 +160,8 @@ def _pieces(span: int, count: int):
                 size, begin = strings + span - 1, off[doc] + start
                 piece = tb.span_hash(tb.prefix_sums(tb._BYTE[raw]), begin, begin + size)
                 held.append((tb.longs(batch.column("doc_id"))[doc], start, strings, anchor, piece, raw[np.repeat(begin, size) + tb.ragged(size)]))
-                n += len(doc)
-            if n > FLUSH // 4:
+                n += int(size.sum())
+            if n > HELD:
                 yield flush()
                 held.clear()
                 n = 0
@@ -246,7 +249,7 @@ def duplicate_strings(docs: DataFrame, span: int = 100) -> DataFrame:
     shared = (known.mapInArrow(_anchors(span, count), ANCHORS)
               .groupBy("shard").applyInArrow(_shared, "doc_id long, start long, one long"))
     return (with_spans(docs, shared, "one").where("size(starts) > 0")
-            .mapInArrow(_pieces(span, count), PIECES).groupBy("shard").applyInArrow(_factors(span), SPANS))
+            .mapInArrow(_pieces(span, PARTS * count // 2), PIECES).groupBy("shard").applyInArrow(_factors(span), SPANS))
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
