@@ -95,7 +95,7 @@ def _deal(span: int, count: int):
             start = runs(doc, at - np.arange(len(at)), anchor)
             length = np.diff(np.append(start, len(at)))
             short = np.ascontiguousarray(window.view(np.uint8).reshape(-1, 8)[:, :6])
-            for s, i in tb.dealt(tb.shard_of(anchor[start], count), count):
+            for s, i in tb.dealt(tb.shard_of(tb.mix(anchor[start], 9), count), count):
                 one = np.repeat(start[i], length[i]) + tb.ragged(length[i])
                 rows.setdefault(s, [b""] * 6)[:5] = [anchor[start[i]].tobytes(), doc[start[i]].tobytes(), at[start[i]].astype(np.int32).tobytes(),
                                                      length[i].astype(np.int32).tobytes(), short[one].tobytes()]

@@ -43,7 +43,7 @@ from callwise.llm import textbytes as tb
 PRIOR = 1000.0           # K, in tokens
 FOLDS, HELD_OUT = 5, 1
 HOT = 4                  # a word over 1 / (HOT * shards) of all tokens is dealt by context too
-FLUSH = 2_000_000        # tokens a task holds before it deals them
+FLUSH = 1_200_000        # tokens a task holds before it deals them
 CONTEXT_BITS = 40
 BLOCK = 1 << 15          # values unpacked at a time
 END, START = np.uint64(0x1), np.uint64(0x2)
@@ -247,7 +247,7 @@ def _total(table: pa.Table) -> pa.Table:
 
 def unigrams(docs: DataFrame) -> DataFrame:
     """(word hash, n) of the training tokens."""
-    count = tb.shards(tb.text_session(docs.sparkSession), 1)
+    count = tb.shards(tb.text_session(docs.sparkSession))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(count), COUNTS)
             .groupBy("shard").applyInArrow(_total, "word long, n long"))
 
@@ -324,8 +324,13 @@ def _score(n: int, v: int, totals: dict[int, int], k: float, count: int):
         c, top, mass = trie.query(word, context, np.log10(k * 0.5 / size), k)
         score = top - np.where(word == END, 0.0, mass)
         base = np.log10((c + 0.5) / size)
-        rows, back = np.unique(row >> 1, return_inverse=True)
-        sums = [np.bincount(back, x, len(rows)) for x in (base, score, c > 0)]
+        known = c > 0
+        trie = word = context = train = top = mass = c = None       # a shard's arrays are large
+        o = np.argsort(row)
+        row = row[o] >> 1
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[:len(row)])
+        rows = row[first]
+        sums = [np.add.reduceat(x[o], first) if len(first) else x[:0] for x in (base, score, known.astype(np.int64))]
         out: dict[int, list] = {}
         for s, i in tb.dealt(tb.shard_of(tb.mix(rows.view(np.uint64) >> np.uint64(8)), count), count):
             out[s] = [tb.planes(rows[i]), sums[0][i].tobytes(), sums[1][i].tobytes(), tb.planes(sums[2][i].astype(np.int32)), b""]
@@ -360,7 +365,7 @@ def _prepared(docs: DataFrame):
     """(documents, shards, N, V, training texts, hot words with their counts)."""
     spark = tb.text_session(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words, count = tb.checkpointed(unigrams(docs), "unigrams"), tb.shards(spark, 1)
+    words, count = tb.checkpointed(unigrams(docs), "unigrams"), tb.shards(spark)
     n, v, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == int(END), F.col("n"))), F.lit(0))).first()
     # at most HOT * count words, as their counts add up to no more than n
     hot = {r[0] & (2 ** 64 - 1): r[1] for r in words.where(F.col("n") * (HOT * count) > n).collect()}

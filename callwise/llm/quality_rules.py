@@ -92,11 +92,10 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their failing lines removed and n_chars renewed."""
     cols = docs.columns
     new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
-    # Pushed below the projections, the filter would repeat all their expressions inside each
-    # other; the optimizer leaves a condition with a random part (always true) in its place.
-    passed = F.when(F.rand(0) >= 0, F.col("kept")).otherwise(False)
-    return judged(docs.select(F.col("text").alias("_raw"), *cols), "_raw").where(passed).select(
-        *[new[c].alias(c) if c in new else F.col(c) for c in cols])
+    # Pushed below the projections, the filter would repeat all their expressions inside
+    # each other; a projection with a random column (always under 1) keeps it in its place.
+    found = judged(docs.select(F.col("text").alias("_raw"), *cols), "_raw").withColumn("_one", F.rand(0))
+    return found.where("kept and _one < 1").select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])
 
 
 def op9_line_first(spark, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ FLUSH = 400_000          # anchors that a task holds before it sends them
 HELD = 6 << 20           # bytes of pieces that a task holds before it sends them
 SLICE = 1 << 20          # bytes of text looked at at a time
 PARTS = 8                # parts for each shuffle partition: a part is sorted in memory
+# (anchors are minima, hence small numbers: they are mixed again before they are dealt)
 
 
 def anchored(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
@@ -80,7 +81,7 @@ def _anchors(span: int, count: int):
         def flush():
             doc, start, anchor = (np.concatenate(x) for x in zip(*held))
             rows = []
-            for s, i in tb.dealt(tb.shard_of(anchor, count), count):
+            for s, i in tb.dealt(tb.shard_of(tb.mix(anchor, 9), count), count):
                 short = np.ascontiguousarray(anchor[i].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 rows.append((s, short, tb.planes(doc[i]), tb.planes(start[i].astype(np.int32))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], names=[x.split()[0] for x in ANCHORS.split(", ")])
@@ -143,7 +144,7 @@ def _pieces(span: int, count: int):
             for s, i in tb.dealt(tb.shard_of(tb.mix(done[:, 0].view(np.uint64)), count), count):
                 rows.setdefault(s, [b""] * 5)[4] = done[i].tobytes()
             doc, start, strings, anchor, size, at = (x[first] for x in (doc, start, strings, anchor, size, at))
-            for s, i in tb.dealt(tb.shard_of(anchor, count), count):
+            for s, i in tb.dealt(tb.shard_of(tb.mix(anchor, 9), count), count):
                 rows.setdefault(s, [b""] * 5)[:4] = [tb.planes(doc[i]), tb.planes(start[i].astype(np.int32)), tb.planes(strings[i].astype(np.int32)),
                                                      text[np.repeat(at[i], size[i]) + tb.ragged(size[i])].tobytes()]
             keys = list(rows)
