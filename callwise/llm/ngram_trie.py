@@ -143,13 +143,15 @@ class Trie:
         the counts of the words whose tokens are in several shards; n and v are N and V."""
         new = np.append(True, word[1:] != word[:-1])[:len(word)]
         start = np.flatnonzero(new)
-        words, count = word[start], np.diff(np.append(start, len(word)))
+        # a hot word is in every shard's trie: its training tokens may all be in other shards
+        words = np.union1d(word[start], np.array(list(totals), np.uint64))
+        number = np.searchsorted(words, word[start])
+        count = np.zeros(len(words), np.int64)
+        count[number] = np.diff(np.append(start, len(word)))
         for w, c in totals.items():
-            i = np.searchsorted(words, np.uint64(w))
-            if i < len(words) and words[i] == np.uint64(w):
-                count[i] = c
+            count[np.searchsorted(words, np.uint64(w))] = c
         pair = np.flatnonzero(new | np.append(True, context[1:] != context[:-1])[:len(word)])
-        owner = (np.cumsum(new) - 1)[pair]
+        owner = number[(np.cumsum(new) - 1)[pair]]
         keys, pair = relative(owner, context[pair]), np.diff(np.append(pair, len(word)))
         prior = k * (count + 0.5) / (n + 0.5 * (v + 1))
         pointers = np.searchsorted(owner, np.arange(len(words) + 1))
