@@ -170,20 +170,9 @@ SELECT 'territory' AS entity, CAST(territory_id AS BIGINT) AS id, printf('T%02d'
 UNION ALL SELECT 'rep', CAST(rep_id AS BIGINT), printf('R%03d', rep_id) FROM reps
 UNION ALL SELECT 'doctor', CAST(doctor_id AS BIGINT), printf('D%04d', doctor_id) FROM doctors"""),
         "pk_violations": with_roles("\nUNION ALL\n".join(_pk(t, k) for t, k in PK_TABLES)),
-        "weighted_category": with_roles(
-            "SELECT doctor_id, CASE "
-            + " ".join(f"WHEN {hash_sql(['doctor_id'], 1)} * 10 < {q * MODULUS} THEN '{name}'"
-                       for name, q in L.POTENTIAL_CUMULATIVE_X10)
-            + " END AS drawn_potential FROM doctors"),
         "expected_rx_probability": with_roles("""
 SELECT doctor_id, product, month, CAST(n_visits AS BIGINT) AS n_visits, affinity, p_ppm,
  CAST(p_ppm AS DOUBLE) / 1e6 AS probability FROM expected""", EXPECTED_CTE),
-        "rx_thinned": with_roles(f"""
-SELECT doctor_id, product, month, units_prescribed,
- CAST(units_prescribed AS BIGINT) * {_PRICE} AS revenue, CAST(n_visits AS INT) AS visit_count
-FROM (SELECT *, CAST(floor((5 + {hash_sql(['doctor_id', 'pidx', 'month'], 3)} % 45) * mult / 10) AS INT) AS units_prescribed
-      FROM (SELECT *, {_PIDX} AS pidx, {_MULT} AS mult FROM expected) e
-      WHERE {hash_sql(['doctor_id', 'pidx', 'month'], 2)} * 1000000 < p_ppm * {MODULUS})""", EXPECTED_CTE),
     }
     out["call_plan_sample"] = call_plan_sql()
     return out

@@ -76,13 +76,14 @@ FROM rep_perf"""),
 SELECT rep_id, "High" / total_calls * 100 AS "High", "Medium" / total_calls * 100 AS "Medium",
  "Low" / total_calls * 100 AS "Low" FROM rep_perf"""),
     "monthly_revenue_pivot": with_roles("""
-SELECT month, "CardioMax", "DiabeCure", "NeuroCalm", total_revenue,
+SELECT month, "CardioMax", "DiabeCure", "NeuroCalm", other, total_revenue, other / 1e6 AS other_m,
  "CardioMax" / 1e6 AS "CardioMax_m", "DiabeCure" / 1e6 AS "DiabeCure_m", "NeuroCalm" / 1e6 AS "NeuroCalm_m",
  total_revenue / 1e6 AS total_revenue_m
 FROM (SELECT month,
   CAST(COALESCE(SUM(revenue) FILTER (WHERE product = 'CardioMax'), 0) AS BIGINT) AS "CardioMax",
   CAST(COALESCE(SUM(revenue) FILTER (WHERE product = 'DiabeCure'), 0) AS BIGINT) AS "DiabeCure",
   CAST(COALESCE(SUM(revenue) FILTER (WHERE product = 'NeuroCalm'), 0) AS BIGINT) AS "NeuroCalm",
+  CAST(COALESCE(SUM(revenue) FILTER (WHERE product IS NULL OR product NOT IN ('CardioMax', 'DiabeCure', 'NeuroCalm')), 0) AS BIGINT) AS other,
   CAST(SUM(revenue) AS BIGINT) AS total_revenue
  FROM prescriptions GROUP BY month)"""),
     "quarterly_revenue": with_roles("""
@@ -100,11 +101,12 @@ tc AS (SELECT t.territory_name, t.market_potential, CAST(SUM(p.revenue) AS BIGIN
  GROUP BY t.territory_name, t.market_potential)"""),
     "product_mix_by_territory": with_roles("""
 SELECT territory_name, "CardioMax" / tot * 100 AS "CardioMax", "DiabeCure" / tot * 100 AS "DiabeCure",
- "NeuroCalm" / tot * 100 AS "NeuroCalm"
+ "NeuroCalm" / tot * 100 AS "NeuroCalm", other / tot * 100 AS other
 FROM (SELECT t.territory_name,
   COALESCE(SUM(p.revenue) FILTER (WHERE p.product = 'CardioMax'), 0) AS "CardioMax",
   COALESCE(SUM(p.revenue) FILTER (WHERE p.product = 'DiabeCure'), 0) AS "DiabeCure",
   COALESCE(SUM(p.revenue) FILTER (WHERE p.product = 'NeuroCalm'), 0) AS "NeuroCalm",
+  COALESCE(SUM(p.revenue) FILTER (WHERE p.product IS NULL OR p.product NOT IN ('CardioMax', 'DiabeCure', 'NeuroCalm')), 0) AS other,
   SUM(p.revenue) AS tot
  FROM prescriptions p JOIN territories t ON p.territory_id = t.territory_id GROUP BY t.territory_name)"""),
 }

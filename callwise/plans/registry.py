@@ -111,9 +111,7 @@ def role_plans() -> dict[str, tuple]:
         "formatted_ids": (bi.formatted_ids, dict()),
         "pk_violations": (quality.pk_violations, dict()),
         "fk_orphans": (quality.fk_orphans, dict()),
-        "weighted_category": (sampling.weighted_category, dict()),
         "expected_rx_probability": (sampling.expected_rx_probability, dict()),
-        "rx_thinned": (sampling.rx_thinned, dict()),
         "call_plan_sample": (callplan.call_plan_sample, dict()),
     }
 

@@ -141,13 +141,21 @@ def call_mix_pct(r: Roles) -> DataFrame:
 
 
 def monthly_revenue_pivot(r: Roles) -> DataFrame:
-    """Revenue per month with one column per product (zero filled), the total, and the
-    same in millions."""
-    g = (r.prescriptions.groupBy("month").pivot("product", PRODUCTS).agg(F.sum("revenue"))
-         .na.fill(0).select("month", *[F.col(p).cast("bigint").alias(p) for p in PRODUCTS]))
-    g = g.withColumn("total_revenue", sum((F.col(p) for p in PRODUCTS[1:]), F.col(PRODUCTS[0])))
-    return g.select("month", *PRODUCTS, "total_revenue",
-                    *[(F.col(c) / F.lit(1e6)).alias(f"{c}_m") for c in PRODUCTS + ["total_revenue"]])
+    """Revenue per month with one column per product (zero filled), one for products that
+    are not listed, the total of all, and the same in millions."""
+    g = r.prescriptions.groupBy("month").agg(*_revenue_columns("revenue"))
+    cols = [*PRODUCTS, "other", "total_revenue"]
+    return g.select("month", *cols, *[(F.col(c) / F.lit(1e6)).alias(f"{c}_m") for c in cols])
+
+
+def _revenue_columns(revenue: str) -> list:
+    """Sums per listed product, of all other products, and of everything."""
+    def total(condition=None):
+        c = F.col(revenue) if condition is None else F.when(condition, F.col(revenue))
+        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    listed = F.coalesce(F.col("product").isin(PRODUCTS), F.lit(False))
+    return [*[total(F.col("product") == p).alias(p) for p in PRODUCTS], total(~listed).alias("other"),
+            total().alias("total_revenue")]
 
 
 def quarterly_revenue(r: Roles) -> DataFrame:
@@ -180,11 +188,12 @@ def territory_capture(r: Roles) -> DataFrame:
 
 
 def product_mix_by_territory(r: Roles) -> DataFrame:
-    """Share of each product in a territory's revenue, in percent."""
+    """Share of each product, and of the unlisted ones, in a territory's revenue, in
+    percent of all revenue."""
     t = r.territories.select("territory_id", "territory_name")
     per_t = (r.prescriptions.groupBy("territory_id", "product").agg(F.sum("revenue").alias("rev"))
              .join(t, "territory_id"))
-    g = per_t.groupBy("territory_name").pivot("product", PRODUCTS).agg(F.sum("rev")).na.fill(0)
-    total = sum((F.col(p) for p in PRODUCTS[1:]), F.col(PRODUCTS[0]))
+    g = per_t.groupBy("territory_name").agg(*_revenue_columns("rev"))
     return g.select("territory_name", *[
-        (F.try_divide(F.col(p).cast("double"), total.cast("double")) * 100).alias(p) for p in PRODUCTS])
+        (F.try_divide(F.col(p).cast("double"), F.col("total_revenue").cast("double")) * 100).alias(p)
+        for p in [*PRODUCTS, "other"]])

@@ -1,9 +1,7 @@
-"""Scoring and sampling steps over real visits: weighted category draw, expected
-prescription probability per visited cell, Bernoulli thinning of those cells.
+"""Scoring of real visits: expected prescription probability per visited cell.
 
-All probabilities are carried as integers (parts per million) and every draw is
-a keyed hash (``functions.hashing``), so results repeat run to run and any SQL
-engine can check them.
+Probabilities are carried as integers (parts per million), so any SQL engine can check
+them.
 """
 
 from __future__ import annotations
@@ -11,33 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwise.functions.hashing import MODULUS, hash_uniform_int, int_key
 from callwise.functions.labels import (AFFINITY_BP, AFFINITY_DEFAULT_BP, FREQ_BOOST_CAP,
-                                      FREQ_BOOST_PER_VISIT, POTENTIAL_CUMULATIVE_X10,
-                                      POTENTIAL_MULTIPLIER_X10, PROBABILITY_CAP, PROBABILITY_SCALE,
-                                      price_of)
+                                      FREQ_BOOST_PER_VISIT, POTENTIAL_MULTIPLIER_X10,
+                                      PROBABILITY_CAP, PROBABILITY_SCALE)
 from callwise.sources.roles import Roles
 
-STREAM_POTENTIAL = 1
-STREAM_KEEP = 2
-STREAM_UNITS = 3
-
 
 def product_index(col: str = "product") -> Column:
     return (F.when(F.col(col) == "CardioMax", 0).when(F.col(col) == "DiabeCure", 1)
             .when(F.col(col) == "NeuroCalm", 2).otherwise(3))
 
 
-def weighted_category(r: Roles) -> DataFrame:
-    """Draw a potential level per doctor with probabilities High .2, Medium .5, Low .3."""
-    h = hash_uniform_int([int_key(r.doctors, "doctor_id")], STREAM_POTENTIAL)
-    # u = h / M falls below cumulative probability q (in tenths)  <=>  10 h < q M
-    level = F.lit(None).cast("string")
-    for name, q in reversed(POTENTIAL_CUMULATIVE_X10):
-        level = F.when(h * 10 < q * MODULUS, F.lit(name)).otherwise(level)
-    return r.doctors.select("doctor_id", level.alias("drawn_potential"))
-
-
 def _affinity_bp() -> Column:
     """Product x specialty affinity in basis points (default when the pair is unknown)."""
     e = F.lit(AFFINITY_DEFAULT_BP)
@@ -73,20 +55,3 @@ def expected_rx_probability(r: Roles) -> DataFrame:
                     (_affinity_bp().cast("double") / 10000.0).alias("affinity"),
                     p_ppm.cast("bigint").alias("p_ppm"),
                     (p_ppm.cast("double") / 1e6).alias("probability"))
-
-
-def rx_thinned(r: Roles) -> DataFrame:
-    """Keep each expected cell with its probability; units = trunc(U{5..49} x multiplier),
-    revenue = units x list price."""
-    e = expected_rx_probability(r).join(
-        r.doctors.select("doctor_id", "prescribing_potential"), "doctor_id")
-    keys = [int_key(e, "doctor_id"), "pidx", "month"]
-    e = e.withColumn("pidx", product_index())
-    keep = hash_uniform_int(keys, STREAM_KEEP) * 1000000 < F.col("p_ppm") * MODULUS
-    draw = F.lit(5) + hash_uniform_int(keys, STREAM_UNITS) % 45
-    units = F.floor(draw * _multiplier_x10() / 10).cast("int")
-    kept = e.filter(keep)
-    return kept.select("doctor_id", "product", "month",
-                       units.alias("units_prescribed"),
-                       (units.cast("bigint") * price_of("product")).alias("revenue"),
-                       F.col("n_visits").cast("int").alias("visit_count"))

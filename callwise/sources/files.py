@@ -46,9 +46,16 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def read_csv_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the seven model files (five roles + rep_performance + doctor_segments)."""
-    return (spark.read.option("header", True).option("mode", "FAILFAST")
-            .schema(SCHEMAS[name]).csv(f"{folder.rstrip('/')}/{name}.csv"))
+    """One of the seven model files (five roles + rep_performance + doctor_segments).
+    Columns are taken by the names in the header, in any order; others are left out and a
+    missing one is an error, as is a value that its type cannot hold."""
+    raw = (spark.read.option("header", True).option("mode", "FAILFAST")
+           .csv(f"{folder.rstrip('/')}/{name}.csv"))
+    schema = SCHEMAS[name]
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{name}.csv has no column {', '.join(missing)}")
+    return raw.select(*[raw[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_csv_roles(spark: SparkSession, folder: str) -> Roles:
@@ -58,12 +65,6 @@ def read_csv_roles(spark: SparkSession, folder: str) -> Roles:
     return Roles(rd("territories"), rd("reps"), rd("doctors"), rd("visits"), rd("prescriptions"))
 
 
-def read_parquet_roles(spark: SparkSession, folder: str) -> Roles:
-    def rd(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder.rstrip('/')}/{name}")
-    return Roles(rd("territories"), rd("reps"), rd("doctors"), rd("visits"), rd("prescriptions"))
-
-
 def write_roles(roles: Roles, folder: str, fmt: str = "parquet") -> None:
     """Write the five roles; facts partitioned by quarter so quarter filters prune files."""
     for name, df in roles.as_dict().items():

@@ -6,7 +6,7 @@ from datetime import date
 
 import duckdb
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
 
 
 def duck(sf_dir: str):

@@ -35,8 +35,8 @@ RX = [rx("D1", "T01", "CardioMax", 1, 10, 850, 3), rx("D1", "T01", "DiabeCure",
       rx("D3", "T01", "NeuroCalm", 11, 1, 1100)]
 
 # queries whose oracle needs integer ids or the generated tables only
-SKIP = {"formatted_ids", "weighted_category", "rx_thinned", "fk_orphans", "csv_round_trip",
-        "doctor_features_scaled", "nearest_centroid", "cluster_profile", "expected_rx_probability",
+SKIP = {"formatted_ids", "fk_orphans", "csv_round_trip",
+        "doctor_features_scaled", "nearest_centroid", "cluster_profile",
         "call_plan_sample"}
 
 
@@ -130,3 +130,13 @@ def test_every_plan_runs_on_text_ids(hand, name):
     df = fn(hand, **kw)
     df.collect()
     assert df.columns
+
+
+def test_unlisted_products_count(spark):
+    """A product that is not on the list is in the totals and in a column of its own."""
+    more = RX + [rx("D1", "T01", "GastroEase", 1, 10, 900)]
+    r = roles_from_rows(spark, TERR, REPS, DOCS, VISITS, more)
+    rows = reps.monthly_revenue_pivot(r).collect()
+    assert sum(x.total_revenue for x in rows) == sum(x[7] for x in more) and sum(x.other for x in rows) == 9000
+    for x in reps.product_mix_by_territory(r).collect():
+        assert abs(x.CardioMax + x.DiabeCure + x.NeuroCalm + x.other - 100) < 1e-9

@@ -1,6 +1,7 @@
 """Role tables written as CSV and read back with the typed schemas give the same KPIs."""
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from callwise.plans import kpi, reps
@@ -38,3 +39,11 @@ def test_shared_scan_roles_equal_spec(spark, smoke_dir):
         a = getattr(spec, name)
         b = getattr(built, name).select(*a.columns)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_csv_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "reps.csv").write_text("target_calls,extra,rep_id,experience_yrs,rep_name,territory_id\n250,x,R1,3,Ann,T1\n")
+    assert tuple(read_csv_table(spark, str(tmp_path), "reps").first()) == ("R1", "Ann", "T1", 3, 250)
+    (tmp_path / "territories.csv").write_text("territory_id,state\nT1,A\n")
+    with pytest.raises(ValueError, match="territory_name"):
+        read_csv_table(spark, str(tmp_path), "territories")

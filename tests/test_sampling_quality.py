@@ -1,4 +1,4 @@
-"""Draws, thinning and key checks."""
+"""Expected probabilities and key checks."""
 from pyspark.sql import functions as F
 
 from callwise.operators.quality import fk_report, pk_report
@@ -6,21 +6,9 @@ from callwise.plans import sampling
 from callwise.sources.roles import load_roles
 
 
-def test_weighted_category_shares(spark):
-    roles = load_roles(spark, "/root/testdata/sf0.01")
-    d = {r.drawn_potential: r["count"] for r in
-         sampling.weighted_category(roles).groupBy("drawn_potential").count().collect()}
-    n = sum(d.values())
-    assert abs(d["High"] / n - 0.2) < 0.04 and abs(d["Medium"] / n - 0.5) < 0.05
-
-
-def test_thinned_cells_are_expected_cells(spark, smoke_dir):
-    roles = load_roles(spark, smoke_dir)
-    e = sampling.expected_rx_probability(roles)
-    t = sampling.rx_thinned(roles)
-    assert t.join(e, ["doctor_id", "product", "month"], "left_anti").count() == 0
+def test_expected_probabilities(spark, smoke_dir):
+    e = sampling.expected_rx_probability(load_roles(spark, smoke_dir))
     assert e.filter((F.col("probability") <= 0) | (F.col("probability") > 1)).count() == 0
-    assert t.count() < e.count()
 
 
 def test_pk_and_fk_reports(spark):

@@ -42,12 +42,12 @@ def test_selection_picks_max_silhouette(sel):
 
 
 def test_inertia_is_best_of_seeds(roles, sel):
-    # a single extra seed never beats the kept cost by more than rounding
+    """The kept cost is the smallest of the seeds that were run."""
     from pyspark.ml.clustering import KMeans
     kept = {k: c for k, c, _ in sel.table}
-    m = KMeans(k=2, seed=7, maxIter=300, tol=1e-4, featuresCol="features",
-               predictionCol="cluster").fit(sel.vectors)
-    assert kept[2] <= m.summary.trainingCost * (1 + 1e-6) or kept[2] > 0
+    costs = [KMeans(k=2, seed=s, maxIter=300, tol=1e-4, featuresCol="features", predictionCol="cluster")
+             .fit(sel.vectors).summary.trainingCost for s in range(segments.SEED, segments.SEED + 3)]
+    assert kept[2] <= min(costs) * (1 + 1e-3)
 
 
 def test_repeat_run_same_assignment(roles, sel):
