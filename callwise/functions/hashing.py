@@ -1,10 +1,10 @@
-"""Reproducible per-row uniform draws from integer keys.
+"""Reproducible per-row uniform draws from keys of any type.
 
 ``rand()`` depends on partitioning and task order; a draw used in a published
-number must repeat, and must be checkable by another engine. The draw here is a
-chain of multiply-add steps modulo the Mersenne prime 2^31 - 1 over the row's
-keys and a stream number. All intermediates stay below 2^49, so the arithmetic is
-exact in BIGINT on any SQL engine. Keys are taken as non-negative integers.
+number must repeat, and must be checkable by another engine. The draw here is the
+first 52 bits of the MD5 digest of the stream number and the row's keys as text, so
+draws of different keys or streams are independent for all practical purposes, and
+a draw divided by ``MODULUS`` is exact in a double.
 """
 
 from __future__ import annotations
@@ -12,31 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed hash parameters
-MODULUS = 2147483647          # 2^31 - 1
-MULT_STATE = 48271            # multiplier applied to the running state
-MULT_KEY = 16807              # multiplier applied to each key
-MULT_FINAL = 69621            # final avalanche multiplier
+HEX_DIGITS = 13
+MODULUS = 16 ** HEX_DIGITS
 
 
 def hash_sql(keys: list[str], stream: int) -> str:
-    """SQL (Spark and DuckDB alike) for an integer uniform on [0, MODULUS)."""
-    h = f"CAST({(stream * 7919 + 1) % MODULUS} AS BIGINT)"
-    for k in keys:
-        h = (f"((({h}) * {MULT_STATE}) % {MODULUS} + (CAST(({k}) AS BIGINT) % {MODULUS}) * {MULT_KEY}"
-             f" + 1) % {MODULUS}")
-    return f"(((({h}) * {MULT_FINAL}) % {MODULUS} * {MULT_STATE}) % {MODULUS})"
+    """Spark SQL for an integer uniform on [0, MODULUS)."""
+    parts = "".join(f", CAST({k} AS STRING)" for k in keys)
+    return f"CAST(conv(substr(md5(concat_ws('|', '{stream}'{parts})), 1, {HEX_DIGITS}), 16, 10) AS BIGINT)"
 
 
 def hash_uniform_int(keys: list[str], stream: int) -> Column:
     return F.expr(hash_sql(keys, stream))
-
-
-def int_key(df, col: str) -> str:
-    """SQL for a non-negative integer key of ``col``: the column itself when it is
-    integral (as in the driver tables), else a 64-bit hash of it reduced modulo
-    MODULUS (reference-shaped string ids such as 'R001')."""
-    dtype = dict(df.dtypes).get(col, "bigint")
-    if dtype in ("int", "bigint", "smallint", "tinyint"):
-        return col
-    return f"pmod(xxhash64({col}), {MODULUS})"

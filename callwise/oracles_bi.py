@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from callwise.functions import labels as L
-from callwise.functions.hashing import MODULUS, hash_sql
 from callwise.oracles import hu, with_roles
 from callwise.oracles_more import REP_PERF_CTES
 
 SLICE = {"region": "ASIA", "product": "NeuroCalm", "quarter": 4}
 
 
+def _draw(keys: list[str], stream: int) -> str:
+    """First 13 hex digits of the MD5 of 'stream|key|key...', as a number."""
+    text = " || '|' || ".join([f"'{stream}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    return f"CAST('0x' || left(md5({text}), 13) AS BIGINT)"
+
+
 def _measures(region=None, product=None, quarter=None, by_region=False) -> str:
     rx_where = ["1 = 1"]
     if product is not None:
@@ -190,7 +195,7 @@ def call_plan_sql() -> str:
     def weight(cls: str) -> str:
         return ("CASE rep_id % 3 " + " ".join(f"WHEN {i} THEN {w[cls]}" for i, w in enumerate(W))
                 + " END")
-    u = f"(CAST({hash_sql(['rep_id', 'month', 'j + 1'], cp.S_CLASS)} AS DOUBLE) / {MODULUS})"
+    u = f"(CAST({_draw(['rep_id', 'month', 'j + 1'], cp.S_CLASS)} AS DOUBLE) / 4503599627370496)"
     tot = "(wh * h + wm * m + wl * l)"
     pick = f"(CASE WHEN {u} * {tot} < wh * h THEN 0 WHEN {u} * {tot} < wh * h + wm * m THEN 1 ELSE 2 END)"
     key = ["rep_id", "month", "ci"]
@@ -202,7 +207,7 @@ sizes AS (
  FROM doctors WHERE prescribing_potential IN ('High', 'Medium', 'Low') GROUP BY territory_id),
 rm AS (
  SELECT r.rep_id, r.territory_id, CAST(mm.month AS INT) AS month, s.n_high, s.n_medium, s.n_low,
-  least({cp.CALLS_MIN} + {hash_sql(['r.rep_id', 'mm.month'], cp.S_CALLS)} % {cp.CALLS_SPAN},
+  least({cp.CALLS_MIN} + {_draw(['r.rep_id', 'mm.month'], cp.S_CALLS)} % {cp.CALLS_SPAN},
         s.n_high + s.n_medium + s.n_low) AS n,
   {weight('High').replace('rep_id', 'r.rep_id')} AS wh, {weight('Medium').replace('rep_id', 'r.rep_id')} AS wm,
   {weight('Low').replace('rep_id', 'r.rep_id')} AS wl
@@ -227,19 +232,19 @@ floyd AS (
  FROM per_class WHERE c > 0
  UNION ALL
  SELECT rep_id, territory_id, month, cls, ci, nn, c, j + 1,
-  CASE WHEN list_contains(acc, {hash_sql(key + ['j'], cp.S_PICK)} % (j + 1)) THEN list_append(acc, j)
-       ELSE list_append(acc, {hash_sql(key + ['j'], cp.S_PICK)} % (j + 1)) END
+  CASE WHEN list_contains(acc, {_draw(key + ['j'], cp.S_PICK)} % (j + 1)) THEN list_append(acc, j)
+       ELSE list_append(acc, {_draw(key + ['j'], cp.S_PICK)} % (j + 1)) END
  FROM floyd WHERE j < nn),
 picks AS (SELECT rep_id, territory_id, month, cls, unnest(acc) AS rnk FROM floyd WHERE j = nn),
 ranked AS (
  SELECT territory_id, prescribing_potential AS cls, doctor_id,
   ROW_NUMBER() OVER (PARTITION BY territory_id, prescribing_potential
-                     ORDER BY {hash_sql(['doctor_id'], cp.S_SALT)} % {cp.SALT_BUCKETS}, doctor_id) - 1 AS rnk
+                     ORDER BY {_draw(['doctor_id'], cp.S_SALT)} % {cp.SALT_BUCKETS}, doctor_id) - 1 AS rnk
  FROM doctors WHERE prescribing_potential IN ('High', 'Medium', 'Low')),
 plan AS (
  SELECT p.rep_id, p.month, r.doctor_id, p.cls AS prescribing_potential,
   CAST('{cp.PLAN_START}' AS DATE) + CAST((p.month - 1) * 30
-    + {hash_sql(['p.rep_id', 'p.month', 'r.doctor_id'], cp.S_DAY)} % {cp.DAY_SPAN} AS INTEGER) AS planned_date
+    + {_draw(['p.rep_id', 'p.month', 'r.doctor_id'], cp.S_DAY)} % {cp.DAY_SPAN} AS INTEGER) AS planned_date
  FROM picks p JOIN ranked r ON r.territory_id = p.territory_id AND r.cls = p.cls AND r.rnk = p.rnk)"""
     body = """
 SELECT rep_id, month, doctor_id, prescribing_potential, planned_date,

@@ -25,7 +25,7 @@ bucket (keyed hash of the doctor) splits each group, ``row_number`` runs per
 therefore ranked by many tasks.
 
 Work grows with reps x months x draws plus one pass over doctors; the result has
-one row per planned call. Draws use keyed integer hashes, so the plan repeats
+one row per planned call. Draws use keyed MD5 draws, so the plan repeats
 exactly run to run.
 """
 
@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callwise.functions.hashing import MODULUS, hash_sql, int_key
+from callwise.functions.hashing import MODULUS, hash_sql
 from callwise.functions.labels import REP_STYLE_WEIGHTS
 from callwise.sources.roles import Roles
 
@@ -46,16 +46,15 @@ DAY_SPAN = 28                    # planned day within the 30-day window: 0..27
 SALT_BUCKETS = 256
 CLASSES = ["High", "Medium", "Low"]
 
-S_CALLS, S_CLASS, S_PICK, S_DAY, S_SALT = 11, 12, 13, 15, 16
+S_CALLS, S_CLASS, S_PICK, S_DAY, S_SALT, S_STYLE = 11, 12, 13, 15, 16, 17
 
 
 def ranked_doctors(doctors: DataFrame) -> DataFrame:
     """(territory_id, cls, rank, doctor_id): dense 0-based rank by doctor_id within
     (territory, class), skew-safe through salt buckets."""
-    dk = int_key(doctors, "doctor_id")
     d = (doctors.select("doctor_id", "territory_id", F.col("prescribing_potential").alias("cls"))
          .filter(F.col("cls").isin(CLASSES))
-         .withColumn("b", F.expr(f"{hash_sql([dk], S_SALT)} % {SALT_BUCKETS}")))
+         .withColumn("b", F.expr(f"{hash_sql(['doctor_id'], S_SALT)} % {SALT_BUCKETS}")))
     local = d.withColumn("r", F.row_number().over(
         Window.partitionBy("territory_id", "cls", "b").orderBy("doctor_id")) - 1)
     sizes = d.groupBy("territory_id", "cls", "b").agg(F.count(F.lit(1)).alias("nb"))
@@ -71,6 +70,16 @@ def _weight(style: str, cls: str) -> str:
     return f"(CASE {style} {cases} END)"
 
 
+def rep_style(reps: DataFrame) -> str:
+    """SQL for the style number (efficient, average, inefficient in turn): the rep's place
+    in the id list. Integer ids count from 0; a text id ('R001') counts by its number from 1,
+    and by a draw where it has none."""
+    if dict(reps.dtypes)["rep_id"] != "string":
+        return "(rep_id % 3)"
+    number = r"CAST(nullif(regexp_extract(rep_id, '([0-9]+)$', 1), '') AS BIGINT)"
+    return f"coalesce(pmod({number} - 1, 3), {hash_sql(['rep_id'], S_STYLE)} % 3)"
+
+
 def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
     """rep_id, month, doctor_id, prescribing_potential, planned_date, planned_month, planned_quarter."""
     sizes = (r.doctors.filter(F.col("prescribing_potential").isin(CLASSES))
@@ -79,9 +88,8 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
     # one row per (rep, month): the months are generated per rep, no join
     rm = (r.reps.select("rep_id", "territory_id").join(sizes, "territory_id")
           .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(n_months)))))
-    # rep style by position in the 0-based dense id list: efficient, average, inefficient
-    rk = int_key(r.reps, "rep_id")
-    style = f"({rk} % 3)"
+    style = rep_style(r.reps)
+    rk = "rep_id"
     n_total = "(n_High + n_Medium + n_Low)"
     rm = rm.withColumn("n", F.expr(
         f"least({CALLS_MIN} + {hash_sql([rk, 'month'], S_CALLS)} % {CALLS_SPAN}, {n_total})"))
@@ -113,8 +121,7 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
              .select("rep_id", "territory_id", "month", "cls", F.explode(F.expr(floyd)).alias("rank")))
     ranked = ranked_doctors(r.doctors)
     plan = picks.join(ranked, ["territory_id", "cls", "rank"])
-    dk = int_key(plan, "doctor_id")
-    day = F.expr(f"{hash_sql([rk, 'month', dk], S_DAY)} % {DAY_SPAN}")
+    day = F.expr(f"{hash_sql([rk, 'month', 'doctor_id'], S_DAY)} % {DAY_SPAN}")
     planned = F.date_add(F.to_date(F.lit(PLAN_START)), ((F.col("month") - 1) * 30 + day).cast("int"))
     return plan.select("rep_id", "month", "doctor_id", F.col("cls").alias("prescribing_potential"),
                        planned.alias("planned_date")) \

@@ -1,19 +1,19 @@
 """call_plan_sample against a plain-Python run of the same draws on the sf0.001 roles."""
+import hashlib
+from collections import Counter
 from datetime import date, timedelta
 
 import pytest
 
-from callwise.functions.hashing import MODULUS, MULT_FINAL, MULT_KEY, MULT_STATE
+from callwise.functions.hashing import MODULUS, hash_sql
 from callwise.functions.labels import REP_STYLE_WEIGHTS
 from callwise.plans import callplan as cp
 from callwise.sources.roles import load_roles
 
 
 def h(keys, stream):
-    x = (stream * 7919 + 1) % MODULUS
-    for k in keys:
-        x = ((x * MULT_STATE) % MODULUS + (k % MODULUS) * MULT_KEY + 1) % MODULUS
-    return ((x * MULT_FINAL) % MODULUS * MULT_STATE) % MODULUS
+    text = "|".join(str(k) for k in [stream, *keys])
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
 
 
 def brute_force(reps, doctors):
@@ -34,7 +34,7 @@ def brute_force(reps, doctors):
             n = min(cp.CALLS_MIN + h([rep["rep_id"], month], cp.S_CALLS) % cp.CALLS_SPAN, sum(sizes))
             rem, cnt = list(sizes), [0, 0, 0]
             for j in range(1, n + 1):
-                u = h([rep["rep_id"], month, j], cp.S_CLASS) / MODULUS
+                u = h([rep["rep_id"], month, j], cp.S_CLASS) / 2 ** 52
                 tot = w[0] * rem[0] + w[1] * rem[1] + w[2] * rem[2]
                 k = 0 if u * tot < w[0] * rem[0] else 1 if u * tot < w[0] * rem[0] + w[1] * rem[1] else 2
                 rem[k] -= 1
@@ -76,3 +76,26 @@ def test_plan_invariants(roles):
     doc_t = {r.doctor_id: r.territory_id for r in roles.doctors.collect()}
     assert all(rep_t[r.rep_id] == doc_t[r.doctor_id] for r in rows)
     assert all(r.planned_date.month == r.planned_month for r in rows)
+
+
+def test_class_draws_spread_as_independent_draws(spark):
+    """22 draws of a class of probability 1/3: mean 22/3, variance 22 * 2/9 = 4.89."""
+    u = f"({hash_sql(['rep', 'month', 'j'], cp.S_CLASS)} / CAST({MODULUS} AS DOUBLE))"
+    counts = [r.n for r in spark.sql(f"""
+        SELECT rep, month, count_if({u} < 1.0 / 3) AS n
+        FROM (SELECT id DIV 264 AS rep, id DIV 22 % 12 AS month, id % 22 AS j FROM range({264 * 400}))
+        GROUP BY rep, month""").collect()]
+    mean = sum(counts) / len(counts)
+    assert len(counts) == 4800 and abs(mean - 22 / 3) < 0.2
+    assert 4.4 < sum((c - mean) ** 2 for c in counts) / len(counts) < 5.4
+
+
+def test_draws_of_neighbouring_keys_are_pairwise_independent(spark):
+    a, b = (f"({hash_sql(['id', str(k)], cp.S_PICK)} % 4)" for k in (1, 2))
+    seen = Counter((r.a, r.b) for r in spark.sql(f"SELECT {a} AS a, {b} AS b FROM range(32000)").collect())
+    assert len(seen) == 16 and all(1800 < n < 2200 for n in seen.values())
+
+
+def test_rep_style_of_text_ids_is_the_place(spark):
+    df = spark.createDataFrame([("R001",), ("R002",), ("R003",), ("R010",)], "rep_id string")
+    assert [r.s for r in df.selectExpr(f"{cp.rep_style(df)} AS s").collect()] == [0, 1, 2, 0]

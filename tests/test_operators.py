@@ -1,7 +1,7 @@
 """Small operators: size-checked broadcast, fan-out products, keyed hash keys."""
 from pyspark.sql import functions as F
 
-from callwise.functions.hashing import MODULUS, hash_uniform_int, int_key
+from callwise.functions.hashing import MODULUS, hash_uniform_int
 from callwise.operators.fanout import fan
 from callwise.operators.joins import bounded_broadcast, rows_at_most
 
@@ -20,12 +20,11 @@ def test_fan_multiplies_by_at_least_one(spark):
     assert [r.x for r in df.select(fan(F.col("a"), F.col("b")).alias("x")).collect()] == [3, 6, 0, 2]
 
 
-def test_int_key_for_text_and_integers(spark):
-    df = spark.createDataFrame([("R001", 7)], "s string, i long")
-    assert int_key(df, "i") == "i"
-    row = df.select(F.expr(int_key(df, "s")).alias("k"),
-                    hash_uniform_int([int_key(df, "s")], 3).alias("h")).first()
-    assert 0 <= row.k < MODULUS and 0 <= row.h < MODULUS
+def test_draws_take_text_and_wide_integer_keys(spark):
+    df = spark.createDataFrame([("R001", 2 ** 40), ("R001", 2 ** 40 + 2 ** 31 - 1)], "s string, i long")
+    rows = df.select(hash_uniform_int(["s"], 3).alias("s"), hash_uniform_int(["i"], 3).alias("i")).collect()
+    assert rows[0].s == rows[1].s and rows[0].i != rows[1].i
+    assert all(0 <= x < MODULUS for r in rows for x in r)
 
 
 def test_hash_is_uniform_enough(spark):
