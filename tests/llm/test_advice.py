@@ -34,3 +34,17 @@ def test_copies_of_many_items_are_found(spark, count):
     # the block size that held them before, and the one of today
     for found in (decontaminate.leaks_of_block(texts, items), decontaminate.leaks(texts, benchmark)):
         assert {(r.doc_id, r.item_id) for r in found.collect()} == pairs
+
+
+@pytest.mark.parametrize("count", [100, 4000])
+def test_short_items_are_found_however_many_documents(spark, count):
+    """Short items verbatim inside words that no item has; an item's words are in a tenth
+    of the documents, whatever their number."""
+    rng = random.Random(8)
+    words = ["w%d" % i for i in range(60)]
+    items = [(i, " ".join(rng.sample(words, 15))) for i in range(10)]
+    rows = [(1000 + i, " ".join(["z%d" % (i % 7)] + [w for w in words if rng.random() < 0.1])) for i in range(count)]
+    rows += [(i, " ".join(["o%d" % (40 * i + j) for j in range(20)] + [t] + ["p%d" % (40 * i + j) for j in range(20)])) for i, t in items]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"),
+                                spark.createDataFrame(items, "item_id long, text string"))
+    assert {(i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in found.collect()}
