@@ -45,12 +45,19 @@ class Encoder:
     distinct chunk is encoded once.
 
     ``path`` names a vocabulary of byte-pair ranks; its ids are those of the ``.json`` file
-    of the same name under ``tokenizers`` (special strings taken as ordinary text), but the
-    rank file is read by a library that encodes short chunks several times faster."""
+    of the same name under ``tokenizers``, but the rank file is read by a library that
+    encodes short chunks several times faster. Texts that hold one of the file's added
+    tokens are encoded by ``tokenizers`` itself."""
 
     def __init__(self, path: str, pattern: str):
         import base64
+        import json
         import tiktoken
+        from tokenizers import Tokenizer
+        named = path.removesuffix(".tiktoken") + ".json"
+        with open(named, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", []) if t["content"]]
+        self.named = Tokenizer.from_file(named) if self.added else None
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -76,6 +83,18 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets), each text followed by ``end_id``."""
+        data = raw.tobytes()
+        if not any(t.encode() in data for t in self.added):
+            return self._ordinary(raw, off, end_id)
+        texts = [data[a:b].decode() for a, b in zip(off[:-1], off[1:])]
+        found = {i: self.named.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        rest = [b"" if i in found else t.encode() for i, t in enumerate(texts)]
+        ids, at = self._ordinary(np.frombuffer(b"".join(rest), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in rest])]), end_id)
+        parts = [np.array([*found[i], end_id], np.uint32) if i in found else ids[at[i]:at[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _ordinary(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without added tokens."""
         docs, n = len(off) - 1, len(raw)
         blank = tb._SPACE[raw]
         cut = np.zeros(n, bool)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from callwise.llm import decontaminate
+from callwise.llm import decontaminate, packing
 
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -48,3 +48,16 @@ def test_short_items_are_found_however_many_documents(spark, count):
     found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"),
                                 spark.createDataFrame(items, "item_id long, text string"))
     assert {(i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in found.collect()}
+
+
+def test_packing_knows_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "plain text here", "<|endoftext|><|endoftext|>", None, "é <|endoftext|", "x" * 3000 + "<|endoftext|> y\n"]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), *packing.vocabulary()).collect()
+    for i, x in enumerate(texts):
+        want = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        mine = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
+        assert b"".join(bytes(p.ids) for p in mine) == b"".join(y.to_bytes(4, "little") for y in want)
+        assert {p.doc_tokens for p in mine} == {len(want)}
