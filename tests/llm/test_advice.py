@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from callwise.llm import decontaminate, packing
+from callwise.llm import decontaminate, jaccard_join, packing, secret_scan
 
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -61,3 +61,14 @@ def test_packing_knows_added_tokens(spark):
         mine = sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)
         assert b"".join(bytes(p.ids) for p in mine) == b"".join(y.to_bytes(4, "little") for y in want)
         assert {p.doc_tokens for p in mine} == {len(want)}
+
+
+def test_counts_of_long_texts_do_not_wrap():
+    import numpy as np
+    import pyarrow as pa
+    words = " ".join(map(str, range(300_000)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([words])], names=["doc_id", "text"])
+    out = pa.Table.from_batches(jaccard_join._deal(5, 80, 1)(iter([batch])))
+    counts = np.frombuffer(out["counts"][0].as_py(), np.int32)
+    assert counts.max() > 65_535 and counts.sum() == len(out["sigs"][0].as_py()) // 8
+    assert jaccard_join._gather(out).num_rows > 0
