@@ -2,8 +2,9 @@
 
 Scanner: every run of at least ``SHORTEST`` characters of ``[A-Za-z0-9_+/=-]`` inside a
 word is a finding, with the words around it. That finds keys and tokens of any format,
-and far more long words, numbers, paths and identifiers. A random forest tells them
-apart by
+and far more long words, numbers, paths and identifiers. Besides, whatever stands after
+a credential's name and an assignment sign is a finding, of any length and characters. A
+random forest tells them apart by
 
 * length, kinds of characters and distinct characters,
 * character transitions: changes of kind, longest run of one kind, consonant runs,
@@ -56,19 +57,39 @@ PARTS = ("tion|ment|keit|heit|lich|isch|ung|ing|the|and|for|with|that|this|have|
          "sch|ein|der|die|das|und|ich|nicht|auf|ver|ge|be|zu|en|er|es|re|de|le|la|el|los|las|que|qui|con|por|para|una|un|"
          "les|des|dans|pour|est|sur|elle|eau|eux|aux|oi|ou|an|in|on|or|at|to|of|it|is|ar|ra|do|ado|ido|mente|cion|ie|ue|ea|nd|th|st|sh|ha|he|ti|ly|ed")
 
+# what is assigned to a credential's name, in the name's own word or as the next word
+QUOTES = r"\x22\x27`"
+NAMED = CREDENTIAL + rf"[^=:]*[=:]+[\s!{QUOTES}]*$"
+OPENING, CLOSING = rf"^[{QUOTES}(\[{{<!]*", rf"[{QUOTES},;)\]}}>.]*$"
+ASSIGNED = rf"(?i)^(.*?{CREDENTIAL}[^=:]*[=:]+[{QUOTES}]*)([^=:{QUOTES}].*?){CLOSING}"
+
 FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_other", "f_hex", "f_distinct", "f_changes", "f_run", "f_consonants",
             "f_coverage", "f_path", "f_named", "f_assigned", "f_quoted"]
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, word_index, finding, word, before, before2, before3) of every run."""
+    """(doc_id, word_index, finding, prefix, word, before, before2, before3) of every run and
+    every value of a credential's name; prefix is what the word has before the finding."""
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ").alias("w")
-    d = docs.select("doc_id", words).where(F.exists("w", lambda x: F.length(x) >= SHORTEST))
+    d = docs.select("doc_id", words, F.col("text").rlike(f"(?i){CREDENTIAL}").alias("named"))
+    d = d.where(F.col("named") | F.exists("w", lambda x: F.length(x) >= SHORTEST))
     d = d.select("doc_id", F.explode(F.expr(
-        f"transform(filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {SHORTEST} and w[i] rlike '{RUN}'),"
+        "transform(filter(sequence(0, size(w) - 1),"
+        f" i -> (length(w[i]) >= {SHORTEST} and w[i] rlike '{RUN}') or (named and (w[i] rlike '[=:]' or coalesce(get(w, i - 1), '') rlike r'[=:][!{QUOTES}]*$'))),"
         " i -> struct(i as i, w[i] as word, coalesce(get(w, i - 1), '') as b1, coalesce(get(w, i - 2), '') as b2, coalesce(get(w, i - 3), '') as b3))")).alias("x"))
-    return d.select("doc_id", F.col("x.i").cast("long").alias("word_index"), F.explode(F.regexp_extract_all("x.word", F.lit(f"({RUN})"), 1)).alias("finding"),
-                    F.col("x.word").alias("word"), F.col("x.b1").alias("before"), F.col("x.b2").alias("before2"), F.col("x.b3").alias("before3"))
+    d = d.select("doc_id", F.col("x.i").cast("long").alias("word_index"), F.col("x.word").alias("word"),
+                 F.col("x.b1").alias("before"), F.col("x.b2").alias("before2"), F.col("x.b3").alias("before3"))
+    run = F.expr(f"transform(regexp_extract_all(word, '({RUN})', 1), f -> struct(f as finding, substring_index(word, f, 1) as prefix))")
+    after = F.lower(F.concat_ws(" ", "before3", "before2", "before")).rlike(NAMED)
+    groups = len(CREDENTIAL.split("(")) - 1                # groups of the name come between the prefix and the value
+    own = F.struct(F.regexp_extract("word", ASSIGNED, 2 + groups).alias("finding"), F.regexp_extract("word", ASSIGNED, 1).alias("prefix"))
+    opening = F.regexp_extract("word", OPENING, 0)
+    following = F.struct(F.when(after, F.regexp_replace(F.regexp_replace("word", OPENING, ""), CLOSING, "")).otherwise("").alias("finding"), opening.alias("prefix"))
+    values = F.filter(F.array(own, following), lambda x: x["finding"].rlike(rf"[^=:!{QUOTES}]"))
+    # a run that is such a value is one finding
+    others = F.filter(values, lambda v: ~F.exists(run, lambda r: r["finding"] == v["finding"]))
+    d = d.withColumn("x", F.explode(F.concat(run, F.array_distinct(others))))
+    return d.select("doc_id", "word_index", F.col("x.finding").alias("finding"), F.col("x.prefix").alias("prefix"), "word", "before", "before2", "before3")
 
 
 def _share(c: Column, pattern: str) -> Column:
@@ -79,7 +100,7 @@ def _share(c: Column, pattern: str) -> Column:
 def with_features(found: DataFrame) -> DataFrame:
     c, word = F.col("finding"), F.col("word")
     kinds = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "8"), "_+/=-", "-----")
-    near = F.lower(F.concat_ws(" ", "before3", "before2", "before", F.expr("substring_index(word, finding, 1)")))
+    near = F.lower(F.concat_ws(" ", "before3", "before2", "before", "prefix"))
     number = {
         "f_length": F.length(c),
         "f_digits": 1 - _share(c, "[0-9]"), "f_upper": 1 - _share(c, "[A-Z]"), "f_lower": 1 - _share(c, "[a-z]"), "f_other": _share(c, "[A-Za-z0-9]"),
@@ -92,7 +113,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_path": F.length(word) - F.length(F.translate(word, "/.@:\\", "")),
         "f_named": near.rlike(CREDENTIAL).cast("int"),
         "f_assigned": near.rlike(r"[=:]+[\s!\"']*$").cast("int"),
-        "f_quoted": F.expr("substring_index(word, finding, 1)").rlike("[\"'`]$").cast("int"),
+        "f_quoted": F.col("prefix").rlike("[\"'`]$").cast("int"),
     }
     return found.select("*", *[F.coalesce(number[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
 
@@ -147,7 +168,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     secrets = scan(docs.select("doc_id", "text")).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("finding")).alias("_secrets"))
     # longest first, so that no secret is cut by a shorter one inside it
     secrets = secrets.select("_id", F.expr("array_sort(_secrets, (a, b) -> length(b) - length(a))").alias("_secrets"))
-    text = F.expr(f"aggregate(coalesce(_secrets, array()), text, (t, s) -> replace(t, s, '{MASK}'))")
+    # a short one is masked where it stands by itself, not inside other words
+    alone = r"concat(r'(?<![A-Za-z0-9])\Q', replace(s, r'\E', r'\E\\E\Q'), r'\E(?![A-Za-z0-9])')"
+    text = F.expr(f"aggregate(coalesce(_secrets, array()), text, (t, s) -> if(length(s) < {SHORTEST}, regexp_replace(t, {alone}, '{MASK}'), replace(t, s, '{MASK}')))")
     new = {"text": text, "n_chars": F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")} if "n_chars" in docs.columns else {"text": text}
     return (docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
             .select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns]))

@@ -63,6 +63,22 @@ def test_packing_knows_added_tokens(spark):
         assert {p.doc_tokens for p in mine} == {len(want)}
 
 
+def test_short_and_broken_passwords_are_judged_and_masked(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijkmnpqrstuvwxyz"
+    values = ["hunter2x9", "Tr0ub4dor!3xyz@k", *("".join(rng.choice(letters) for _ in range(4)) + str(rng.randrange(10, 99)) + rng.choice(letters) for _ in range(60))]
+    forms = ["password = {}", "my passwd: \"{}\",", "pwd='{}'", "token={}"]
+    rows = [(i, f"some plain words max{v}z {forms[i % 4].format(v)} and the rest") for i, v in enumerate(values)]
+    rows += [(1000 + i, f"the token: is plain{i} words internationalisation{i} and so on") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.finding) for r in secret_scan.scan(d).where("kept").collect()}
+    assert set(enumerate(values)) <= found
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(d).collect()}
+    for i, v in enumerate(values):
+        other = f"max{v}z" if len(v) < secret_scan.SHORTEST else f"max{secret_scan.MASK}z"     # a long one is masked anywhere
+        assert secret_scan.MASK in clean[i] and other in clean[i].split() and v not in clean[i].replace(other, "")
+
+
 def test_counts_of_long_texts_do_not_wrap():
     import numpy as np
     import pyarrow as pa
