@@ -6,12 +6,10 @@ id. Documents are factored against reference blocks that hold all documents:
 * every window of ``span`` words belongs to the block of its anchor, the smallest
   hash of its ``GRAM``-word grams. Equal windows have equal anchors, so each block
   indexes all occurrences of its windows, and neighbouring windows mostly share one;
-* within a block a document is parsed greedily: a factor starts at a window that the
-  index has for an earlier document and grows while the next word continues the copy.
-  Where a factor ends, the shifts around the boundary are looked up as well, so a
-  window is found even if the greedy factors cut it;
-* factors of at least ``span`` words become spans; the union of a document's spans
-  is removed.
+* within a block every window is looked up by its hash, which gives the smallest document
+  that has it. There is no greedy word-by-word parse: a factor is a run of neighbouring
+  windows with one such document, so no boundary can cut a window;
+* factors become spans; the union of a document's spans is removed.
 
 Before anything is shuffled a task settles the windows that an earlier document of
 its own also has, so a passage that very many documents share leaves each task once.
