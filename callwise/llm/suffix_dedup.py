@@ -15,8 +15,10 @@ hold all occurrences of their strings:
 2. Around the others the bytes are sent to the anchor's part. A task first settles the
    pieces that it already holds from an earlier place, so a passage that very many
    documents share leaves each task once.
-3. Each part sorts the suffixes at its string starts by their first ``span`` bytes (by
-   prefix doubling) and gets the previous smaller positions; factors become spans.
+3. Each part sorts the suffixes at its string starts by their first ``span`` bytes only (by
+   prefix doubling). A suffix with an equal rank at a smaller position has a longest
+   previous factor of at least ``span`` bytes, which is all that is asked: neither the
+   factors' lengths nor the next smaller positions are made.
 4. The union of a document's spans is cut out.
 
 Documents are shuffled once, by id; both joins read that exchange.
