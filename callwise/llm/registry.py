@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from callwise.llm.decontaminate import op1_latent_retrieval
+from callwise.llm.hard_negatives import ORACLE as HARD_NEGATIVES
+from callwise.llm.hard_negatives import op13_lemp_negatives
 from callwise.llm.jaccard_join import op3_partenum_jaccard
 from callwise.llm.lempel_ziv import op8_relative_lempel_ziv
 from callwise.llm.ngram_trie import op7_elias_fano_trie
@@ -18,8 +20,8 @@ from callwise.llm.warc import op4_warc_derivatives
 def queries() -> dict:
     import corpus_pipeline
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_latent_retrieval, op2_forest_secrets, op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
-                                  op10_suffix_lpf)}
+                                  op10_suffix_lpf, op13_lemp_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_first": LINE_FIRST}
+    return {"op9_line_first": LINE_FIRST, "op13_lemp_negatives": HARD_NEGATIVES}
