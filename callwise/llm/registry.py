@@ -11,6 +11,8 @@ from callwise.llm.ngram_trie import op7_elias_fano_trie
 from callwise.llm.packing import op5_karmarkar_karp
 from callwise.llm.quality_rules import ORACLE as LINE_FIRST
 from callwise.llm.quality_rules import op9_line_first
+from callwise.llm.ranked_search import ORACLE as RANKED_SEARCH
+from callwise.llm.ranked_search import op12_k2_treap_search
 from callwise.llm.secret_scan import op2_forest_secrets
 from callwise.llm.sharding import op6_histogram_sort
 from callwise.llm.suffix_dedup import op10_suffix_lpf
@@ -20,8 +22,8 @@ from callwise.llm.warc import op4_warc_derivatives
 def queries() -> dict:
     import corpus_pipeline
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_latent_retrieval, op2_forest_secrets, op3_partenum_jaccard, op4_warc_derivatives, op5_karmarkar_karp, op6_histogram_sort, op7_elias_fano_trie, op8_relative_lempel_ziv, op9_line_first,
-                                  op10_suffix_lpf, op13_lemp_negatives)}
+                                  op10_suffix_lpf, op12_k2_treap_search, op13_lemp_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_first": LINE_FIRST, "op13_lemp_negatives": HARD_NEGATIVES}
+    return {"op9_line_first": LINE_FIRST, "op12_k2_treap_search": RANKED_SEARCH, "op13_lemp_negatives": HARD_NEGATIVES}
