@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from callwise.llm import textbytes as tb
 from callwise.llm.hard_negatives import Best
 
-SHARD_BYTES = 16 << 20      # of text behind a shard
+SHARD_BYTES = 8 << 20       # of text behind a shard
 LEAD = 7                    # levels that the rows of the grid are halved ahead of the columns
 ITEMS, ITEM_BYTES = 2000, 8 << 20       # of a block
-GROUP = 32                  # items that descend at a time
+GROUP = 16                  # items that descend at a time
 BATCH = 64                  # states of an item that are halved at a time
 TOP = 10
 NO_ID = 2 ** 63 - 1
@@ -195,16 +195,15 @@ class Shard:
 
     def __init__(self, row: dict):
         get = lambda c, t: np.frombuffer(row[c], t)
-        plane = lambda c: tb.from_planes(pa.array([row[c]], pa.binary()), np.uint32).astype(np.int64)
+        plane = lambda c: np.ascontiguousarray(get(c, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         self.rb, self.cb, self.levels = row["row_bits"], row["column_bits"], row["levels"]
         self.terms, self.ids = get("terms", np.uint64), get("ids", np.int64)
         self.value, self.mask = plane("values"), get("masks", np.uint8)
-        kids = _POP[self.mask]
-        self.first = 1 + np.cumsum(kids) - kids
-        leaf = self.mask == 0
-        at = np.cumsum(leaf) - 1
-        self.row = np.where(leaf, plane("rows")[at], -1)
-        self.column = np.where(leaf, plane("columns")[at], -1)
+        kids = _POP.astype(np.uint8)[self.mask]
+        self.first = np.cumsum(kids, dtype=np.int32) + np.int32(1) - kids
+        # of a leaf: its place among the leaves, which have the row and the column
+        self.place = np.cumsum(self.mask == 0, dtype=np.int32) - np.int32(1)
+        self.row, self.column = plane("rows"), plane("columns")
 
     def rows_of(self, h: np.ndarray) -> np.ndarray:
         """Row of each term hash, -1 where the shard has none."""
@@ -212,6 +211,9 @@ class Shard:
         at[at == len(self.terms)] = 0
         return np.where(self.terms[at] == h, at, -1)
 
+    def columns_of(self, leaf: np.ndarray) -> np.ndarray:
+        return self.column[self.place[leaf]].astype(np.int64)
+
     def halved(self, level: np.ndarray, entry: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For both halves of the documents: (paths, cells) that go on there. ``entry`` is
         the cell of each path, ``row`` its term, ``level`` how often its range was halved."""
@@ -219,7 +221,7 @@ class Shard:
         leaf = mask == 0
         upper = np.where(level < self.rb, (row >> np.maximum(self.rb - 1 - level, 0)) & 1, 0) * 2
         splits = self.levels - 1 - level < self.cb
-        side = np.where(leaf & splits, (self.column[entry] >> np.minimum(self.levels - 1 - level, 62)) & 1, 0)
+        side = np.where(leaf & splits, (self.columns_of(entry) >> np.minimum(self.levels - 1 - level, 62)) & 1, 0)
         out = []
         for half in (0, 1):
             q = upper + half
@@ -227,7 +229,7 @@ class Shard:
             to = np.where(leaf, entry, self.first[entry] + _POP[mask & ((1 << q) - 1)])
             path = np.flatnonzero(go)
             to = to[path]
-            own = (self.mask[to] != 0) | (self.row[to] == row[path])
+            own = (self.mask[to] != 0) | (self.row[self.place[to]] == row[path])
             out.append((path[own], to[own]))
         return out
 
@@ -261,7 +263,7 @@ def descend(s: Shard, item: np.ndarray, row: np.ndarray, weight: np.ndarray, bes
     """Adds the shard's documents to ``best``: ``item``, ``row``, ``weight`` are the paths,
     sorted by item."""
     entry = np.zeros(len(row), np.int64)
-    own = (s.mask[entry] != 0) | (s.row[entry] == row)
+    own = (s.mask[entry] != 0) | (s.row[s.place[entry]] == row)
     item, row, weight, entry = item[own], row[own], weight[own], entry[own]
     top = s.levels - s.cb
     for level in range(top):            # the documents are not halved yet
@@ -271,7 +273,7 @@ def descend(s: Shard, item: np.ndarray, row: np.ndarray, weight: np.ndarray, bes
         return
     # a state: item, level, documents before it in halves of its level, bound, first path, paths
     states = _Pool(np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)
-    paths = _Pool(np.int64, np.int64, np.int64)
+    paths = _Pool(np.int32, np.int32, np.int32)
     open_ = np.zeros(0, np.int64)
     last = np.full(len(best.least), NO_ID)      # id at the k-th place
 
@@ -280,16 +282,18 @@ def descend(s: Shard, item: np.ndarray, row: np.ndarray, weight: np.ndarray, bes
         """Scores the states whose paths are leaves, returns the others; ``of`` (sorted)
         gives the state of each path."""
         n = len(item)
-        got = weight * s.value[entry]
+        got = weight.astype(np.int64) * s.value[entry]
         whole = _sums(of, (s.mask[entry] != 0).astype(np.int64), n) == 0
         at = np.flatnonzero(whole[of])
         if len(at):
-            o = at[np.argsort(of[at] * len(s.ids) + s.column[entry[at]], kind="stable")]
-            doc = of[o] * len(s.ids) + s.column[entry[o]]
+            column = s.columns_of(entry[at])
+            sort = np.argsort(of[at] * len(s.ids) + column, kind="stable")
+            o, column = at[sort], column[sort]
+            doc = of[o] * len(s.ids) + column
             new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
             score, who = np.add.reduceat(got[o], new), item[of[o[new]]]
             keep = score >= best.least[who]
-            best.add(who[keep], score[keep], s.ids[s.column[entry[o[new]]]][keep], np.zeros(int(keep.sum()), np.int64))
+            best.add(who[keep], score[keep], s.ids[column[new]][keep], np.zeros(int(keep.sum()), np.int64))
         full = np.flatnonzero(np.bincount(best.rows[0], minlength=len(last)) == best.k)
         last[full] = best.rows[2][np.searchsorted(best.rows[0], full, "right") - 1]
         keep = ~whole & (_sums(of, np.ones(len(of), np.int64), n) > 0)

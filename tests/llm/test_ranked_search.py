@@ -93,7 +93,7 @@ def test_the_tree_holds_the_grid(docs, vocabulary):
     leaf = s.mask == 0
     assert int(leaf.sum()) == len(row) and len(s.value) <= 1 + 4 * len(row) * max(s.levels, 1)
     back = np.zeros_like(grid)
-    back[s.row[leaf], s.column[leaf]] = s.value[leaf]
+    back[s.row, s.column] = s.value[leaf]
     assert (back == grid).all()
     for e in np.flatnonzero(~leaf):         # an inner cell holds the largest impact of its quarters
         kids = s.first[e] + np.arange(rs._POP[s.mask[e]])
