@@ -195,6 +195,8 @@ def more_sql() -> dict[str, str]:
     out.update(DOCTOR_SQL)
     from callwise import oracles_bi
     out.update(oracles_bi.bi_sql())
+    from callwise.oracles_kmeans import kmeans_sql
+    out.update(kmeans_sql())
     out["fk_orphans"] = oracles_bi.fk_sql(
         REP_PERF_CTES + "," + FEATURE_CTES
         + ", rep_performance AS (SELECT rep_id FROM rep_perf), doctor_segments AS (SELECT doctor_id FROM feats)")

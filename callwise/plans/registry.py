@@ -120,6 +120,8 @@ FEATURE_PLANS = {
     "doctor_features_scaled": doctors.doctor_features_scaled,
     "nearest_centroid": doctors.nearest_level_centroid,
     "cluster_profile": doctors.cluster_profile_levels,
+    "kmeans_seeding": segments.kmeans_seeding,
+    "kmeans_relocation": segments.kmeans_relocation,
 }
 
 SEGMENT_PLANS = {

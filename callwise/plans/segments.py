@@ -1,4 +1,4 @@
-"""K-means doctor segmentation with model selection (pyspark.ml).
+"""K-means doctor segmentation with model selection.
 
 Procedure, as in the analysis script: standardise five features, fit k-means for
 K = 2..7 keeping the best of ``n_init`` seeds by inertia, choose K by the largest
@@ -6,12 +6,11 @@ silhouette (smallest K on ties), label each cluster by comparing its mean revenu
 and visits with the medians over the clusters.
 
 Scale notes
-- The standardised vectors are checkpointed to the shared folder once and reused
-  by every fit: each Lloyd iteration is one distributed pass (a treeAggregate of
-  per-partition sums), and a lost executor re-reads the checkpoint instead of
-  re-running the feature joins.
-- Seeds run concurrently from a small thread pool: the fits are independent jobs
-  and the scheduler interleaves their tasks.
+- The standardised vectors are checkpointed to the shared folder once, so a lost
+  executor re-reads the checkpoint instead of re-running the feature joins.
+- All 60 fits (K x seeds) advance together (``operators.kmeans``): greedy k-means++
+  seeding takes two passes a step, Lloyd one pass a step, and a pass returns one row
+  for each model and cluster. Scans do not grow with the number of models.
 - Silhouette uses ``ClusteringEvaluator`` with squared Euclidean distance, which is
   exact and linear in the number of points (per-cluster sums of vectors and norms).
   The script's plain-Euclidean silhouette needs the distance of every pair of
@@ -23,85 +22,97 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwise.functions.labels import drop_first_token, segment_action
-from callwise.plans.doctors import (FEATURES, cluster_profile, doctor_features,
-                                   doctor_features_scaled, fit_scaler)
+from callwise.operators import kmeans
+from callwise.plans.doctors import (FEATURES, cluster_profile, doctor_features, fit_scaler,
+                                   level_centroids, scale_features)
 from callwise.sources.roles import Roles, load_roles
 
 K_RANGE = range(2, 8)
 N_INIT = 10
 SEED = 42
 MAX_ITER = 300
-TOL = 1e-4   # the script's tolerance: on the sum over centers of squared center shifts,
-             # relative to the mean feature variance
-
-
-def spark_tol(k: int, mean_variance: float = 1.0, tol: float = TOL) -> float:
-    """Per-center shift bound for ``pyspark.ml`` (which stops when every center moves
-    less than ``tol``) implying the script's rule sum_k |shift_k|^2 <= tol * mean_var."""
-    import math
-    return math.sqrt(tol * mean_variance / k) if mean_variance > 0 else 1e-12
+TOL = 1e-4   # on the sum over centers of squared center shifts, relative to the mean feature variance
 
 
 @dataclass
 class Selection:
     features: DataFrame          # raw feature table (doctor_features)
-    vectors: DataFrame           # doctor_id, features (checkpointed)
+    vectors: DataFrame           # doctor_id, h, q, features (checkpointed)
     table: list[tuple]           # (k, inertia, silhouette)
     best_k: int
-    model: KMeansModel
+    centers: np.ndarray          # of the chosen model, in standardised units
+
+
+def doctor_points(feats: DataFrame, model: dict | None = None) -> DataFrame:
+    """Standardised features as the integer vectors of ``operators.kmeans``."""
+    return kmeans.points(scale_features(feats, model or fit_scaler(feats)), "doctor_id", FEATURES)
 
 
 def select_model(r: Roles, k_range=K_RANGE, n_init: int = N_INIT, seed: int = SEED,
-                 feats: DataFrame | None = None, workers: int = 16) -> Selection:
+                 feats: DataFrame | None = None, workers: int = 6) -> Selection:
     spark = r.doctors.sparkSession
     feats = feats if feats is not None else doctor_features(r)
-    scaled = doctor_features_scaled(r, feats)  # fits the scaler (one aggregate)
-    vectors = (VectorAssembler(inputCols=FEATURES, outputCol="features")
-               .transform(scaled).select("doctor_id", "features"))
+    scaler = fit_scaler(feats)
     from callwise.session import shared_dir
     shared_dir(spark)  # makes sure a checkpoint folder is set
-    # checkpoint cuts the lineage; persisting the checkpointed copy lets every fit share
-    # one cached input (KMeans caches its own copy when the input is not persisted)
-    vectors = vectors.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
-    vectors.count()
+    stored = doctor_points(feats, scaler).checkpoint(eager=True)
+    vectors = stored.withColumn("features", array_to_vector(F.transform("q", lambda x: x.cast("double") / kmeans.UNIT)))
 
     # standardised features have variance 1, constant ones 0
-    model_stats = fit_scaler(feats)
-    mean_var = sum(1.0 for c in FEATURES if model_stats[c][2] > 0) / len(FEATURES)
-
-    def fit(job: tuple[int, int]):
-        k, i = job
-        m = KMeans(k=k, seed=seed + i, maxIter=MAX_ITER, tol=spark_tol(k, mean_var),
-                   featuresCol="features", predictionCol="cluster").fit(vectors)
-        return k, i, m.summary.trainingCost, m
-
-    jobs = [(k, i) for k in k_range for i in range(n_init)]
-    # pool threads inherit the caller's job group and local properties, so the fits
-    # are attributed to (and cancellable with) the calling query
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        fits = list(pool.map(inheritable_thread_target(spark)(fit), jobs))
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
-                                    distanceMeasure="squaredEuclidean")
-    # best of n_init seeds by inertia, first seed on ties
-    best = {k: min((f for f in fits if f[0] == k), key=lambda f: (f[2], f[1])) for k in k_range}
-
-    def silhouette(k: int) -> float:
-        return float(evaluator.evaluate(best[k][3].transform(vectors)))
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        sils = dict(zip(k_range, pool.map(inheritable_thread_target(spark)(silhouette), k_range)))
-    table = [(k, float(best[k][2]), sils[k]) for k in k_range]
-    models = {k: best[k][3] for k in k_range}
+    mean_var = sum(1.0 for c in FEATURES if scaler[c][2] > 0) / len(FEATURES)
+    cached = stored.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits = kmeans.fit(cached, [(k, seed + i) for k in k_range for i in range(n_init)], MAX_ITER, TOL * mean_var)
+        # best of n_init seeds by inertia, first seed on ties
+        best = {k: min((f for f in fits if f.k == k), key=lambda f: (f.inertia, f.seed)) for k in k_range}
+        evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
+                                        distanceMeasure="squaredEuclidean")
+
+        def silhouette(k: int) -> float:
+            return float(evaluator.evaluate(vectors.withColumn("cluster", kmeans.label_column("q", best[k].centres))))
+
+        # pool threads inherit the caller's job group and local properties
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            sils = dict(zip(k_range, pool.map(inheritable_thread_target(spark)(silhouette), k_range)))
+    finally:
+        cached.unpersist()
+    table = [(k, best[k].inertia, sils[k]) for k in k_range]
     best_k = max(table, key=lambda t: (t[2], -t[0]))[0]
-    return Selection(feats, vectors, table, best_k, models[best_k])
+    return Selection(feats, vectors, table, best_k, best[best_k].centres)
+
+
+def kmeans_seeding(r: Roles, feats: DataFrame | None = None, k: int = 3, seed: int = SEED) -> DataFrame:
+    """Doctors taken as centres by greedy k-means++, with the summed distances after each step."""
+    feats = feats if feats is not None else doctor_features(r)
+    p = doctor_points(feats)
+    chosen = kmeans.seeded(p, [(k, seed)])[0].picks
+    kind = dict(p.dtypes)["doctor_id"]
+    return p.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(chosen, 1)],
+                                          f"step int, doctor_id {kind}, trial int, cost bigint")
+
+
+FAR = 1000.0    # a centre out here, in standard deviations, is nobody's nearest
+
+
+def kmeans_relocation(r: Roles, feats: DataFrame | None = None) -> DataFrame:
+    """One Lloyd step from the centroids of the potential levels and a centre that no doctor
+    is near: the empty cluster moves to the farthest doctor."""
+    feats = feats if feats is not None else doctor_features(r)
+    scaler = fit_scaler(feats)
+    levels = [c for c in level_centroids(r, feats, scaler) if not np.isnan(c).any()]
+    start = np.array(levels + [[FAR] * len(FEATURES)])
+    p = doctor_points(feats, scaler)
+    centres, n, _ = kmeans.lloyd_step(p, {0: start})[0]
+    return p.sparkSession.createDataFrame([(k, int(n[k]), *map(float, c)) for k, c in enumerate(centres)],
+                                          "cluster int, n_doctors bigint, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
 _CACHE: dict[tuple[str, str], Selection] = {}
@@ -124,13 +135,8 @@ def model_selection_table(sel: Selection) -> DataFrame:
 
 def _assignments(sel: Selection) -> DataFrame:
     """Cluster per doctor, ids renumbered by centroid order so output is stable."""
-    centers = [tuple(float(x) for x in c) for c in sel.model.clusterCenters()]
-    order = sorted(range(len(centers)), key=lambda i: centers[i])
-    remap = F.lit(None).cast("int")
-    for new, old in enumerate(order):
-        remap = F.when(F.col("raw") == old, F.lit(new)).otherwise(remap)
-    pred = sel.model.transform(sel.vectors).select("doctor_id", F.col("cluster").alias("raw"))
-    return pred.select("doctor_id", remap.alias("cluster"))
+    centers = np.array(sorted(tuple(float(x) for x in c) for c in sel.centers))
+    return sel.vectors.select("doctor_id", kmeans.label_column("q", centers).alias("cluster"))
 
 
 def doctor_segments(sel: Selection) -> DataFrame:
