@@ -146,6 +146,18 @@ def bi_sql() -> dict[str, str]:
         "revenue_by_product": _rev_by_product(),
         "quarterly_revenue_by_product": with_roles("""
 SELECT quarter, product, CAST(SUM(revenue) AS BIGINT) AS total_revenue FROM prescriptions GROUP BY quarter, product"""),
+        "revenue_by_product_sliced": _rev_by_product(region=s["region"], quarter=s["quarter"]),
+        "quarterly_revenue_by_product_sliced": with_roles(f"""
+SELECT p.quarter, p.product, CAST(SUM(p.revenue) AS BIGINT) AS total_revenue FROM prescriptions p
+WHERE {_rx_filter(region=s["region"])} GROUP BY p.quarter, p.product"""),
+        "sales_cube": with_roles("""
+SELECT CAST(GROUPING(t.region, p.product, p.quarter, p.month) AS INT) AS gid, t.region, p.product, p.quarter, p.month,
+ CAST(SUM(p.revenue) AS BIGINT) AS total_revenue, CAST(SUM(p.units_prescribed) AS BIGINT) AS total_units, COUNT(*) AS n_prescriptions
+FROM prescriptions p LEFT JOIN territories t ON t.territory_id = p.territory_id
+GROUP BY CUBE (t.region, p.product, p.quarter, p.month)"""),
+        "monthly_revenue_sliced": with_roles(f"""
+SELECT p.month, CAST(SUM(p.revenue) AS BIGINT) AS total_revenue FROM prescriptions p
+WHERE {_rx_filter(s["region"], s["product"])} GROUP BY p.month"""),
         "rep_scorecard_banded": _perf(f"""
 SELECT rep_id, rep_name, efficiency_score, high_pct, low_pct, total_calls, call_achievement_pct, total_revenue,
  CASE WHEN score_x100 >= {L.SCORE_BANDS_X100['Green']} THEN 'Green'

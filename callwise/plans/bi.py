@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from callwise.functions.exact import divide_or_zero, ratio_round
 from callwise.functions.labels import score_band
+from callwise.operators.bitmaps import distinct_keys
 from callwise.operators.fanout import pairs_of
 from callwise.plans.reps import rep_performance_full
+from callwise.plans.summaries import Summaries, reach, sales, sliced
 from callwise.sources.roles import Roles
 
 
@@ -34,66 +36,36 @@ def _filtered_rx(r: Roles, region=None, product=None, quarter=None) -> DataFrame
     return rx
 
 
-def _with_region(df: DataFrame, r: Roles, via: str) -> DataFrame:
-    """Attach territories.region through ``via`` (territory_id or rep_id)."""
-    t = r.territories.select("territory_id", "region")
-    if via == "rep_id":
-        t = r.reps.select("rep_id", "territory_id").join(t, "territory_id").select("rep_id", "region")
-    return df.join(t, via, "left")
-
-
 def measures(r: Roles, region: str | None = None, product: str | None = None,
              quarter: int | None = None, by_region: bool = False,
-             perf: DataFrame | None = None) -> DataFrame:
+             perf: DataFrame | None = None, tables: Summaries | None = None) -> DataFrame:
     """Total Revenue, Total Units, Total Visits, Unique Doctors Visited, Avg Efficiency
-    Score, Market Capture %, Revenue per Visit, High Potential Call %, Wasted Calls."""
-    need_region = by_region or region is not None
-    rx = r.prescriptions
-    if product is not None:
-        rx = rx.filter(F.col("product") == product)
-    if quarter is not None:
-        rx = rx.filter(F.col("quarter") == quarter)
-    rx = rx.groupBy("territory_id").agg(F.sum("revenue").alias("revenue"),
-                                        F.sum("units_prescribed").alias("units"))
-    pot = r.doctors.select("doctor_id", "prescribing_potential")
-    vis = (pairs_of(r).join(pot, "doctor_id", "left")
-           .withColumn("n_high", F.when(F.col("prescribing_potential") == "High", F.col("n_v"))
-                       .otherwise(0))
-           .withColumn("n_low", F.when(F.col("prescribing_potential") == "Low", F.col("n_v"))
-                       .otherwise(0)))
+    Score, Market Capture %, Revenue per Visit, High Potential Call %, Wasted Calls.
+
+    Visits come from the reach summary: its rows do not grow with the visits, and unique
+    doctors are the bits of merged bitmaps instead of a distinct count."""
+    tables = tables if tables is not None else Summaries(reach(r), sales(r))
+    keys = ["region"] if by_region else []
+    place = r.territories.select("territory_id", "region")
+    rx = sliced(tables.sales, region, product, quarter).groupBy(*keys).agg(F.sum("revenue").alias("revenue"), F.sum("units").alias("units"))
+    seen = distinct_keys(sliced(tables.reach, region), "doctors", keys, "n_doctors", ["n_v", "n_high", "n_low"])
     perf = (perf if perf is not None else rep_performance_full(r)).select("rep_id", "score_x100")
-    terr = r.territories.select("territory_id", "market_potential")
-    if need_region:
-        rx = _with_region(rx, r, "territory_id")
-        vis = _with_region(vis, r, "rep_id")
-        perf = _with_region(perf, r, "rep_id")
-        terr = _with_region(terr, r, "territory_id")
-    schema_cols = ["region", "revenue", "units", "doctor_id", "n_v", "n_high", "n_low",
-                   "score_x100", "market_potential"]
+    perf = sliced(perf.join(r.reps.select("rep_id", "territory_id"), "rep_id", "left").join(place, "territory_id", "left"), region)
+    terr = sliced(r.territories.select("region", "market_potential"), region)
+    columns = ["revenue", "units", "n_doctors", "n_v", "n_high", "n_low", "score_x100", "market_potential"]
 
     def shape(df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c)
-                           for c in schema_cols if c != "region" or need_region])
-
-    u = (shape(rx.select(*(["region"] if need_region else []), "revenue", "units"))
-         .unionByName(shape(vis.select(*(["region"] if need_region else []),
-                                       "doctor_id", "n_v", "n_high", "n_low")), allowMissingColumns=True)
-         .unionByName(shape(perf.select(*(["region"] if need_region else []), "score_x100")),
-                      allowMissingColumns=True)
-         .unionByName(shape(terr.select(*(["region"] if need_region else []), "market_potential")),
-                      allowMissingColumns=True))
-    if region is not None:
-        u = u.filter(F.col("region") == region)
-    keys = ["region"] if by_region else []
-    g = u.groupBy(*keys).agg(
-        F.coalesce(F.sum("revenue"), F.lit(0)).cast("bigint").alias("total_revenue"),
-        F.coalesce(F.sum("units"), F.lit(0)).cast("bigint").alias("total_units"),
-        F.coalesce(F.sum("n_v"), F.lit(0)).cast("bigint").alias("total_visits"),
-        F.countDistinct("doctor_id").alias("unique_doctors_visited"),
+        """One row shape for every table's part, empty where it has none."""
+        return df.select(*keys, *[F.col(c) if c in df.columns else F.lit(None).cast("bigint").alias(c) for c in columns])
+
+    parts = shape(rx).unionByName(shape(seen)).unionByName(shape(perf)).unionByName(shape(terr))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    g = parts.groupBy(*keys).agg(
+        total("revenue").alias("total_revenue"), total("units").alias("total_units"),
+        total("n_v").alias("total_visits"), total("n_doctors").alias("unique_doctors_visited"),
         F.sum("score_x100").alias("score_sum"), F.count("score_x100").alias("score_n"),
         F.sum("market_potential").alias("market_potential"),
-        F.coalesce(F.sum("n_high"), F.lit(0)).cast("bigint").alias("high_calls"),
-        F.coalesce(F.sum("n_low"), F.lit(0)).cast("bigint").alias("wasted_calls"))
+        total("n_high").alias("high_calls"), total("n_low").alias("wasted_calls"))
     return g.select(
         *keys, "total_revenue", "total_units", "total_visits", "unique_doctors_visited",
         F.try_divide(F.col("score_sum").cast("double"), (F.col("score_n") * 100).cast("double"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwise.plans import bi, callplan, doctors, kpi, quality, reps, sampling, segments
+from callwise.plans import bi, callplan, doctors, kpi, quality, reps, sampling, segments, summaries
 from callwise.sources.roles import load_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +30,7 @@ def _seg(fn) -> Query:
 
 
 PERF_READERS = {"top_reps_by_efficiency", "bottom_reps_by_low_pct", "rep_efficiency_chart",
-                "efficiency_by_rep",
-                "bi_measures", "bi_measures_sliced", "bi_measures_by_region",
-                "rep_scorecard_banded", "efficiency_vs_revenue", "fk_orphans"}
+                "efficiency_by_rep", "rep_scorecard_banded", "efficiency_vs_revenue", "fk_orphans"}
 
 
 def _perf_q(fn, **kw) -> Query:
@@ -43,6 +41,23 @@ def _perf_q(fn, **kw) -> Query:
     return q
 
 
+def _measures_q(fn, **kw) -> Query:
+    """Measures over the written summaries and the written rep scorecard."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(load_roles(spark, sf_dir), perf=reps.load_rep_performance(spark, sf_dir),
+                  tables=summaries.load_summaries(spark, sf_dir), **kw)
+    q.__name__ = getattr(fn, "__name__", "query")
+    return q
+
+
+def _sales_q(fn, **kw) -> Query:
+    """Plans over the written sales summary."""
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(load_roles(spark, sf_dir), summary=summaries.load_summaries(spark, sf_dir).sales, **kw)
+    q.__name__ = getattr(fn, "__name__", "query")
+    return q
+
+
 def _feat(fn) -> Query:
     """Plans over the doctor feature table, read from its written copy."""
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +116,10 @@ def role_plans() -> dict[str, tuple]:
         "qoq_growth_sliced": (bi.qoq_growth, dict(region=s["region"], product=s["product"])),
         "revenue_by_product": (bi.revenue_by_product, dict()),
         "quarterly_revenue_by_product": (bi.quarterly_revenue_by_product, dict()),
+        "revenue_by_product_sliced": (bi.revenue_by_product, dict(region=s["region"], quarter=s["quarter"])),
+        "quarterly_revenue_by_product_sliced": (bi.quarterly_revenue_by_product, dict(region=s["region"])),
+        "sales_cube": (summaries.sales_cube, dict()),
+        "monthly_revenue_sliced": (summaries.monthly_revenue, dict(region=s["region"], product=s["product"])),
         "rep_scorecard_banded": (bi.rep_scorecard_banded, dict()),
         "call_distribution": (bi.call_distribution, dict()),
         "efficiency_vs_revenue": (bi.efficiency_vs_revenue, dict()),
@@ -149,7 +168,8 @@ def _streamed_rep_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {name: (_perf_q if name in PERF_READERS else _q)(fn, **kw)
+    made = {bi.measures: _measures_q, summaries.sales_cube: _sales_q, summaries.monthly_revenue: _sales_q}
+    out: dict[str, Query] = {name: made.get(fn, _perf_q if name in PERF_READERS else _q)(fn, **kw)
                              for name, (fn, kw) in role_plans().items()}
     for name, fn in FEATURE_PLANS.items():
         out[name] = _feat(fn)
