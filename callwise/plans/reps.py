@@ -62,9 +62,13 @@ def rep_efficiency(r: Roles) -> DataFrame:
 def rep_revenue(r: Roles) -> DataFrame:
     """Revenue attributed to reps: each prescription counted once per visit of the rep in
     the same (doctor, product, month) cell."""
-    # the script de-duplicates the visit rows it attributes (a no-op when visit_id is a key)
-    visits = r.visits.dropDuplicates(["visit_id", "rep_id", "doctor_id", "month", "product"])
-    cells = cell_revenue(visits, r.prescriptions).filter(F.col("revenue").isNotNull())
+    # the script de-duplicates the visit rows it attributes: nothing to do where visit_id is a
+    # key, so the written cells are read; else the visits are compared
+    if r.unique_visits and r.cells is not None:
+        cells = cell_revenue(r.visits, r.prescriptions, r.cells)
+    else:
+        cells = cell_revenue(r.visits.dropDuplicates(["visit_id", "rep_id", "doctor_id", "month", "product"]), r.prescriptions)
+    cells = cells.filter(F.col("revenue").isNotNull())
     return (cells.groupBy("rep_id")
             .agg(F.sum(F.col("n_v") * F.col("revenue")).cast("bigint").alias("total_revenue")))
 

@@ -20,6 +20,8 @@ _BASE_CONF = {
     # threshold, so every broadcast rests on a real size.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    # tables bucketed by doctor_id join on (doctor_id, product, month) as they lie
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -41,6 +41,8 @@ class Roles:
     # optional summary table: visits per (rep, doctor, product, month), written once
     # with the facts; plans fall back to aggregating ``visits`` when it is absent
     cells: DataFrame | None = None
+    # whether visit_id is known to be a key, so that no visit row can be a repeat
+    unique_visits: bool = False
 
     def as_dict(self) -> dict[str, DataFrame]:
         return {"territories": self.territories, "reps": self.reps, "doctors": self.doctors,
@@ -187,6 +189,31 @@ def sized_dimension(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) ->
     return bounded_broadcast(df, max_rows)
 
 
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 100_000       # Spark's own limit
+
+
+def bucket_count(visits: DataFrame) -> int:
+    """Buckets of the tables laid out by doctor: from the number of visits, which bounds the
+    rows of both (read from the file footers)."""
+    return max(8, min(MAX_BUCKETS, visits.count() // ROWS_PER_BUCKET))
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int, partition_by: str | None = None) -> DataFrame:
+    """``df`` as a table bucketed by doctor_id at ``path`` of the shared folder. Every task
+    writes one bucket, and joins and groupings that hold doctor_id need no exchange.
+
+    Only pre-aggregated tables are laid out like this: one doctor has at most a row per rep,
+    product and month in them. Visits stay as they are, as a bucket is read by one task and a
+    doctor with a third of all visits would fill one."""
+    import uuid
+    spark = df.sparkSession
+    name = f"callwise_{uuid.uuid4().hex}"
+    w = df.repartition(buckets, "doctor_id").write.bucketBy(buckets, "doctor_id").option("path", path).format("parquet")
+    (w.partitionBy(partition_by) if partition_by else w).saveAsTable(name)
+    return spark.table(name).select(*df.columns)
+
+
 def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Roles:
     key = (_session_key(spark), sf_dir)
     if key in _CACHE:
@@ -197,19 +224,16 @@ def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Ro
     from callwise.session import new_output_path
     base = new_output_path(spark, "roles")
 
-    def write_read(df: DataFrame, name: str, by_quarter: bool = True) -> DataFrame:
-        path = f"{base}/{name}"
-        w = df.write.mode("overwrite")
-        (w.partitionBy("quarter") if by_quarter else w).parquet(path)
-        return spark.read.parquet(path).select(*df.columns)
-
-    visits = write_read(lazy.visits, "visits")
+    lazy.visits.write.mode("overwrite").partitionBy("quarter").parquet(f"{base}/visits")
+    visits = spark.read.parquet(f"{base}/visits").select(*lazy.visits.columns)
+    buckets = bucket_count(visits)
     cells = prescription_cells_from_tpch(spark, sf_dir)
-    rx = write_read(prescriptions_from_cells(cells, visits, lazy.doctors), "prescriptions")
+    rx = write_bucketed(prescriptions_from_cells(cells, visits, lazy.doctors), f"{base}/prescriptions", buckets, "quarter")
     from callwise.operators.fanout import visit_cells
-    cells = write_read(visit_cells(visits), "visit_cells", by_quarter=False)
+    cells = write_bucketed(visit_cells(visits), f"{base}/visit_cells", buckets)
+    # visit ids are made of the grouping key of the build, so they are unique
     roles = Roles(*[sized_dimension(d) for d in (lazy.territories, lazy.reps, lazy.doctors)],
-                  visits, rx, cells)
+                  visits, rx, cells, unique_visits=True)
     _CACHE[key] = roles
     _PATHS[key] = base
     return roles
@@ -234,13 +258,15 @@ def materialize(spark: SparkSession, roles: Roles) -> Roles:
     base = new_output_path(spark, "roles-in")
     out = {}
     for name, df in roles.as_dict().items():
+        if name == "prescriptions":
+            by = "quarter" if "quarter" in df.columns else None
+            out[name] = write_bucketed(df, f"{base}/{name}", bucket_count(out["visits"]), by)
+            continue
         w = df.write.mode("overwrite")
-        if name in ("visits", "prescriptions") and "quarter" in df.columns:
+        if name == "visits" and "quarter" in df.columns:
             w = w.partitionBy("quarter")
         w.parquet(f"{base}/{name}")
         out[name] = spark.read.parquet(f"{base}/{name}").select(*df.columns)
-    cells = visit_cells(out["visits"])
-    cells.write.mode("overwrite").parquet(f"{base}/visit_cells")
+    cells = write_bucketed(visit_cells(out["visits"]), f"{base}/visit_cells", bucket_count(out["visits"]))
     dims = [sized_dimension(out[n]) for n in ("territories", "reps", "doctors")]
-    return Roles(*dims, out["visits"], out["prescriptions"],
-                 spark.read.parquet(f"{base}/visit_cells").select(*cells.columns))
+    return Roles(*dims, out["visits"], out["prescriptions"], cells)
