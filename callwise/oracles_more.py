@@ -175,6 +175,8 @@ DOCTOR_SQL = {
 SELECT doctor_id, potential_score, years_in_practice, total_visits, unique_products, avg_duration,
  samples_received, total_revenue, total_units, months_active FROM feats"""),
     "doctor_features_scaled": feat("SELECT * FROM scaled"),
+    "feature_medians": feat(" UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({median_sql(c, 'feats')} AS DOUBLE) AS median" for c in [*FEATURES, "avg_duration", "total_units"])),
     "nearest_centroid": feat("SELECT doctor_id, cluster, distance FROM assigned"),
     "cluster_profile": feat(f"""
 SELECT cluster, n_doctors, {", ".join(FEATURES)},
@@ -200,6 +202,14 @@ def more_sql() -> dict[str, str]:
     out["fk_orphans"] = oracles_bi.fk_sql(
         REP_PERF_CTES + "," + FEATURE_CTES
         + ", rep_performance AS (SELECT rep_id FROM rep_perf), doctor_segments AS (SELECT doctor_id FROM feats)")
+    amounts = {"territories": "market_potential", "reps": "target_calls", "doctors": "potential_score", "prescriptions": "revenue"}
+    whole = " UNION ALL ".join(f"SELECT '{t}' AS table_name, 'good' AS outcome, COUNT(*) AS n_rows, CAST(SUM({c}) AS BIGINT) AS amount FROM {t}"
+                               for t, c in amounts.items())
+    out["csv_intake"] = with_roles(f"""
+{whole} UNION ALL
+SELECT 'visits', outcome, COUNT(*), CAST(SUM(CASE WHEN outcome = 'good' THEN duration_min END) AS BIGINT) FROM (
+ SELECT duration_min, CASE WHEN doctor_id % 50 <> 7 THEN 'good' WHEN duration_min % 2 = 0 THEN 'bad visit_date'
+  WHEN samples_left = 0 THEN 'wrong number of fields' ELSE 'good' END AS outcome FROM visits) GROUP BY outcome""")
     out["csv_round_trip"] = perf(f"SELECT {PERF_COLS} FROM rep_perf")
     out["rep_efficiency_streamed"] = SCRIPT_SQL["rep_efficiency"]
     return out

@@ -19,12 +19,13 @@ def pk_violations(r: Roles) -> DataFrame:
     return union_all([pk_report(t[name], name, keys) for name, keys in PK])
 
 
-def fk_orphans(r: Roles, perf: DataFrame | None = None) -> DataFrame:
-    """The eight many-to-one edges of the model. ``doctor_segments`` has one row per
-    doctor of the feature table, so its key set is that of ``doctor_features``."""
+def fk_orphans(r: Roles, perf: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """The eight many-to-one edges of the model. ``perf`` and ``segments`` are the written
+    scorecard and segment tables; without the latter the feature table, from which it is
+    made, stands in for it."""
     t = r.as_dict()
     t["rep_performance"] = perf if perf is not None else rep_performance(r)
-    t["doctor_segments"] = doctor_features(r)
+    t["doctor_segments"] = segments if segments is not None else doctor_features(r)
     edges = [("reps", "territory_id", "territories", "territory_id"),
              ("doctors", "territory_id", "territories", "territory_id"),
              ("visits", "rep_id", "reps", "rep_id"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwise.plans import bi, callplan, doctors, kpi, quality, reps, sampling, segments, summaries
+from callwise.plans import bi, callplan, doctors, intake, kpi, medians, quality, reps, sampling, segments, summaries
 from callwise.sources.roles import load_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def _seg(fn) -> Query:
 
 
 PERF_READERS = {"top_reps_by_efficiency", "bottom_reps_by_low_pct", "rep_efficiency_chart",
-                "efficiency_by_rep", "rep_scorecard_banded", "efficiency_vs_revenue", "fk_orphans"}
+                "efficiency_by_rep", "rep_scorecard_banded", "efficiency_vs_revenue"}
 
 
 def _perf_q(fn, **kw) -> Query:
@@ -66,6 +66,12 @@ def _feat(fn) -> Query:
     return q
 
 
+def _fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key edges over the written scorecard and segment tables."""
+    return quality.fk_orphans(load_roles(spark, sf_dir), perf=reps.load_rep_performance(spark, sf_dir),
+                              segments=segments.load_segments(spark, sf_dir))
+
+
 def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callwise.sources.files import round_trip_csv
     perf = reps.load_rep_performance(spark, sf_dir).select(*reps.PERF_COLUMNS)
@@ -139,6 +145,7 @@ FEATURE_PLANS = {
     "doctor_features_scaled": doctors.doctor_features_scaled,
     "nearest_centroid": doctors.nearest_level_centroid,
     "cluster_profile": doctors.cluster_profile_levels,
+    "feature_medians": medians.feature_medians,
     "kmeans_seeding": segments.kmeans_seeding,
     "kmeans_relocation": segments.kmeans_relocation,
 }
@@ -175,5 +182,7 @@ def queries() -> dict[str, Query]:
         out[name] = _feat(fn)
     out.update({name: _seg(fn) for name, fn in SEGMENT_PLANS.items()})
     out["csv_round_trip"] = _csv_round_trip
+    out["fk_orphans"] = _fk_orphans
+    out["csv_intake"] = _q(intake.csv_intake)
     out["rep_efficiency_streamed"] = _streamed_rep_efficiency
     return out

@@ -153,6 +153,21 @@ def doctor_segments(sel: Selection) -> DataFrame:
     return a.select(*sel.features.columns, "cluster", seg.alias("segment"))
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def load_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment table of an input folder, written once per session to the shared folder."""
+    from callwise.session import new_output_path, session_key
+    key = (session_key(spark), sf_dir)
+    if key not in _TABLES:
+        path = new_output_path(spark, "doctor-segments")
+        df = doctor_segments(cached_selection(spark, sf_dir))
+        df.write.parquet(path)
+        _TABLES[key] = spark.read.parquet(path).select(*df.columns)
+    return _TABLES[key]
+
+
 def cluster_profile_kmeans(sel: Selection) -> DataFrame:
     return cluster_profile(sel.features.join(_assignments(sel), "doctor_id"))
 

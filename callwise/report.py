@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callwise.plans import reps, segments
 from callwise.plans.registry import SEGMENT_PLANS, role_plans
-from callwise.sources.files import read_csv_roles
+from callwise.sources.intake import intake
 from callwise.sources.roles import Roles, load_roles, materialize
 
 
@@ -48,6 +48,13 @@ def run(spark: SparkSession, roles: Roles, out: str, fmt: str = "parquet",
     return summary
 
 
+def from_csv(spark: SparkSession, folder: str, out: str) -> Roles:
+    """Roles of CSV files; lines that cannot be read go to ``out/quarantine``."""
+    got = intake(spark, folder)
+    got.quarantine.write.mode("overwrite").parquet(f"{out.rstrip('/')}/quarantine")
+    return materialize(spark, got.roles())
+
+
 def _print(summary: dict) -> None:
     k = summary["kpi"]
     print(f"Total revenue       : {k['total_revenue']:,}")
@@ -81,7 +88,7 @@ def main(argv: list[str] | None = None) -> None:
     from callwise.session import get_spark
     spark = get_spark(app_name="callwise-report")
     # CSV input is parsed once and kept as columnar parquet for all the queries
-    roles = load_roles(spark, a.tables) if a.tables else materialize(spark, read_csv_roles(spark, a.csv))
+    roles = load_roles(spark, a.tables) if a.tables else from_csv(spark, a.csv, a.out)
     _print(run(spark, roles, a.out, a.format, with_segments=not a.no_segments))
 
 

@@ -6,7 +6,9 @@ its new visits with the (static) doctors table and folds them into per-rep
 potential counts kept in the streaming state store (under the checkpoint
 location, so a restarted query resumes where it stopped). The complete result,
 which has one row per rep, is written by ``foreachBatch`` as a parquet table on
-every trigger: distributed writes, nothing collected to the driver.
+every trigger: distributed writes, nothing collected to the driver. It is published as a new
+version (``sources.publish``), so dashboards read the last whole table at any moment, and a
+trigger that is repeated after a failure writes the same version again.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from callwise.functions.exact import ratio_round, score_x100
+from callwise.sources.publish import current, publish
 
 
 def rep_calls_from(visits: DataFrame, doctors: DataFrame) -> DataFrame:
@@ -49,8 +52,8 @@ def start_rep_efficiency(spark: SparkSession, visits_dir: str, visits_schema, do
     stream = reader.parquet(visits_dir)
     counts = rep_calls_from(stream, doctors)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        score(batch).write.mode("overwrite").parquet(out_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        publish(score(batch), out_path, f"epoch-{epoch}")
 
     w = (counts.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
@@ -66,4 +69,4 @@ def refresh_rep_efficiency(spark: SparkSession, visits_dir: str, visits_schema,
     q = start_rep_efficiency(spark, visits_dir, visits_schema, doctors, out_path, checkpoint,
                              available_now=True, max_files_per_trigger=max_files_per_trigger)
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return current(spark, out_path)
