@@ -38,9 +38,20 @@ BLOCK = 1024             # parts that are balanced together
 MEMO = 1_000_000         # text chunks whose ids a task remembers
 
 
+def wide_blank(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Whether three bytes are one of Unicode's white-space characters beyond ASCII, U+0085 and
+    U+00A0 at the two bytes ``y``, ``z`` aside."""
+    return ((x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x80) & ((z >= 0x80) & (z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))
+            | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80))
+
+
+def short_blank(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+
+
 class Encoder:
     """Ids of many texts. A text is cut before each single space between two characters
-    that are not ASCII white space: the tokenizer's own pattern always starts a new piece
+    that are not white space, in ASCII or beyond it: the tokenizer's own pattern always starts a new piece
     there, so the ids of the chunks, one after the other, are the ids of the text. Each
     distinct chunk is encoded once.
 
@@ -100,6 +111,10 @@ class Encoder:
         cut = np.zeros(n, bool)
         if n > 2:
             cut[1:-1] = (raw[1:-1] == 0x20) & ~blank[:-2] & ~blank[2:]
+            c = np.flatnonzero(cut)
+            p = np.concatenate([np.zeros(3, np.uint8), raw, np.zeros(3, np.uint8)])
+            b1, b2, b3, a1, a2, a3 = (p[c + i] for i in (0, 1, 2, 4, 5, 6))      # the bytes around each space
+            cut[c[wide_blank(b1, b2, b3) | short_blank(b2, b3) | wide_blank(a1, a2, a3) | short_blank(a1, a2)]] = False
         inner = off[(off > 0) & (off < n)]
         cut[inner] = True                       # documents start anew
         cut[inner - 1] &= np.isin(inner - 1, inner)   # a last space stays with its text
