@@ -16,7 +16,8 @@ its own also has, so a passage that very many documents share leaves each task o
 
 Windows are compared by 64-bit anchor and 48-bit window hash together. Defined results:
 a null or blank text has no words; a document without id is returned whole and is no
-reference; rows of one id are no earlier than each other; other columns are ignored.
+reference; rows of one id are no earlier than each other, and each has its own text cut (they
+are told apart by a 32-bit hash of the text); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,14 +66,19 @@ def first_document(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def factors(doc: np.ndarray, at: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def factors(doc: np.ndarray, key: np.ndarray, at: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, number of windows) of the maximal factors: consecutive windows of a
-    document that follow each other in the same reference document."""
-    start = runs(doc, at - np.arange(len(at)), reference) if len(at) else np.zeros(0, np.int64)
+    document (id and key of its text) that follow each other in the same reference document."""
+    start = runs(doc, key, at - np.arange(len(at)), reference) if len(at) else np.zeros(0, np.int64)
     return start, np.diff(np.append(start, len(at)))
 
 
-DEALT = "shard int, anchors binary, docs binary, starts binary, counts binary, windows binary, done binary"
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells rows of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"))
+
+
+DEALT = "shard int, anchors binary, docs binary, keys binary, starts binary, counts binary, windows binary, done binary"
 
 
 def _deal(span: int, count: int):
@@ -80,25 +86,25 @@ def _deal(span: int, count: int):
         held, n = [], 0
 
         def flush():
-            doc, at, anchor, window = (np.concatenate(x) for x in zip(*held))
+            doc, key, at, anchor, window = (np.concatenate(x) for x in zip(*held))
             least = first_document(window, doc)
             settled = doc > least
             rows: dict[int, list] = {}
-            d, a = doc[settled], at[settled]
-            start, length = factors(d, a, least[settled])
-            found = np.stack([d[start], a[start], length, least[settled][start]], 1)
+            d, x, a = doc[settled], key[settled], at[settled]
+            start, length = factors(d, x, a, least[settled])
+            found = np.stack([d[start], x[start], a[start], length, least[settled][start]], 1)
             for s, i in tb.dealt(tb.shard_of(tb.mix(found[:, 0].view(np.uint64)), count), count):
-                rows.setdefault(s, [b""] * 6)[5] = found[i].tobytes()
-            doc, at, anchor, window = (x[~settled] for x in (doc, at, anchor, window))
-            start = runs(doc, at - np.arange(len(at)), anchor)
+                rows.setdefault(s, [b""] * 7)[6] = found[i].tobytes()
+            doc, key, at, anchor, window = (x[~settled] for x in (doc, key, at, anchor, window))
+            start = runs(doc, key, at - np.arange(len(at)), anchor)
             length = np.diff(np.append(start, len(at)))
             short = np.ascontiguousarray(window.view(np.uint8).reshape(-1, 8)[:, :6])
             for s, i in tb.dealt(tb.shard_of(tb.mix(anchor[start], 9), count), count):
                 one = np.repeat(start[i], length[i]) + tb.ragged(length[i])
-                rows.setdefault(s, [b""] * 6)[:5] = [anchor[start[i]].tobytes(), doc[start[i]].tobytes(), at[start[i]].astype(np.int32).tobytes(),
+                rows.setdefault(s, [b""] * 7)[:6] = [anchor[start[i]].tobytes(), doc[start[i]].tobytes(), key[start[i]].astype(np.int32).tobytes(), at[start[i]].astype(np.int32).tobytes(),
                                                      length[i].astype(np.int32).tobytes(), short[one].tobytes()]
             keys = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([rows[s][c] for s in keys], pa.binary()) for c in range(6))],
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([rows[s][c] for s in keys], pa.binary()) for c in range(7))],
                                               names=[x.split()[0] for x in DEALT.split(", ")])
 
         for batch in tb.slices(batches):
@@ -108,7 +114,7 @@ def _deal(span: int, count: int):
                 continue
             h = w.hashes()
             anchor = sliding_min(tb.rolling(h, GRAM), span - GRAM + 1)[at]
-            held.append((tb.longs(batch.column("doc_id"))[w.doc[at]], at - w.first[w.doc[at]], anchor, tb.rolling(h, span)[at]))
+            held.append((tb.longs(batch.column("doc_id"))[w.doc[at]], tb.longs(batch.column("key"))[w.doc[at]], at - w.first[w.doc[at]], anchor, tb.rolling(h, span)[at]))
             n += len(at)
             if n > FLUSH:
                 yield flush()
@@ -119,33 +125,34 @@ def _deal(span: int, count: int):
     return run
 
 
-SPANS = "doc_id long, start long, windows long, reference long"
+SPANS = "doc_id long, key long, start long, windows long, reference long"
 
 
 def _parse(table: pa.Table) -> pa.Table:
     """A reference block: the factors of its documents that an earlier document has."""
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
     anchor, doc = tb.unpack(col["anchors"], np.uint64), tb.unpack(col["docs"], np.int64)
+    key = tb.unpack(col["keys"], np.int32).astype(np.int64)
     start, length = tb.unpack(col["starts"], np.int32).astype(np.int64), tb.unpack(col["counts"], np.int32)
     wide = np.zeros((int(length.sum()), 8), np.uint8)
     wide[:, :6] = tb.unpack(col["windows"], np.uint8).reshape(-1, 6)
     window = tb.mix(wide.view(np.uint64).ravel() ^ np.repeat(tb.mix(anchor, 1), length), 2)
-    doc, at = np.repeat(doc, length), np.repeat(start, length) + tb.ragged(length)
+    doc, key, at = np.repeat(doc, length), np.repeat(key, length), np.repeat(start, length) + tb.ragged(length)
     del wide
     least = first_document(window, doc)
     copy = doc > least
-    doc, at, least = doc[copy], at[copy], least[copy]
-    first, length = factors(doc, at, least)
-    done = tb.unpack(col["done"], np.int64).reshape(-1, 4)
-    out = np.concatenate([np.stack([doc[first], at[first], length, least[first]], 1), done])
+    doc, key, at, least = doc[copy], key[copy], at[copy], least[copy]
+    first, length = factors(doc, key, at, least)
+    done = tb.unpack(col["done"], np.int64).reshape(-1, 5)
+    out = np.concatenate([np.stack([doc[first], key[first], at[first], length, least[first]], 1), done])
     return pa.table({n.split()[0]: pa.array(out[:, i]) for i, n in enumerate(SPANS.split(", "))})
 
 
 def duplicate_spans(docs: DataFrame, span: int = 50) -> DataFrame:
-    """Factors (doc_id, start word, number of windows, reference document): the words
+    """Factors (doc_id, key of the text, start word, number of windows, reference document): the words
     start .. start + windows + span - 2 are copies."""
     spark = tb.text_session(docs.sparkSession)
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = keyed(docs).where("doc_id is not null")
     return (known.mapInArrow(_deal(span, tb.shards(spark)), DEALT)
             .groupBy("shard").applyInArrow(_parse, SPANS))
 
@@ -192,10 +199,11 @@ def _cut(span: int):
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, length: str) -> DataFrame:
-    """doc_id and text with the arrays starts and lengths of the document's spans."""
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", length)).alias("s"))
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id", "left")
-            .select("doc_id", "text", F.expr("coalesce(s.start, cast(array() as array<bigint>))").alias("starts"),
+    """doc_id, text and key with the arrays starts and lengths of the text's spans."""
+    lists = (spans.withColumn("key", F.col("key").cast("int")).groupBy("doc_id", "key")
+             .agg(F.collect_set(F.struct("start", length)).alias("s")))
+    return (keyed(docs).join(lists, ["doc_id", "key"], "left")
+            .select("doc_id", "text", "key", F.expr("coalesce(s.start, cast(array() as array<bigint>))").alias("starts"),
                     F.expr(f"coalesce(s.{length}, cast(array() as array<bigint>))").alias("lengths")))
 
 

@@ -26,8 +26,8 @@ Documents are shuffled once, by id; both joins read that exchange.
 Anchors are compared by 48-bit hash (a collision only sends more bytes to a part) and
 equal pieces by 64-bit hash; strings are compared byte by byte. Defined results: a null
 text is empty; a document without id is returned whole and is no reference; rows of
-one id are no earlier than each other unless their starts differ; other columns are
-ignored.
+one id are no earlier than each other unless their starts differ, and each has its own text
+cut (they are told apart by a 32-bit hash of the text); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwise.llm import textbytes as tb
-from callwise.llm.lempel_ziv import covered, runs, sliding_min, span_lists, with_spans
+from callwise.llm.lempel_ziv import covered, keyed, runs, sliding_min, span_lists, with_spans
 
 GRAM = 32
 FLUSH = 400_000          # anchors that a task holds before it sends them
@@ -74,7 +74,7 @@ def anchored(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, .
     return doc[first], at[first] - off[doc[first]], np.diff(np.append(first, len(at))), least[at[first]]
 
 
-ANCHORS = "shard int, hashes binary, docs binary, starts binary"
+ANCHORS = "shard int, hashes binary, docs binary, keys binary, starts binary"
 
 
 def _anchors(span: int, count: int):
@@ -82,17 +82,17 @@ def _anchors(span: int, count: int):
         held, n = [], 0
 
         def flush():
-            doc, start, anchor = (np.concatenate(x) for x in zip(*held))
+            doc, key, start, anchor = (np.concatenate(x) for x in zip(*held))
             rows = []
             for s, i in tb.dealt(tb.shard_of(tb.mix(anchor, 9), count), count):
                 short = np.ascontiguousarray(anchor[i].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                rows.append((s, short, tb.planes(doc[i]), tb.planes(start[i].astype(np.int32))))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], names=[x.split()[0] for x in ANCHORS.split(", ")])
+                rows.append((s, short, tb.planes(doc[i]), tb.planes(key[i].astype(np.int32)), tb.planes(start[i].astype(np.int32))))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
         for batch in tb.slices(batches, limit=SLICE):
             doc, start, _, anchor = anchored(*tb.strings(batch.column("text")), span)
             if len(doc):
-                held.append((tb.longs(batch.column("doc_id"))[doc], start, anchor))
+                held.append((tb.longs(batch.column("doc_id"))[doc], tb.longs(batch.column("key"))[doc], start, anchor))
                 n += len(doc)
             if n > FLUSH:
                 yield flush()
@@ -116,19 +116,30 @@ def _shared(table: pa.Table) -> pa.Table:
     keep[:-1] |= same
     o = o[keep]
     return pa.table({"doc_id": pa.array(tb.from_planes(col["docs"], np.int64)[o]),
+                     "key": pa.array(tb.from_planes(col["keys"], np.int32)[o].astype(np.int64)),
                      "start": pa.array(tb.from_planes(col["starts"], np.int32)[o].astype(np.int64)),
                      "one": pa.array(np.ones(len(o), np.int64))})
 
 
-PIECES = "shard int, docs binary, starts binary, counts binary, bytes binary, done binary"
+PIECES = "shard int, docs binary, keys binary, starts binary, counts binary, bytes binary, done binary"
 
 
-def first_piece(piece: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Whether each piece is the first, by document and start, of those with its hash."""
-    o = np.lexsort((start, doc, piece))
-    head = runs(piece[o]) if len(o) else o
-    out = np.zeros(len(o), bool)
-    out[o[head]] = True
+LATER, FIRST, AGAIN = range(3)
+
+
+def first_piece(piece: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What each piece is among those with its hash: ``FIRST`` by document and start (in each
+    text of one id that has it there), ``AGAIN`` the same text once more, or ``LATER``."""
+    o = np.lexsort((key, start, doc, piece))
+    out = np.zeros(len(o), np.int8)
+    if len(o):
+        p, d, x, a = piece[o], doc[o], key[o], start[o]
+        head = runs(p)
+        of = np.repeat(head, np.diff(np.append(head, len(o))))
+        level = (d == d[of]) & (a == a[of])
+        new = np.zeros(len(o), bool)
+        new[runs(p, d, a, x)] = True
+        out[o] = np.where(level, np.where(new, FIRST, AGAIN), LATER)
     return out
 
 
@@ -137,21 +148,22 @@ def _pieces(span: int, count: int):
         held, n = [], 0
 
         def flush():
-            doc, start, strings, anchor, piece = (np.concatenate([h[i] for h in held]) for i in range(5))
-            text = np.concatenate([h[5] for h in held])
+            doc, key, start, strings, anchor, piece = (np.concatenate([h[i] for h in held]) for i in range(6))
+            text = np.concatenate([h[6] for h in held])
             size = strings + span - 1
             at = np.cumsum(size) - size
-            first = first_piece(piece, doc, start)
+            what = first_piece(piece, doc, key, start)
+            first = what == FIRST
             rows: dict[int, list] = {}
-            done = np.stack([doc, start, strings], 1)[~first]
+            done = np.stack([doc, key, start, strings], 1)[what == LATER]
             for s, i in tb.dealt(tb.shard_of(tb.mix(done[:, 0].view(np.uint64)), count), count):
-                rows.setdefault(s, [b""] * 5)[4] = done[i].tobytes()
-            doc, start, strings, anchor, size, at = (x[first] for x in (doc, start, strings, anchor, size, at))
+                rows.setdefault(s, [b""] * 6)[5] = done[i].tobytes()
+            doc, key, start, strings, anchor, size, at = (x[first] for x in (doc, key, start, strings, anchor, size, at))
             for s, i in tb.dealt(tb.shard_of(tb.mix(anchor, 9), count), count):
-                rows.setdefault(s, [b""] * 5)[:4] = [tb.planes(doc[i]), tb.planes(start[i].astype(np.int32)), tb.planes(strings[i].astype(np.int32)),
+                rows.setdefault(s, [b""] * 6)[:5] = [tb.planes(doc[i]), tb.planes(key[i].astype(np.int32)), tb.planes(start[i].astype(np.int32)), tb.planes(strings[i].astype(np.int32)),
                                                      text[np.repeat(at[i], size[i]) + tb.ragged(size[i])].tobytes()]
             keys = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([rows[s][c] for s in keys], pa.binary()) for c in range(5))],
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array([rows[s][c] for s in keys], pa.binary()) for c in range(6))],
                                               names=[x.split()[0] for x in PIECES.split(", ")])
 
         # texts without spans are left out here: a filter on the join would change the
@@ -166,7 +178,7 @@ def _pieces(span: int, count: int):
             if len(doc):
                 size, begin = strings + span - 1, off[doc] + start
                 piece = tb.span_hash(tb.prefix_sums(tb._BYTE[raw]), begin, begin + size)
-                held.append((tb.longs(batch.column("doc_id"))[doc], start, strings, anchor, piece, raw[np.repeat(begin, size) + tb.ragged(size)]))
+                held.append((tb.longs(batch.column("doc_id"))[doc], tb.longs(batch.column("key"))[doc], start, strings, anchor, piece, raw[np.repeat(begin, size) + tb.ragged(size)]))
                 n += int(size.sum())
             if n > HELD:
                 yield flush()
@@ -216,45 +228,51 @@ def previous_smaller(rank: np.ndarray) -> np.ndarray:
     return out
 
 
-SPANS = "doc_id long, start long, strings long"
+SPANS = "doc_id long, key long, start long, strings long"
 
 
 def _factors(span: int):
     def run(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).combine_chunks() for c in table.column_names}
         doc = tb.from_planes(col["docs"], np.int64)
-        start, strings = (tb.from_planes(col[c], np.int32).astype(np.int64) for c in ("starts", "counts"))
+        key, start, strings = (tb.from_planes(col[c], np.int32).astype(np.int64) for c in ("keys", "starts", "counts"))
         text = tb.unpack(col["bytes"], np.uint8)
         size = strings + span - 1
         begin = np.cumsum(size) - size
         piece = tb.span_hash(tb.prefix_sums(tb._BYTE[text]), begin, begin + size)
-        first = first_piece(piece, doc, start)
-        done = np.stack([doc, start, strings], 1)[~first]
+        what = first_piece(piece, doc, key, start)
+        done = np.stack([doc, key, start, strings], 1)[what == LATER]
         # the other pieces, in order of document and start: positions rise with it
-        o = np.flatnonzero(first)
+        o = np.flatnonzero(what == FIRST)
         o = o[np.lexsort((start[o], doc[o]))]
-        doc, start, strings, size, begin = (x[o] for x in (doc, start, strings, size, begin))
+        doc, key, start, strings, size, begin = (x[o] for x in (doc, key, start, strings, size, begin))
         text = text[np.repeat(begin, size) + tb.ragged(size)]
         at = np.repeat(np.cumsum(size) - size, strings) + tb.ragged(strings)
-        copy = previous_smaller(string_ranks(text, span, at)) >= 0 if len(at) else np.zeros(0, bool)
-        doc, place = np.repeat(doc, strings)[copy], (np.repeat(start, strings) + tb.ragged(strings))[copy]
-        head = runs(doc, place - np.arange(len(place))) if len(doc) else np.zeros(0, np.int64)
-        found = np.stack([doc[head], place[head], np.diff(np.append(head, len(doc)))], 1)
-        out = np.concatenate([found, done, tb.unpack(col["done"], np.int64).reshape(-1, 3)])
+        rank = string_ranks(text, span, at) if len(at) else np.zeros(0, np.int64)
+        doc, key, place = np.repeat(doc, strings), np.repeat(key, strings), np.repeat(start, strings) + tb.ragged(strings)
+        # a string at the same place of another text of the same id is no earlier
+        leftmost = np.full(int(rank.max(initial=-1)) + 1, len(rank))
+        np.minimum.at(leftmost, rank, np.arange(len(rank)))
+        leftmost = leftmost[rank]
+        copy = (previous_smaller(rank) >= 0) & ((doc != doc[leftmost]) | (place != place[leftmost])) if len(rank) else np.zeros(0, bool)
+        doc, key, place = doc[copy], key[copy], place[copy]
+        head = runs(doc, key, place - np.arange(len(place))) if len(doc) else np.zeros(0, np.int64)
+        found = np.stack([doc[head], key[head], place[head], np.diff(np.append(head, len(doc)))], 1)
+        out = np.concatenate([found, done, tb.unpack(col["done"], np.int64).reshape(-1, 4)])
         return pa.table({n.split()[0]: pa.array(out[:, i]) for i, n in enumerate(SPANS.split(", "))})
     return run
 
 
 def duplicate_strings(docs: DataFrame, span: int = 100) -> DataFrame:
-    """Spans (doc_id, start byte, strings): the strings of ``span`` bytes starting at
+    """Spans (doc_id, key of the text, start byte, strings): the strings of ``span`` bytes starting at
     start .. start + strings - 1 also start earlier."""
     if span < GRAM:
         raise ValueError(f"span must be at least {GRAM} bytes")
     spark = tb.text_session(docs.sparkSession)
     count = tb.shards(spark)
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = keyed(docs).where("doc_id is not null")
     shared = (known.mapInArrow(_anchors(span, count), ANCHORS)
-              .groupBy("shard").applyInArrow(_shared, "doc_id long, start long, one long"))
+              .groupBy("shard").applyInArrow(_shared, "doc_id long, key long, start long, one long"))
     return (with_spans(docs, shared, "one")
             .mapInArrow(_pieces(span, PARTS * count // 2), PIECES).groupBy("shard").applyInArrow(_factors(span), SPANS))
 

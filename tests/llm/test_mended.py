@@ -46,10 +46,22 @@ def test_projection_is_the_product_of_the_passages(monkeypatch):
     p = dc.Passages(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}), items.vocabulary, weights)
     basis = rng.normal(size=(len(items.vocabulary), 7)).astype(np.float32)
     want = np.zeros((len(p.doc), 7))
-    for t, i in zip(p.term, p.passage):
-        want[i] += basis[t]
+    number = {h: i for i, h in enumerate(items.vocabulary.tolist())}
+    y, total = rng.normal(size=(len(p.doc), 7)).astype(np.float32), np.zeros((len(items.vocabulary), 7))
+    for i, (d, s) in enumerate(zip(p.doc, p.start)):
+        w = p.hashes[p.words.first[d] + s:min(p.words.first[d + 1], p.words.first[d] + s + dc.PASSAGE)]
+        for t in (number[h] for h in w.tolist() if h in number):
+            want[i] += basis[t]
+            total[t] += y[i]
     want /= p.length[:, None]
-    assert np.allclose(p.projected(basis), want, atol=1e-4)
+    assert len(p.doc) > 12 and np.allclose(p.projected(basis), want, atol=1e-4)
+    for most in (1, 30, 10 ** 6):
+        parts, spread, at = list(p.pieces(most)), np.zeros_like(total, dtype=np.float32), 0
+        for q in parts:
+            assert np.allclose(q.projected(basis), want[at:at + len(q.doc)], atol=1e-4)
+            q.spread(y[at:at + len(q.doc)], spread)
+            at += len(q.doc)
+        assert at == len(p.doc) and np.allclose(spread, total, atol=1e-3)
 
 
 @pytest.mark.parametrize("sketch", [20, 10 ** 9])
@@ -74,3 +86,41 @@ def test_leaks_are_found_whatever_the_sample_of_the_sketch(spark, monkeypatch, s
     assert all(p in got for p in verbatim)
     assert len(got & set(planted)) >= 0.9 * len(planted)
     assert all(d >= 1000 for d, _ in got)
+
+
+def test_rows_that_share_an_id_are_cut_each_by_itself(spark):
+    """Words and bytes: two texts of one id, the same row twice, an id that also has a short text."""
+    from callwise.llm import lempel_ziv, suffix_dedup
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    passage = lambda n: " ".join(rng.choice(words, n))
+    a, b, c = passage(70), passage(70), passage(70)
+    rows = [(1, a), (2, f"{passage(30)} {a}"), (2, b), (2, b), (3, f"{b} {passage(5)}"), (3, "short"), (3, f"x {a}"), (4, c), (4, f"{c} tail"), (5, None), (5, c), (6, ""), (6, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    first = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for j in range(len(w) - 49):
+            k = tuple(w[j:j + 50])
+            first[k] = min(first.get(k, i), i)
+    want = []
+    for i, t in rows:
+        w, gone = (t or "").split(), set()
+        for j in range(len(w) - 49):
+            if first[tuple(w[j:j + 50])] < i:
+                gone.update(range(j, j + 50))
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    assert sorted(tuple(r) for r in lempel_ziv.without_copies(df).collect()) == sorted(want)
+    first = {}
+    for i, t in rows:
+        d = (t or "").encode()
+        for j in range(len(d) - 99):
+            first[d[j:j + 100]] = min(first.get(d[j:j + 100], (i, j)), (i, j))
+    want = []
+    for i, t in rows:
+        d, gone = (t or "").encode(), set()
+        for j in range(len(d) - 99):
+            if first[d[j:j + 100]] < (i, j):
+                gone.update(range(j, j + 100))
+        want.append((i, len(d), len(gone), sum(p - 1 not in gone for p in gone), bytes(x for j, x in enumerate(d) if j not in gone)))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.without_copies(df).collect()) == sorted(want)
