@@ -94,8 +94,9 @@ def clean(docs: DataFrame) -> DataFrame:
     new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
     # Pushed below the projections, the filter would repeat all their expressions inside
     # each other; a projection with a random column (always under 1) keeps it in its place.
-    found = judged(docs.select(F.col("text").alias("_raw"), *cols), "_raw").withColumn("_one", F.rand(0))
-    return found.where("kept and _one < 1").select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])
+    rest = F.struct(F.lit(None).cast("int").alias("_"), *[c for c in cols if c not in new]).alias("_doc")
+    found = judged(docs.select(F.col("text").alias("_raw"), rest), "_raw").withColumn("_one", F.rand(0))
+    return found.where("kept and _one < 1").select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in cols])
 
 
 def op9_line_first(spark, sf_dir: str) -> DataFrame:

@@ -165,15 +165,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the secrets in their texts replaced and n_chars renewed."""
-    secrets = scan(docs.select("doc_id", "text")).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("finding")).alias("_secrets"))
+    # findings belong to their text: documents without id, or of one id, don't mask each other's
+    key, columns = F.xxhash64("text"), docs.columns
+    secrets = (scan(docs.select(key.alias("doc_id"), "text")).where("kept").groupBy(F.col("doc_id").alias("_id"))
+               .agg(F.array_sort(F.collect_set("finding")).alias("_secrets")))
     # longest first, so that no secret is cut by a shorter one inside it
     secrets = secrets.select("_id", F.expr("array_sort(_secrets, (a, b) -> length(b) - length(a))").alias("_secrets"))
     # a short one is masked where it stands by itself, not inside other words
     alone = r"concat(r'(?<![A-Za-z0-9])\Q', replace(s, r'\E', r'\E\\E\Q'), r'\E(?![A-Za-z0-9])')"
-    text = F.expr(f"aggregate(coalesce(_secrets, array()), text, (t, s) -> if(length(s) < {SHORTEST}, regexp_replace(t, {alone}, '{MASK}'), replace(t, s, '{MASK}')))")
-    new = {"text": text, "n_chars": F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long")} if "n_chars" in docs.columns else {"text": text}
-    return (docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-            .select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns]))
+    text = F.expr(f"aggregate(coalesce(_secrets, array()), _doc.text, (t, s) -> if(length(s) < {SHORTEST}, regexp_replace(t, {alone}, '{MASK}'), replace(t, s, '{MASK}')))")
+    new = {"text": text, "n_chars": F.when(F.col("_secrets").isNull(), F.col("_doc.n_chars")).otherwise(F.length(text)).cast("long")} if "n_chars" in columns else {"text": text}
+    return (docs.select(F.struct(*columns).alias("_doc"), key.alias("_key")).join(secrets, F.col("_key") == F.col("_id"), "left")
+            .select(*[new[c].alias(c) if c in new else F.col("_doc").getField(c).alias(c) for c in columns]))
 
 
 def op2_forest_secrets(spark, sf_dir: str) -> DataFrame:
