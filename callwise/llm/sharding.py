@@ -84,16 +84,18 @@ def sharded(docs: DataFrame, count: int = 24) -> DataFrame:
     keys = checkpointed(docs.select(key.alias("key"), size.alias("size")), "keys")
     cuts = splitters(keys, count)
     shard = lambda k: sum((F.when(k >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
+    # names of work columns that the documents don't have
+    lane_, n_, before_, rank_ = (name + "_" * (1 + max((len(c) for c in docs.columns), default=0)) for name in ("lane", "n", "before", "rank"))
     lanes = max(1, -(-keys.count() // (count * LANE_ROWS)))
     lane = lambda k: F.pmod(k, F.lit(lanes)).cast("int")
     # rows of each lane, and of the lanes before it in its shard
-    starts = (keys.groupBy(shard(F.col("key")).alias("shard"), lane(F.col("key")).alias("_lane")).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_before", F.sum("_n").over(W.partitionBy("shard").orderBy("_lane")) - F.col("_n")).drop("_n"))
+    starts = (keys.groupBy(shard(F.col("key")).alias("shard"), lane(F.col("key")).alias(lane_)).agg(F.count(F.lit(1)).alias(n_))
+              .withColumn(before_, F.sum(n_).over(W.partitionBy("shard").orderBy(lane_)) - F.col(n_)).drop(n_))
     rows = docs.select(*[c for c in docs.columns if c not in made], size.alias("size"), key.alias("key"))
-    rows = rows.withColumn("shard", shard(F.col("key"))).withColumn("_lane", lane(F.col("key")))
-    rank = F.row_number().over(W.partitionBy("shard", "_lane").orderBy("key", "doc_id"))
-    return (rows.withColumn("_rank", rank).join(starts, ["shard", "_lane"])
-            .withColumn("slot", F.col("_before") + F.col("_rank") - 1).drop("_lane", "_before", "_rank"))
+    rows = rows.withColumn("shard", shard(F.col("key"))).withColumn(lane_, lane(F.col("key")))
+    rank = F.row_number().over(W.partitionBy("shard", lane_).orderBy("key", "doc_id"))
+    return (rows.withColumn(rank_, rank).join(starts, ["shard", lane_])
+            .withColumn("slot", F.col(before_) + F.col(rank_) - 1).drop(lane_, before_, rank_))
 
 
 def op6_histogram_sort(spark, sf_dir: str) -> DataFrame:
