@@ -33,7 +33,7 @@ from callwise.llm.textbytes import text_session
 
 CAPTURED = "2024-01-01T00:00:00Z"
 _SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
+_HEAD, _HEAD_END = re.compile(r"<head\b", re.I), re.compile(r"</head\s*>|(?=<body\b)", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
@@ -62,11 +62,20 @@ def framed(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, block) of a record."""
     head, _, block = record.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    try:
+        text = head.decode()
+    except UnicodeDecodeError:
+        text = head.decode("latin-1")
+    first, *lines = re.sub(r"\r\n[ \t]+", " ", text).split("\r\n")      # a folded line goes on
+    if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
-    return headers, block[:int(headers["Content-Length"])]
+    headers = fields(lines)
+    return headers, block[:int(headers.get("Content-Length", len(block)))]
+
+
+def fields(lines: list[str]) -> dict[str, str]:
+    """Header lines by name; what has no colon is passed over."""
+    return {k.strip(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
 
 
 def response(page_id: str, url: str | None, page: str | None, date: str = CAPTURED) -> bytes:
@@ -79,7 +88,11 @@ def response(page_id: str, url: str | None, page: str | None, date: str = CAPTUR
 
 def plain_text(page: str) -> str:
     """Visible text: one line for each block element, white space collapsed."""
-    page = _HEAD.sub(" ", _SKIPPED.sub(" ", page), count=1)
+    page = _SKIPPED.sub(" ", page)
+    head = _HEAD.search(page)
+    end = head and _HEAD_END.search(page, head.end())      # a later head has no end that the first lacks
+    if end:
+        page = page[:head.start()] + " " + page[end.end():]
     page = _TAG.sub(lambda m: "\n" if (m[2] or "").lower() in _BLOCK else "" if m[2] else " ", re.sub(r"\s+", " ", page))
     lines = (" ".join(html.unescape(x).split()) for x in page.split("\n"))
     return "\n".join(x for x in lines if x)
@@ -104,13 +117,15 @@ def outline(page: str) -> dict:
 def derived(record: bytes) -> list[tuple[str, str, str, bytes, dict]]:
     """(type, id, refers-to, record, its headers) of the two records made from a response."""
     source, block = parsed(record)
+    if source.get("WARC-Type", "response") != "response":       # requests, revisits and the like have no page
+        return []
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *http = head.decode("latin-1").split("\r\n")
     page = payload.decode("utf-8", "replace")
     origin, kept = source["WARC-Record-ID"], [(k, source[k]) for k in ("WARC-Target-URI", "WARC-Date") if k in source]
     envelope = {"Envelope": {
         "WARC-Header-Metadata": source, "Block-Digest": source.get("WARC-Block-Digest"), "Payload-Digest": source.get("WARC-Payload-Digest"),
-        "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(x.split(": ", 1) for x in http if ": " in x),
+        "HTTP-Response-Metadata": {"Response-Message": status, "Headers": fields(http),
                                    "Entity-Length": len(payload), "HTML-Metadata": outline(page)}}}
     out = []
     for kind, mime, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain; charset=utf-8", plain_text(page))):

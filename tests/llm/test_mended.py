@@ -124,3 +124,39 @@ def test_rows_that_share_an_id_are_cut_each_by_itself(spark):
                 gone.update(range(j, j + 100))
         want.append((i, len(d), len(gone), sum(p - 1 not in gone for p in gone), bytes(x for j, x in enumerate(d) if j not in gone)))
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.without_copies(df).collect()) == sorted(want)
+
+
+def test_texts_of_documents_without_id_are_masked_each_by_itself(spark):
+    from callwise.llm import secret_scan
+    rows = [(None, "password = hunter2x9"), (None, "the dog hunter2x9 barks alone"), (7, "password = k1ttens4u"), (7, "two k1ttens4u sleep")]
+    got = sorted(r.text for r in secret_scan.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([f"password = {secret_scan.MASK}", "the dog hunter2x9 barks alone", f"password = {secret_scan.MASK}", "two k1ttens4u sleep"])
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    from callwise.llm import quality_rules, secret_scan, sharding
+    prose = " ".join(f"Number{i} is a line of word{i} and thing{i}, as name{i} said in year{i}." for i in range(12))
+    names = ["_id", "_key", "_doc", "_secrets", "_before", "_n", "_lane", "_rank", "_t", "_w", "_raw", "_one", "_flat", "n_words", "kept", "lane_", "probability"]
+    row = (1, prose, 5, *[f"v{i}" for i in range(len(names))])
+    df = spark.createDataFrame([row], "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for stage in (secret_scan.redacted, quality_rules.clean, sharding.sharded):
+        out = stage(df).first()
+        assert [out[n] for n in names] == [f"v{i}" for i in range(len(names))], stage
+    assert quality_rules.clean(df).columns == secret_scan.redacted(df).columns == df.columns
+
+
+def test_warc_headers_as_they_occur():
+    import time
+    from callwise.llm import warc
+    body = b"HTTP/1.1 200 OK\r\nServer:x\r\n\r\n<html><p>a</p></html>"
+    record = b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Record-ID: <urn:x>\r\nX-Long: one\r\n two\r\nX-Latin: caf\xe9\r\nodd\r\nContent-Length:%d\r\n\r\n" % len(body) + body
+    headers, block = warc.parsed(record)
+    assert block == body and headers["WARC-Type"] == "response" and headers["X-Long"] == "one two" and headers["X-Latin"] == "caf\xe9"
+    kinds = [kind for kind, *_ in warc.derived(record)]
+    assert kinds == ["metadata", "conversion"]
+    for kind in (b"request", b"warcinfo", b"revisit"):
+        assert warc.derived(record.replace(b"WARC-Type:response", b"WARC-Type: " + kind)) == []
+    t = time.time()
+    assert warc.plain_text("<head " * 100_000 + "x") is not None
+    assert warc.plain_text("<head><title>t</title></head>a<p>b") == "a\nb"
+    assert time.time() - t < 10
