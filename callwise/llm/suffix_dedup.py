@@ -15,10 +15,11 @@ hold all occurrences of their strings:
 2. Around the others the bytes are sent to the anchor's part. A task first settles the
    pieces that it already holds from an earlier place, so a passage that very many
    documents share leaves each task once.
-3. Each part sorts the suffixes at its string starts by their first ``span`` bytes only (by
-   prefix doubling). A suffix with an equal rank at a smaller position has a longest
-   previous factor of at least ``span`` bytes, which is all that is asked: neither the
-   factors' lengths nor the next smaller positions are made.
+3. Each part has a suffix array over the suffixes at its string starts, up to the ends of
+   their pieces. Those whose first ``span`` bytes occur once are left out of it after the
+   first rounds of sorting. The previous and the next smaller position in suffix order
+   give two candidates, and the longer of the common prefixes with them is the longest
+   previous factor; strings are copies where it has ``span`` bytes or more.
 4. The union of a document's spans is cut out.
 
 Documents are shuffled once, by id; both joins read that exchange.
@@ -47,6 +48,8 @@ GRAM = 32
 FLUSH = 400_000          # anchors that a task holds before it sends them
 HELD = 6 << 20           # bytes of pieces that a task holds before it sends them
 SLICE = 1 << 20          # bytes of text looked at at a time
+WORD = 7                 # bytes sorted at once, at 9 bits (there is an end mark beside the bytes)
+JUMPS = 32               # rounds of jumps to a smaller position before halving
 PARTS = 8                # parts for each shuffle partition: a part is sorted in memory
 # (anchors are minima, hence small numbers: they are mixed again before they are dealt)
 
@@ -189,42 +192,142 @@ def _pieces(span: int, count: int):
     return run
 
 
-def ranks(*keys: np.ndarray) -> np.ndarray:
-    """Rank of every tuple of keys in their order; equal tuples have equal ranks."""
-    o = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(o), np.int64)
-    for k in keys:
-        new[1:] |= k[o][1:] != k[o][:-1]
-    out = np.empty(len(o), np.int64)
-    out[o] = np.cumsum(new)
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Rank of every key in their order, from 1; equal keys have equal ranks."""
+    o = np.argsort(key)
+    new = np.ones(len(o), np.int32)
+    new[1:] = key[o][1:] != key[o][:-1]
+    out = np.empty(len(o), np.int32)
+    out[o] = np.cumsum(new, dtype=np.int32)
     return out
 
 
-def string_ranks(text: np.ndarray, span: int, at: np.ndarray) -> np.ndarray:
-    """Place, among the suffixes starting at ``at``, of each by its first ``span`` bytes
-    (prefix doubling). Every such string lies inside ``text``."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = word << np.uint64(8) | padded[i:i + n]
-    if span < 8:
-        return ranks((word >> np.uint64(64 - 8 * span))[at])
-    rank, have = ranks(word), 8
-    while 2 * have <= span:
-        rank = ranks((rank << 32) + np.append(rank[have:], np.zeros(min(have, n), np.int64)))
-        have *= 2
-    return ranks((rank[at] << 32) + rank[at + span - have])
-
-
-def previous_smaller(rank: np.ndarray) -> np.ndarray:
-    """For suffixes numbered by position: the nearest one before it in suffix order that
-    starts earlier and shares its first ``span`` bytes, or -1. Such suffixes are neighbours
-    in suffix order, and equal ranks are kept in order of position."""
-    o = np.argsort(rank, kind="stable")
-    out = np.full(len(rank), -1)
-    same = rank[o][1:] == rank[o][:-1]
-    out[o[1:][same]] = o[:-1][same]
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.int64) << 32 | right
+
+
+class Suffixes:
+    """Suffixes of a part's pieces, each ending with its piece, with the ranks of their
+    first 7, 14, 28 ... bytes (prefix doubling up to ``span``)."""
+
+    def __init__(self, text: np.ndarray, size: np.ndarray, span: int):
+        # every piece is followed by an end mark that is smaller than all bytes
+        self.size = size
+        self.begin = np.cumsum(size + 1) - size - 1
+        self.n = len(text) + len(size)
+        byte = np.zeros(self.n + WORD, np.int64)
+        byte[np.repeat(self.begin, size) + tb.ragged(size)] = text.astype(np.int64) + 1
+        self.word = np.zeros(self.n, np.int64)
+        for i in range(WORD):
+            self.word = self.word << 9 | byte[i:i + self.n]
+        self.levels = [(WORD, ranks(self.word))]
+        while 2 * self.levels[-1][0] <= span:
+            have, rank = self.levels[-1]
+            self.levels.append((2 * have, ranks(joined(rank, self.ahead(rank, np.arange(self.n), have)))))
+
+    def ahead(self, rank: np.ndarray, at: np.ndarray, by: int) -> np.ndarray:
+        """``rank`` of the suffixes ``by`` bytes further on; 0 past the end."""
+        to = at + by
+        return np.where(to < self.n, rank[np.minimum(to, self.n - 1)], 0)
+
+    def heads(self, at: np.ndarray, span: int) -> np.ndarray:
+        """Ranks of the strings of ``span`` bytes that start at ``at``."""
+        have, rank = self.levels[-1]
+        return ranks(joined(rank[at], rank[at + span - have]))
+
+    def order(self, at: np.ndarray, end: np.ndarray, head: np.ndarray, span: int) -> np.ndarray:
+        """Suffix order of the suffixes ``at`` (with ``head`` as ranks of their first
+        ``span`` bytes) up to the ends of their pieces; equal ones from right to left."""
+        have, rank = self.levels[-1]
+        seen = span
+        while len(at) and seen < int((end - at).max()):
+            tail = np.where(at + seen < end, self.ahead(rank, at, seen), 0)
+            head = ranks(joined(head, tail))
+            seen += have
+        return np.argsort(joined(head, np.arange(len(at))[::-1]))
+
+    def common(self, p: np.ndarray, q: np.ndarray, end_p: np.ndarray, end_q: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of suffixes p and q."""
+        most = np.minimum(end_p - p, end_q - q)
+        out = np.zeros(len(p), np.int64)
+        widest = self.levels[-1]
+        for width, rank in [widest] * (int(most.max(initial=0)) // widest[0]) + self.levels[::-1]:
+            left = self.ahead(rank, p, out)
+            out += width * ((left > 0) & (left == self.ahead(rank, q, out)))
+        # the digits of the next words say how many more bytes are equal
+        x = self.ahead(self.word, p, out) ^ self.ahead(self.word, q, out)
+        for i in range(WORD):
+            out += x >> 9 * i == 0
+        return np.minimum(out, most)
+
+
+def smaller_before(v: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each, or -1. Every entry jumps along the
+    answers of the entries it passes; what is open after ``JUMPS`` is found by halving, in
+    minima of 2, 4, 8 ... values, so no order of the values makes it slow."""
+    out = np.arange(-1, len(v) - 1)
+    open_ = np.flatnonzero((out >= 0) & (v[out] >= v)) if len(v) else out
+    for _ in range(JUMPS):
+        if not len(open_):
+            return out
+        out[open_] = out[out[open_]]
+        to = out[open_]
+        open_ = open_[(to >= 0) & (v[to] >= v[open_])]
+    least = [v]
+    while 2 << len(least) - 1 <= len(v):
+        half = 1 << len(least) - 1
+        m = least[-1].copy()
+        m[half:] = np.minimum(m[half:], least[-1][:-half])
+        least.append(m)
+    to = out[open_]
+    for k in range(len(least) - 1, -1, -1):
+        # all of the 2^k values that end at ``to`` are passed when none is smaller
+        ok = (to >= 0) & (least[k][to] >= v[open_])
+        to = np.where(ok, np.maximum(to - (1 << k), -1), to)
+    out[open_] = to
+    return out
+
+
+def previous_factors(text: np.ndarray, size: np.ndarray, strings: np.ndarray, place: np.ndarray,
+                     span: int) -> np.ndarray:
+    """Longest previous factors of the first ``strings`` suffixes of each piece: the longest
+    common prefix with a suffix of a smaller ``place``. It is exact from ``span`` bytes on;
+    for suffixes whose string of ``span`` bytes occurs once it is less and given as 0.
+
+    In suffix order the earlier suffix that shares most with one is the nearest before or
+    after it with a smaller place."""
+    out = np.zeros(len(place), np.int64)
+    if not len(place):
+        return out
+    s = Suffixes(text, size, span)
+    at = np.repeat(s.begin, strings) + tb.ragged(strings)
+    end = np.repeat(s.begin + size, strings)
+    head = s.heads(at, span)
+    again = np.flatnonzero(np.bincount(head)[head] > 1)
+    if not len(again):
+        return out
+    at, end, place, head = at[again], end[again], place[again], head[again]
+    order = s.order(at, end, head, span)
+    at, end, v = at[order], end[order], place[order]
+    before = smaller_before(v)
+    after = len(v) - 1 - smaller_before(v[::-1])[::-1]
+    best = np.zeros(len(v), np.int64)
+    for other in (before, after):
+        i = np.flatnonzero((other >= 0) & (other < len(v)))
+        j = other[i]
+        best[i] = np.maximum(best[i], s.common(at[i], at[j], end[i], end[j]))
+    out[again[order]] = best
+    return out
+
+
+def positions(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers in the order of (document, place); equal pairs have equal numbers."""
+    o = np.lexsort((place, doc))
+    head = np.zeros(len(o), np.int32)
+    if len(o):
+        head[runs(doc[o], place[o])] = 1
+    out = np.empty(len(o), np.int32)
+    out[o] = np.cumsum(head, dtype=np.int32)
     return out
 
 
@@ -247,14 +350,10 @@ def _factors(span: int):
         o = o[np.lexsort((start[o], doc[o]))]
         doc, key, start, strings, size, begin = (x[o] for x in (doc, key, start, strings, size, begin))
         text = text[np.repeat(begin, size) + tb.ragged(size)]
-        at = np.repeat(np.cumsum(size) - size, strings) + tb.ragged(strings)
-        rank = string_ranks(text, span, at) if len(at) else np.zeros(0, np.int64)
         doc, key, place = np.repeat(doc, strings), np.repeat(key, strings), np.repeat(start, strings) + tb.ragged(strings)
         # a string at the same place of another text of the same id is no earlier
-        leftmost = np.full(int(rank.max(initial=-1)) + 1, len(rank))
-        np.minimum.at(leftmost, rank, np.arange(len(rank)))
-        leftmost = leftmost[rank]
-        copy = (previous_smaller(rank) >= 0) & ((doc != doc[leftmost]) | (place != place[leftmost])) if len(rank) else np.zeros(0, bool)
+        number = positions(doc, place)
+        copy = previous_factors(text, size, strings, number, span) >= span
         doc, key, place = doc[copy], key[copy], place[copy]
         head = runs(doc, key, place - np.arange(len(place))) if len(doc) else np.zeros(0, np.int64)
         found = np.stack([doc[head], key[head], place[head], np.diff(np.append(head, len(doc)))], 1)
