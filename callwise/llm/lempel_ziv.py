@@ -6,13 +6,14 @@ id. Documents are factored against reference blocks that hold all documents:
 * every window of ``span`` words belongs to the block of its anchor, the smallest
   hash of its ``GRAM``-word grams. Equal windows have equal anchors, so each block
   indexes all occurrences of its windows, and neighbouring windows mostly share one;
-* within a block every window is looked up by its hash, which gives the smallest document
-  that has it. There is no greedy word-by-word parse: a factor is a run of neighbouring
-  windows with one such document, so no boundary can cut a window;
+* a block is an index of its windows, and its documents are parsed greedily against it: a
+  window that an earlier document also has starts a factor, which goes on word by word in
+  the earliest such document to the first word that differs (or the edge of the block's
+  neighbouring windows). At that boundary every shift of the window is looked up in turn,
+  so no copy over the boundary is lost. Factors are of ``span`` words or more;
 * factors become spans; the union of a document's spans is removed.
 
-Before anything is shuffled a task settles the windows that an earlier document of
-its own also has, so a passage that very many documents share leaves each task once.
+Before anything is shuffled a task parses its documents against its own earlier ones, so a passage that very many documents share leaves each task once.
 
 Windows are compared by 64-bit anchor and 48-bit window hash together. Defined results:
 a null or blank text has no words; a document without id is returned whole and is no
@@ -56,21 +57,57 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def first_document(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For every window the smallest document that has an equal one."""
+def earliest(window: np.ndarray) -> np.ndarray:
+    """The index of a reference block: for every window the first place with an equal one."""
     o = np.argsort(window)
     start = runs(window[o])
-    least = np.minimum.reduceat(doc[o], start) if len(start) else doc[:0]
-    out = np.empty(len(doc), doc.dtype)
+    least = np.minimum.reduceat(o, start) if len(start) else o
+    out = np.empty(len(o), np.int64)
     out[o] = np.repeat(least, np.diff(np.append(start, len(o))))
     return out
 
 
-def factors(doc: np.ndarray, key: np.ndarray, at: np.ndarray, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, number of windows) of the maximal factors: consecutive windows of a
-    document (id and key of its text) that follow each other in the same reference document."""
-    start = runs(doc, key, at - np.arange(len(at)), reference) if len(at) else np.zeros(0, np.int64)
-    return start, np.diff(np.append(start, len(at)))
+def parse(window: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy relative factors (first window, number of windows, first window in the
+    reference) of a block of runs of windows, in order of document and place. ``end`` is
+    where each window's run ends.
+
+    All runs are parsed at the same time: the next window that an earlier document has is
+    looked up in the index, and the match goes on word by word, in that document, to the
+    first word that differs or the end of a run. The windows over that boundary are looked
+    up one after the other as the next starts, so none of them is lost."""
+    n = len(window)
+    ref = earliest(window)
+    hits = np.flatnonzero(doc > doc[ref]) if n else np.zeros(0, np.int64)
+    # how far the index itself goes on in step, which spares looking at each word
+    goes_on = np.zeros(n, bool)
+    goes_on[:-1] = (ref[1:] == ref[:-1] + 1) & (end[1:] == end[:-1]) & (end[ref[1:]] == end[ref[:-1]])
+    stops = np.flatnonzero(~goes_on)
+    out = []
+
+    def next_hit(at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(hits, at)
+        found = k < len(hits)
+        to = hits[np.minimum(k, len(hits) - 1)]
+        return to[found & (to < stop)]
+
+    at = next_hit(np.flatnonzero(np.append(True, end[1:] != end[:-1])), np.unique(end)) if len(hits) else hits
+    while len(at):
+        here, there = at.copy(), ref[at]
+        going = np.arange(len(at))
+        while len(going):
+            q, r = here[going], there[going]
+            step = np.where(ref[q] == r, stops[np.searchsorted(stops, q)] - q, 0)
+            q, r = q + step + 1, r + step + 1
+            here[going], there[going] = q, r
+            more = (q < end[at[going]]) & (r < end[ref[at[going]]])
+            more[more] = window[q[more]] == window[r[more]]
+            going = going[more]
+        out.append((at, here - at, ref[at]))
+        at = next_hit(here, end[at])
+    if not out:
+        return hits, hits, hits
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -78,6 +115,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("key"))
 
 
+def in_order(doc: np.ndarray, key: np.ndarray, at: np.ndarray, *columns: np.ndarray):
+    """Windows by document, text and place, and where each one's run of neighbours ends."""
+    if (np.diff(doc) < 0).any() or len(runs(doc)) < len(runs(doc, key, at - np.arange(len(at)))):
+        o = np.lexsort((at, key, doc))
+        doc, key, at, columns = doc[o], key[o], at[o], [c[o] for c in columns]
+    start = runs(doc, key, at - np.arange(len(at))) if len(at) else np.zeros(0, np.int64)
+    stop = np.append(start[1:], len(at))
+    return doc, key, at, columns, np.repeat(stop, stop - start)
+
+
 DEALT = "shard int, anchors binary, docs binary, keys binary, starts binary, counts binary, windows binary, done binary"
 
 
@@ -87,16 +134,15 @@ def _deal(span: int, count: int):
 
         def flush():
             doc, key, at, anchor, window = (np.concatenate(x) for x in zip(*held))
-            least = first_document(window, doc)
-            settled = doc > least
+            doc, key, at, (anchor, window), end = in_order(doc, key, at, anchor, window)
+            first, length, ref = parse(window, doc, end)
+            settled = covered(len(doc), first, first + length)
             rows: dict[int, list] = {}
-            d, x, a = doc[settled], key[settled], at[settled]
-            start, length = factors(d, x, a, least[settled])
-            found = np.stack([d[start], x[start], a[start], length, least[settled][start]], 1)
+            found = np.stack([doc[first], key[first], at[first], length, doc[ref]], 1)
             for s, i in tb.dealt(tb.shard_of(tb.mix(found[:, 0].view(np.uint64)), count), count):
                 rows.setdefault(s, [b""] * 7)[6] = found[i].tobytes()
             doc, key, at, anchor, window = (x[~settled] for x in (doc, key, at, anchor, window))
-            start = runs(doc, key, at - np.arange(len(at)), anchor)
+            start = runs(doc, key, at - np.arange(len(at)), anchor) if len(at) else np.zeros(0, np.int64)
             length = np.diff(np.append(start, len(at)))
             short = np.ascontiguousarray(window.view(np.uint8).reshape(-1, 8)[:, :6])
             for s, i in tb.dealt(tb.shard_of(tb.mix(anchor[start], 9), count), count):
@@ -139,12 +185,10 @@ def _parse(table: pa.Table) -> pa.Table:
     window = tb.mix(wide.view(np.uint64).ravel() ^ np.repeat(tb.mix(anchor, 1), length), 2)
     doc, key, at = np.repeat(doc, length), np.repeat(key, length), np.repeat(start, length) + tb.ragged(length)
     del wide
-    least = first_document(window, doc)
-    copy = doc > least
-    doc, key, at, least = doc[copy], key[copy], at[copy], least[copy]
-    first, length = factors(doc, key, at, least)
+    doc, key, at, (window,), end = in_order(doc, key, at, window)
+    first, length, ref = parse(window, doc, end)
     done = tb.unpack(col["done"], np.int64).reshape(-1, 5)
-    out = np.concatenate([np.stack([doc[first], key[first], at[first], length, least[first]], 1), done])
+    out = np.concatenate([np.stack([doc[first], key[first], at[first], length, doc[ref]], 1), done])
     return pa.table({n.split()[0]: pa.array(out[:, i]) for i, n in enumerate(SPANS.split(", "))})
 
 
