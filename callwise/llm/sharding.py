@@ -1,8 +1,10 @@
 """Sharding by histogram sort: equal bytes, one exchange.
 
-Rows are ordered by a 64-bit key: the upper 24 bits hash the text, the lower 40 the
-id. Copies of a text are neighbours, yet a group of copies of any size has as many
-keys as rows and can be cut anywhere. Splitters are found by counting, not by
+Rows are ordered by a 63-bit key: the upper 24 bits hash the text, the lower 39 the
+id and the row's number (its partition and place in it). Copies of a text are neighbours,
+yet a group of copies of any size, also of rows with equal ids or none, has as many keys
+as rows and can be cut anywhere. A row's number may differ when it is computed anew, so rows
+and keys are written once before they are counted. Splitters are found by counting, not by
 sampling: the bytes in every interval of ``DIGIT`` key bits are summed (a map-side
 sum, at most 2^DIGIT rows for each open splitter reach the driver), the interval that
 holds a splitter's target is probed with the next bits, until every splitter is
@@ -34,9 +36,9 @@ LANE_ROWS = 20_000       # rows ranked together
 BITS = 63                # keys are 0 .. 2^63 - 1
 
 
-def sort_key(text: Column, doc_id: Column) -> Column:
+def sort_key(text: Column, doc_id: Column, number: Column) -> Column:
     high = F.shiftrightunsigned(F.xxhash64(F.lit("text"), text), 64 - 24)
-    low = F.shiftrightunsigned(F.xxhash64(F.lit("id"), doc_id), 64 - (BITS - 24))
+    low = F.shiftrightunsigned(F.xxhash64(F.lit("id"), doc_id, number), 64 - (BITS - 24))
     return F.shiftleft(high, BITS - 24).bitwiseOR(low)
 
 
@@ -80,8 +82,9 @@ def sharded(docs: DataFrame, count: int = 24) -> DataFrame:
     made = ["size", "key", "shard", "slot"]
     text = F.col("text")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    key = sort_key(text, F.col("doc_id"))
-    keys = checkpointed(docs.select(key.alias("key"), size.alias("size")), "keys")
+    key = sort_key(text, F.col("doc_id"), F.monotonically_increasing_id())
+    rows = checkpointed(docs.select(*[c for c in docs.columns if c not in made], size.alias("size"), key.alias("key")), "keys")
+    keys = rows.select("key", "size")
     cuts = splitters(keys, count)
     shard = lambda k: sum((F.when(k >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     # names of work columns that the documents don't have
@@ -91,7 +94,6 @@ def sharded(docs: DataFrame, count: int = 24) -> DataFrame:
     # rows of each lane, and of the lanes before it in its shard
     starts = (keys.groupBy(shard(F.col("key")).alias("shard"), lane(F.col("key")).alias(lane_)).agg(F.count(F.lit(1)).alias(n_))
               .withColumn(before_, F.sum(n_).over(W.partitionBy("shard").orderBy(lane_)) - F.col(n_)).drop(n_))
-    rows = docs.select(*[c for c in docs.columns if c not in made], size.alias("size"), key.alias("key"))
     rows = rows.withColumn("shard", shard(F.col("key"))).withColumn(lane_, lane(F.col("key")))
     rank = F.row_number().over(W.partitionBy("shard", lane_).orderBy("key", "doc_id"))
     return (rows.withColumn(rank_, rank).join(starts, ["shard", lane_])

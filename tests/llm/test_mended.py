@@ -160,3 +160,16 @@ def test_warc_headers_as_they_occur():
     assert warc.plain_text("<head " * 100_000 + "x") is not None
     assert warc.plain_text("<head><title>t</title></head>a<p>b") == "a\nb"
     assert time.time() - t < 10
+
+
+def test_rows_with_equal_ids_and_texts_are_divided(spark):
+    """Two groups of 3,000 equal rows (one without id) and 100 others into 4 shards."""
+    from callwise.llm import sharding
+    rows = [(7, "a copied row")] * 3000 + [(None, "another row " * 5)] * 3000 + [(100 + i, "x" * i) for i in range(100)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted((i or 0, t) for i, t in rows)
+    total = sum(r.size for r in out)
+    for s in range(4):
+        mine = [r for r in out if r.shard == s]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        assert abs(sum(r.size for r in mine) - total / 4) <= 0.01 * total
