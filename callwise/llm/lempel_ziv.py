@@ -120,8 +120,8 @@ def in_order(doc: np.ndarray, key: np.ndarray, at: np.ndarray, *columns: np.ndar
     if (np.diff(doc) < 0).any() or len(runs(doc)) < len(runs(doc, key, at - np.arange(len(at)))):
         o = np.lexsort((at, key, doc))
         doc, key, at, columns = doc[o], key[o], at[o], [c[o] for c in columns]
-    start = runs(doc, key, at - np.arange(len(at))) if len(at) else np.zeros(0, np.int64)
-    stop = np.append(start[1:], len(at))
+    start = runs(doc, key, at - np.arange(len(at)))
+    stop = np.append(start, len(at))[1:]
     return doc, key, at, columns, np.repeat(stop, stop - start)
 
 

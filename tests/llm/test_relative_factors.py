@@ -51,4 +51,5 @@ def test_factors_are_maximal_and_complete(repeat):
 
 def test_empty_block():
     none = np.zeros(0, np.int64)
+    assert [len(x) for x in lempel_ziv.in_order(none, none, none)] == [0, 0, 0, 0, 0]
     assert [len(x) for x in lempel_ziv.parse(none.astype(np.uint64), none, none)] == [0, 0, 0]
