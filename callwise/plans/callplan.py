@@ -22,7 +22,9 @@ Ranks inside (territory, class) are built without one task per group: a salt
 bucket (keyed hash of the doctor) splits each group, ``row_number`` runs per
 (group, bucket), and bucket offsets come from a running sum over at most
 ``SALT_BUCKETS`` counts per group. A territory with a third of all doctors is
-therefore ranked by many tasks.
+therefore ranked by many tasks. The ranked doctors are as many as all doctors, so both joins
+on them are merge joins: their estimated size is that of the compressed columns, by which
+Spark would broadcast them from the driver.
 
 Work grows with reps x months x draws plus one pass over doctors; the result has
 one row per planned call. Draws use keyed MD5 draws, so the plan repeats
@@ -61,7 +63,7 @@ def ranked_doctors(doctors: DataFrame) -> DataFrame:
     offsets = sizes.withColumn("off", F.coalesce(F.sum("nb").over(
         Window.partitionBy("territory_id", "cls").orderBy("b")
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offsets.select("territory_id", "cls", "b", "off"), ["territory_id", "cls", "b"])
+    return (local.join(offsets.select("territory_id", "cls", "b", "off").hint("merge"), ["territory_id", "cls", "b"])
             .select("territory_id", "cls", (F.col("off") + F.col("r")).alias("rank"), "doctor_id"))
 
 
@@ -87,7 +89,8 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
              .agg(*[F.count_if(F.col("prescribing_potential") == c).alias(f"n_{c}") for c in CLASSES]))
     # one row per (rep, month): the months are generated per rep, no join
     rm = (r.reps.select("rep_id", "territory_id").join(sizes, "territory_id")
-          .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(n_months)))))
+          .withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(n_months))))
+          .repartition("rep_id", "month"))      # the join leaves a territory's reps to one task
     style = rep_style(r.reps)
     rk = "rep_id"
     n_total = "(n_High + n_Medium + n_Low)"
@@ -120,7 +123,7 @@ def call_plan_sample(r: Roles, n_months: int = N_MONTHS) -> DataFrame:
     picks = (per_class.withColumn("N", F.col("N").cast("bigint")).withColumn("c", F.col("c").cast("bigint"))
              .select("rep_id", "territory_id", "month", "cls", F.explode(F.expr(floyd)).alias("rank")))
     ranked = ranked_doctors(r.doctors)
-    plan = picks.join(ranked, ["territory_id", "cls", "rank"])
+    plan = picks.join(ranked.hint("merge"), ["territory_id", "cls", "rank"])
     day = F.expr(f"{hash_sql([rk, 'month', 'doctor_id'], S_DAY)} % {DAY_SPAN}")
     planned = F.date_add(F.to_date(F.lit(PLAN_START)), ((F.col("month") - 1) * 30 + day).cast("int"))
     return plan.select("rep_id", "month", "doctor_id", F.col("cls").alias("prescribing_potential"),

@@ -8,7 +8,7 @@ import pytest
 from callwise.functions.hashing import MODULUS, hash_sql
 from callwise.functions.labels import REP_STYLE_WEIGHTS
 from callwise.plans import callplan as cp
-from callwise.sources.roles import load_roles
+from callwise.sources.roles import Roles, load_roles
 
 
 def h(keys, stream):
@@ -99,3 +99,24 @@ def test_draws_of_neighbouring_keys_are_pairwise_independent(spark):
 def test_rep_style_of_text_ids_is_the_place(spark):
     df = spark.createDataFrame([("R001",), ("R002",), ("R003",), ("R010",)], "rep_id string")
     assert [r.s for r in df.selectExpr(f"{cp.rep_style(df)} AS s").collect()] == [0, 1, 2, 0]
+
+
+def test_ranked_doctors_are_never_broadcast(spark, tmp_path):
+    """They are as many as all doctors, whatever their estimated size."""
+    doctors = spark.createDataFrame([(i, i % 3, cp.CLASSES[i % 7 % 3]) for i in range(600)],
+                                    "doctor_id long, territory_id int, prescribing_potential string")
+    doctors.write.parquet(f"{tmp_path}/doctors")
+    doctors = spark.read.parquet(f"{tmp_path}/doctors")       # files have a small estimated size
+    reps = spark.createDataFrame([(i, i % 3) for i in range(20)], "rep_id long, territory_id int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        assert "Broadcast" not in cp.ranked_doctors(doctors)._jdf.queryExecution().executedPlan().toString()
+        plan = cp.call_plan_sample(Roles(None, reps, doctors, None, None))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [territory_id" in text and "rank" in text.split("SortMergeJoin [territory_id")[1].split("\n")[0]
+        got = {(r.rep_id, r.month, r.doctor_id, r.prescribing_potential, r.planned_date) for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute_force([r.asDict() for r in reps.collect()],
+                              [dict(doctor_id=r.doctor_id, territory_id=r.territory_id, cls=r.prescribing_potential) for r in doctors.collect()])
