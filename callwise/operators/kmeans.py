@@ -10,7 +10,8 @@ serves all of them, and what comes back is one row for each model and cluster.
   points wins, which is a minimum and so combines over partitions. A second pass sums
   the cost of all trials.
 - **Lloyd steps.** A partition sends, for each model and cluster, the number of its points and
-  the sum of their vectors. A cluster left without points moves to the point that is farthest
+  the sum of their vectors. Distances come from a matrix product; points whose two nearest
+  centres lie within its rounding are measured anew coordinate by coordinate. A cluster left without points moves to the point that is farthest
   from its own centre, which leaves its old cluster's mean.
 
 Results do not depend on partitioning or task order: vectors are integers (multiples of
@@ -72,7 +73,8 @@ def squared(x: np.ndarray, centre) -> np.ndarray:
     out = np.zeros(len(x))
     for f in range(x.shape[1]):
         d = x[:, f] - centre[f]
-        out += d * d
+        d *= d
+        out += d
     return out
 
 
@@ -86,6 +88,24 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return label, best
 
 
+ROWS = 2000             # points whose distances are held at a time
+
+
+def members(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cluster by point, whether it is the point's: the same as ``nearest``, by a product."""
+    n, dims = x.shape
+    with np.errstate(over="ignore", invalid="ignore"):
+        product = np.hstack([-centres, 0.5 * (centres * centres).sum(axis=1)[:, None]]) @ np.vstack([x.T, np.ones(n)])
+        reach = np.abs(x).max() + np.abs(centres).max() if n else 0.0
+        slack = 64 * (dims + 4) ** 2 * np.finfo(float).eps * reach * reach
+        own = product <= product.min(axis=0) + slack
+    # rounding, or a vector that is not finite
+    unclear = np.flatnonzero(own.sum(axis=0) != 1)
+    if len(unclear):
+        own[:, unclear] = np.arange(len(centres))[:, None] == nearest(x[unclear], centres)[0]
+    return own
+
+
 def cost(d: np.ndarray) -> int:
     return int(np.floor(d * COST_UNIT).astype(np.int64).sum())
 
@@ -112,6 +132,11 @@ def _rows(columns: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns) if columns else [[]] * len(names), types)], names=names)
 
 
+def _points(p: DataFrame) -> DataFrame:
+    """``p`` without its key, for the passes that do not return it."""
+    return p.select("h", "q")
+
+
 def _key_type(p: DataFrame) -> tuple[str, str]:
     """Name and type of the key column."""
     f = p.schema.fields[0]
@@ -127,7 +152,7 @@ def _draw(p: DataFrame, wanted: list[tuple[int, np.ndarray, list[int]]]) -> dict
         best: dict = {}
         key_type = None
         for b, h, q in _batches(batches):
-            x = q / UNIT
+            x = np.asfortranarray(q / UNIT)
             key_type = b.column(0).type
             for j, centres, salts in wanted:
                 d = nearest(x, centres)[1] if len(centres) else np.ones(len(x))
@@ -162,14 +187,14 @@ def _trial_costs(p: DataFrame, wanted: list[tuple[int, np.ndarray, list]]) -> di
     def run(batches):
         total: dict = {}
         for _, _, q in _batches(batches):
-            x = q / UNIT
+            x = np.asfortranarray(q / UNIT)
             for j, centres, candidates in wanted:
                 d = nearest(x, centres)[1] if len(centres) else np.full(len(x), np.inf)
                 for t, c in enumerate(candidates):
                     total[j, t] = total.get((j, t), 0) + cost(np.minimum(d, squared(x, c)))
         yield _rows([(j, t, v) for (j, t), v in total.items()], ["model", "trial", "cost"], [pa.int32(), pa.int32(), pa.int64()])
 
-    found = p.mapInArrow(_whole(run), "model int, trial int, cost bigint").groupBy("model", "trial").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("cost"))
+    found = _points(p).mapInArrow(_whole(run), "model int, trial int, cost bigint").groupBy("model", "trial").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("cost"))
     return {(r.model, r.trial): int(r.cost) for r in found.collect()}
 
 
@@ -189,31 +214,38 @@ def seeded(p: DataFrame, jobs: list[tuple[int, int]]) -> list[Fit]:
     return fits
 
 
-def _sums(p: DataFrame, models: dict[int, np.ndarray]) -> dict:
-    """{model: (points, vector sums, costs) by cluster}: one pass, exact."""
+def _sums(p: DataFrame, models: dict[int, np.ndarray], costs: bool = False) -> dict:
+    """{model: (points, vector sums, costs) by cluster}: one pass, exact. Costs are left at 0
+    where they are not asked for."""
     dims = next(iter(models.values())).shape[1]
 
     def run(batches):
         total: dict = {}
-        for _, _, q in _batches(batches):
-            x = q / UNIT
-            for j, centres in models.items():
-                label, d = nearest(x, centres)
-                c = np.floor(d * COST_UNIT).astype(np.int64)
-                for k in range(len(centres)):
-                    own = label == k
-                    v = np.concatenate([[own.sum(), c[own].sum()], q[own].sum(axis=0)]).astype(np.int64)
-                    total[j, k] = total.get((j, k), 0) + v
-        rows = [(j, k, *v.tolist()) for (j, k), v in total.items()]
+        for _, _, every in _batches(batches):
+            for at in range(0, len(every), ROWS):
+                q = every[at:at + ROWS]
+                x = np.asfortranarray(q / UNIT)
+                counted = np.hstack([np.ones((len(q), 1), np.int64), q])
+                if len(q) * float(np.abs(x).max()) * UNIT < 2.0 ** 52:
+                    counted = counted.astype(np.float64)        # sums of such integers are exact
+                for j, centres in models.items():
+                    own = members(x, centres)
+                    v = np.zeros((len(centres), 2 + dims), np.int64)
+                    v[:, np.r_[0, 2:2 + dims]] = own.astype(counted.dtype) @ counted
+                    if costs:
+                        label, d = nearest(x, centres)
+                        np.add.at(v[:, 1], label, np.floor(d * COST_UNIT).astype(np.int64))
+                    total[j] = total.get(j, 0) + v
+        rows = [(j, k, *c) for j, v in total.items() for k, c in enumerate(v.tolist())]
         yield _rows(rows, names, [pa.int32(), pa.int32()] + [pa.int64()] * (2 + dims))
 
     names = ["model", "cluster", "n", "cost"] + [f"s{f}" for f in range(dims)]
-    found = (p.mapInArrow(_whole(run), ", ".join(f"{c} {'int' if i < 2 else 'bigint'}" for i, c in enumerate(names)))
+    found = (_points(p).mapInArrow(_whole(run), ", ".join(f"{c} {'int' if i < 2 else 'bigint'}" for i, c in enumerate(names)))
              .groupBy("model", "cluster").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names[2:]]))
     out = {j: (np.zeros(len(c), object), [[0] * dims for _ in c], np.zeros(len(c), object)) for j, c in models.items()}
     for r in found.collect():
-        n, sums, costs = out[r.model]
-        n[r.cluster], costs[r.cluster] = int(r.n), int(r.cost)
+        n, sums, spent = out[r.model]
+        n[r.cluster], spent[r.cluster] = int(r.n), int(r.cost)
         sums[r.cluster] = [int(r[f"s{f}"]) for f in range(dims)]
     return out
 
@@ -226,7 +258,7 @@ def _farthest(p: DataFrame, models: dict[int, tuple[np.ndarray, int]]) -> dict:
     def run(batches):
         best: dict = {j: [] for j in models}
         for _, h, q in _batches(batches):
-            x = q / UNIT
+            x = np.asfortranarray(q / UNIT)
             for j, (centres, n) in models.items():
                 label, d = nearest(x, centres)
                 for i in np.lexsort((h, -d))[:n]:
@@ -236,7 +268,7 @@ def _farthest(p: DataFrame, models: dict[int, tuple[np.ndarray, int]]) -> dict:
         yield _rows(rows, ["model", "d", "h", "q", "cluster"], [pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int32()])
 
     order = Window.partitionBy("model").orderBy(F.desc("d"), "h", "q")
-    found = (p.mapInArrow(_whole(run), "model int, d double, h bigint, q array<bigint>, cluster int")
+    found = (_points(p).mapInArrow(_whole(run), "model int, d double, h bigint, q array<bigint>, cluster int")
              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).orderBy("model", "rank"))
     out: dict = {}
     for r in found.collect():
@@ -282,7 +314,7 @@ def improved(p: DataFrame, fits: list[Fit], max_iter: int = 300, tol: float = 1e
             f.centres, f.iterations, f.relocated = centres, f.iterations + 1, f.relocated + moved
             if shift <= tol and not moved:
                 del active[j]
-    for j, (_, _, costs) in _sums(p, {j: f.centres for j, f in enumerate(fits)}).items():
+    for j, (_, _, costs) in _sums(p, {j: f.centres for j, f in enumerate(fits)}, costs=True).items():
         fits[j].inertia = int(sum(costs)) / COST_UNIT
     return fits
 

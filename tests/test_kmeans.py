@@ -162,3 +162,30 @@ def test_labels_as_a_projection_equal_the_pass(spark):
     centres = np.array([[0.0, 0.0], [1.5, 1.0], [-2.0, 0.5]])
     for q, c in p.select("q", kmeans.label_column("q", centres).alias("c")).collect():
         assert c == int(kmeans.nearest(np.array([q]) / U, centres)[0][0])
+
+
+def test_members_are_the_nearest_centres():
+    """By a matrix product as by coordinates: ties, equal centres, far and infinite points."""
+    rng = np.random.default_rng(4)
+    for dims, k, scale in ((1, 2, 1.0), (5, 7, 1.0), (5, 4, 1e6), (3, 3, 0.0)):
+        x = np.round(rng.normal(size=(3000, dims)) * scale, 2)
+        centres = np.vstack([x[:k - 1], x[:1]])             # the first and the last are one
+        x[7] = (centres[0] + centres[1]) / 2
+        own = kmeans.members(np.asfortranarray(x), centres)
+        assert (own.sum(axis=0) == 1).all() and (own.argmax(axis=0) == kmeans.nearest(x, centres)[0]).all()
+    x = np.vstack([x, np.full((1, dims), np.inf)])
+    assert (kmeans.members(x, centres).argmax(axis=0) == kmeans.nearest(x, centres)[0]).all()
+    assert kmeans.members(np.zeros((0, 2)), np.ones((3, 2))).shape == (3, 0)
+
+
+def test_sums_are_exact_and_cost_only_on_demand(spark):
+    rng = np.random.default_rng(5)
+    q = [[int(v) for v in row] for row in rng.integers(-2 ** 61, 2 ** 61, (40, 2)).tolist()] + [[3, 5], [-7, 11]] * 30
+    p = spark.createDataFrame([(i, i, v) for i, v in enumerate(q)], "id long, h long, q array<bigint>").coalesce(1)
+    centres = np.array([[0.0, 0.0], [1e9, 1e9], [-1e9, 1e9]])
+    label = kmeans.nearest(np.array(q) / kmeans.UNIT, centres)[0]
+    n, sums, costs = kmeans._sums(p, {0: centres})[0]
+    assert [int(v) for v in n] == np.bincount(label, minlength=3).tolist() and not any(costs)
+    small = [v for v in q if abs(v[0]) < 100]
+    n, sums, costs = kmeans._sums(p.where("abs(q[0]) < 100"), {0: centres}, costs=True)[0]
+    assert sums[0] == [sum(v[f] for v in small) for f in range(2)] and int(n[0]) == len(small)
