@@ -19,6 +19,7 @@ prescriptions orders JOIN lineitem with l_returnflag = 'R', one per
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -199,6 +200,19 @@ def bucket_count(visits: DataFrame) -> int:
     return max(8, min(MAX_BUCKETS, visits.count() // ROWS_PER_BUCKET))
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, rows: int, per_partition: int = ROWS_PER_BUCKET):
+    """Inside, shuffles have at least a partition for so many of ``rows``, so that what a task
+    sorts and groups does not grow with the input; AQE still joins the small ones."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), min(MAX_BUCKETS, -(-rows // per_partition)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_bucketed(df: DataFrame, path: str, buckets: int, partition_by: str | None = None) -> DataFrame:
     """``df`` as a table bucketed by doctor_id at ``path`` of the shared folder. Every task
     writes one bucket, and joins and groupings that hold doctor_id need no exchange.
@@ -224,13 +238,15 @@ def load_roles(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Ro
     from callwise.session import new_output_path
     base = new_output_path(spark, "roles")
 
-    lazy.visits.write.mode("overwrite").partitionBy("quarter").parquet(f"{base}/visits")
-    visits = spark.read.parquet(f"{base}/visits").select(*lazy.visits.columns)
-    buckets = bucket_count(visits)
-    cells = prescription_cells_from_tpch(spark, sf_dir)
-    rx = write_bucketed(prescriptions_from_cells(cells, visits, lazy.doctors), f"{base}/prescriptions", buckets, "quarter")
-    from callwise.operators.fanout import visit_cells
-    cells = write_bucketed(visit_cells(visits), f"{base}/visit_cells", buckets)
+    # counted in the file footers; the facts are made of these rows
+    with sized_shuffles(spark, _read(spark, sf_dir, "lineitem", []).count()):
+        lazy.visits.write.mode("overwrite").partitionBy("quarter").parquet(f"{base}/visits")
+        visits = spark.read.parquet(f"{base}/visits").select(*lazy.visits.columns)
+        buckets = bucket_count(visits)
+        cells = prescription_cells_from_tpch(spark, sf_dir)
+        rx = write_bucketed(prescriptions_from_cells(cells, visits, lazy.doctors), f"{base}/prescriptions", buckets, "quarter")
+        from callwise.operators.fanout import visit_cells
+        cells = write_bucketed(visit_cells(visits), f"{base}/visit_cells", buckets)
     # visit ids are made of the grouping key of the build, so they are unique
     roles = Roles(*[sized_dimension(d) for d in (lazy.territories, lazy.reps, lazy.doctors)],
                   visits, rx, cells, unique_visits=True)
