@@ -48,6 +48,7 @@ LEAD = 7                    # levels that the rows of the grid are halved ahead
 ITEMS, ITEM_BYTES = 2000, 8 << 20       # of a block
 GROUP = 16                  # items that descend at a time
 BATCH = 64                  # states of an item that are halved at a time
+SPARE = 1 << 17             # paths from which those of done states are let go
 TOP = 10
 NO_ID = 2 ** 63 - 1
 
@@ -249,6 +250,10 @@ class _Pool:
         self.n += m
         return np.arange(self.n - m, self.n)
 
+    def keep(self, at: np.ndarray) -> None:
+        """Only the rows ``at``, in that order, from 0 on."""
+        self.n, self.columns = len(at), [c[at] for c in self.columns]
+
 
 def _sums(of: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """Integer sums of ``v`` by ``of`` (sorted)."""
@@ -322,6 +327,12 @@ def descend(s: Shard, item: np.ndarray, row: np.ndarray, weight: np.ndarray, bes
         new = [put(of[path], who, level + 1, prefix * 2 + half, row[path], weight[path], to)
                for half, (path, to) in enumerate(halves) if len(path)]
         open_ = np.concatenate([open_, *new])
+        if paths.n > SPARE and paths.n > 2 * int(states.columns[5][open_].sum()):     # most belong to states that are done
+            begin, count = states.columns[4][open_], states.columns[5][open_]
+            paths.keep(np.repeat(begin, count) + tb.ragged(count))
+            states.keep(open_)
+            states.columns[4] = np.cumsum(count) - count
+            open_ = np.arange(len(open_))
 
 
 class Items:
@@ -356,7 +367,8 @@ def _search(items: Items, weight: np.ndarray, k: int):
         best = Best(k, np.ones(len(items.ids)))
         for b in batches:
             for i in range(b.num_rows):
-                s = Shard({c: b.column(c)[i].as_py() for c in b.schema.names})
+                # binaries as views of the batch
+                s = Shard({c: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for c, x in ((c, b.column(c)[i]) for c in b.schema.names)})
                 row = s.rows_of(items.term)
                 use = (row >= 0) & (weight > 0)
                 item, row, w = items.item[use], row[use], weight[use]
