@@ -16,6 +16,10 @@ only is scored exactly. States below the item's tenth score so far fall away (ti
 id), and that score is kept from shard to shard of a task. Every shard is searched for
 every item, so results are exact, up to terms with equal 64-bit hashes.
 
+A shard is one row of compressed columns and a row group of its own, and tasks get rows in
+batches of about ``BATCH_BYTES``: what a task holds follows a shard, not how many of them a
+partition has.
+
 A term's documents are counted by shards and summed; items come in blocks of at most
 ``ITEMS`` (in expectation half of it), whose terms are what the driver holds.
 
@@ -33,6 +37,7 @@ Defined cases:
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +50,7 @@ from callwise.llm.hard_negatives import Best
 
 SHARD_BYTES = 8 << 20       # of text behind a shard
 LEAD = 7                    # levels that the rows of the grid are halved ahead of the columns
+BATCH_BYTES = 8 << 20       # of the shards handed to Python at a time
 ITEMS, ITEM_BYTES = 2000, 8 << 20       # of a block
 GROUP = 16                  # items that descend at a time
 BATCH = 64                  # states of an item that are halved at a time
@@ -145,6 +151,16 @@ def shard(ids: np.ndarray, h: np.ndarray, d: np.ndarray, impact: np.ndarray) ->
             "rows": tb.planes(row[leaf].astype(np.uint32)), "columns": tb.planes(d[leaf].astype(np.uint32))}
 
 
+def squeezed(raw: bytes) -> bytes:
+    """A column of a shard as it is written: its length, then its bytes compressed."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(x: pa.BinaryScalar) -> pa.Buffer:
+    raw = x.as_buffer()
+    return pa.decompress(raw.slice(8), int.from_bytes(raw.slice(0, 8).to_pybytes(), "little"), "zstd")
+
+
 def _shards(docs: int, total: int):
     types = {"int": pa.int32(), "binary": pa.binary()}
     columns = [x.split() for x in SHARDS.split(", ")]
@@ -156,7 +172,7 @@ def _shards(docs: int, total: int):
             ids, h, d, impact = (np.concatenate([x[i] for x in held]) for i in range(4))
             if len(h):
                 out = shard(ids, h, d, impact)
-                yield pa.RecordBatch.from_arrays([pa.array([out[c]], types[t]) for c, t in columns], names=[c for c, _ in columns])
+                yield pa.RecordBatch.from_arrays([pa.array([squeezed(out[c]) if t == "binary" else out[c]], types[t]) for c, t in columns], names=[c for c, _ in columns])
 
         for batch in tb.slices(batches):
             h, d, impact = postings(batch, docs, total)
@@ -188,7 +204,17 @@ def index(docs: DataFrame) -> tuple[DataFrame, int]:
     """The shards of ``docs`` (doc_id, text), written to the shared folder, and the number
     of documents with a term."""
     n, total = sizes(docs)
-    return tb.checkpointed(_texts(docs).mapInArrow(_shards(n, max(total, 1)), SHARDS), "shards"), n
+    # Spark's writer would gather a hundred rows, however large, before it ends a row group
+    one_each = {"parquet.block.row.count.limit": "1", "compression": "uncompressed"}
+    return tb.checkpointed(_texts(docs).mapInArrow(_shards(n, max(total, 1)), SHARDS), "shards", **one_each), n
+
+
+def _bounded_batches(spark) -> None:
+    """Bounds the bytes of one Arrow batch: the rows of an index are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmgt]?)b?", (spark.conf.get(key, None) or "").lower())
+    if not now or int(now[1]) << 10 * "bkmgt".index(now[2] or "b") > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 class Shard:
@@ -351,7 +377,7 @@ def _frequencies(wanted: np.ndarray):
         n = np.zeros(len(wanted), np.int64)
         for b in batches:
             for names, df in zip(b.column("terms"), b.column("df")):
-                names, df = np.frombuffer(names.as_py(), np.uint64), np.frombuffer(df.as_py(), np.int32)
+                names, df = np.frombuffer(unsqueezed(names), np.uint64), np.frombuffer(unsqueezed(df), np.int32)
                 at = np.searchsorted(names, wanted)
                 at[at == len(names)] = 0
                 n += np.where(names[at] == wanted, df[at], 0)
@@ -367,8 +393,7 @@ def _search(items: Items, weight: np.ndarray, k: int):
         best = Best(k, np.ones(len(items.ids)))
         for b in batches:
             for i in range(b.num_rows):
-                # binaries as views of the batch
-                s = Shard({c: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for c, x in ((c, b.column(c)[i]) for c in b.schema.names)})
+                s = Shard({c: unsqueezed(x) if pa.types.is_binary(x.type) else x.as_py() for c, x in ((c, b.column(c)[i]) for c in b.schema.names)})
                 row = s.rows_of(items.term)
                 use = (row >= 0) & (weight > 0)
                 item, row, w = items.item[use], row[use], weight[use]
@@ -384,6 +409,7 @@ def _search(items: Items, weight: np.ndarray, k: int):
 def search(shards: DataFrame, docs: int, items: DataFrame, k: int = TOP) -> DataFrame:
     """The ``k`` best documents for each item (item_id, text): item_id, rank, doc_id, score."""
     spark = shards.sparkSession
+    _bounded_batches(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     count, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-count // (ITEMS // 2)), -(-(size or 0) // (ITEM_BYTES // 2)))     # hashed evenly

@@ -4,10 +4,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from callwise.llm import ranked_search as rs
 from callwise.llm.hard_negatives import Best
+from callwise.session import local_path
 
 TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,3 +120,38 @@ def test_search_skips_what_cannot_win():
     rs.descend(s, np.zeros(2, np.int64), np.arange(2), np.ones(2, np.int64), best)
     assert best.rows[:3].ravel().tolist() == [0, 2000, 100]
     assert sum(seen) < n // 2
+
+
+def test_a_task_holds_a_shard_at_a_time(spark, monkeypatch):
+    """However many shards a partition has: each is a row group, and batches go by bytes. Before,
+    a file was one row group, and a task was handed up to 64 MB of its rows."""
+    monkeypatch.setattr(rs, "SHARD_BYTES", 1 << 12)
+    docs = spark.createDataFrame(list(enumerate(corpus(7, 300, 2000, 120))), "doc_id long, text string").coalesce(1)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    many = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "20")
+        shards, n = rs.index(docs)
+    finally:
+        spark.conf.set(rows, many)
+    meta = [pq.read_metadata(local_path(f)).row_group(g) for f in shards.inputFiles() for g in range(pq.read_metadata(local_path(f)).num_row_groups)]
+    assert len(meta) == shards.count() > 5 and {m.num_rows for m in meta} == {1}
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        rs.search(shards, n, spark.createDataFrame([(1, "w1")], "item_id long, text string"))
+        assert int(spark.conf.get(key)) == rs.BATCH_BYTES
+        spark.conf.set(key, "1k")
+        rs.search(shards, n, spark.createDataFrame([(1, "w1")], "item_id long, text string"))
+        assert spark.conf.get(key) == "1k"      # a lower bound stays
+        held = shards.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+        assert {r.n for r in held} == {1}
+    finally:
+        spark.conf.set(key, old)
+
+
+@pytest.mark.parametrize("raw", [b"", b"x", bytes(1 << 20)])
+def test_columns_of_a_shard_come_back(raw):
+    sent = rs.squeezed(raw)
+    assert rs.unsqueezed(pa.scalar(sent, pa.binary())).to_pybytes() == raw and len(sent) < max(len(raw), 100)
