@@ -39,7 +39,9 @@ SCHEMA = "doc_id long, text string, n_words string, shard int, n_chars long"
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(ROWS + [(None, ROWS[0][1], "x", 0, 0)], SCHEMA).repartition(5).cache()
+    made = spark.createDataFrame(ROWS + [(None, ROWS[0][1], "x", 0, 0)], SCHEMA).repartition(5).cache()
+    yield made
+    made.unpersist()        # test_nothing_stays_cached looks at the whole session
 
 
 @pytest.fixture(scope="module")
